@@ -59,8 +59,6 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def learn(self, words: list) -> None:
-        if len(self.seen) > self.most:
-            self.seen.clear()
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
         counts = np.fromiter((len(self.pieces.findall(w)) for w in words), np.int64, len(words))
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -74,24 +72,18 @@ class WordTokenizer:
     def encode(self, texts: list) -> list:
         """The ids of each text as little-endian 16-bit bytes."""
         split = [None if OTHER.search(t) else t.lower().split() for t in texts]
-        new = set().union(*(w for w in split if w)) - self.seen.keys()
+        words = set().union(*(w for w in split if w))
+        if len(self.seen) + len(words) > self.most:
+            self.seen.clear()
+        new = words - self.seen.keys()
         if new:
             self.learn(sorted(new))
-            if len(self.seen) > self.most:  # learn() may have forgotten words of these texts
-                missing = set().union(*(w for w in split if w)) - self.seen.keys()
-                if missing:
-                    self.learn_more(sorted(missing))
         get = self.seen.__getitem__
         out = []
         for t, w in zip(texts, split):
             out.append(self.whole(t) if w is None else b"".join(map(get, w)))
         return out
 
-    def learn_more(self, words: list) -> None:
-        most, self.most = self.most, 1 << 60
-        self.learn(words)
-        self.most = most
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
