@@ -15,12 +15,12 @@ not matter.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,57 +32,71 @@ BLOCK_TOKENS = 1 << 19
 LANES = 2048
 BLOCKS = "part int, block int, offset long, n_tokens long, crc32 long, lanes int, doc_ids array<long>, doc_tokens array<int>, states binary, words binary"
 
-#: Texts of these characters only are split at white space and looked up word by word.
-OTHER = re.compile("[^\t\n\r\x0b\x0c -~¡-įı-ɏ]|<\\|")
+#: Texts with none of these are split at white space and looked up word by word.
+OTHER = "[^\t\n\r\\x0b\\x0c -~¡-įı-ɏ]|<\\|"
 
 
 class WordTokenizer:
-    """The tokenizers library behind a memory of words. No piece of the pre-tokeniser's pattern crosses white
-    space, and each piece ends with an id whose token ends in the end-of-word mark, so unseen words are
-    encoded in one call and cut apart at those ids. Texts with characters outside Latin go to the library
-    whole."""
-
-    def __init__(self, path: str, most: int = 400_000):
+    """The tokenizers library behind a memory of words and pieces. No piece of the pre-tokeniser's pattern
+    crosses white space, so a text's ids are those of its words one after the other. Arrow splits the texts
+    of a batch and finds their distinct words; only words not seen before are cut into pieces, and only
+    pieces not seen before go to the library, all in one call: each piece ends with an id whose token ends
+    in the end-of-word mark, so its ids can be cut apart there. Texts with characters outside Latin go to
+    the library whole. The memories are emptied when full, which costs time and changes nothing."""
+
+    def __init__(self, path: str, most: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
-        self.ends = np.zeros(self.size, bool)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.most, self.seen = most, {}
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.most, self.words, self.pieces = most, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, words: list) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-        counts = np.fromiter((len(self.pieces.findall(w)) for w in words), np.int64, len(words))
+    def learn_pieces(self, pieces: list) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if counts.sum() != len(ends) or (len(ids) and (not len(ends) or ends[-1] != len(ids))):
-            self.seen.update((w, self.whole(w)) for w in words)
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            self.pieces.update((p, self.whole(p)) for p in pieces)
             return
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        raw, at = ids.tobytes(), (at * 2).tolist()
-        self.seen.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:]))
-
-    def encode(self, texts: list) -> list:
-        """The ids of each text as little-endian 16-bit bytes."""
-        split = [None if OTHER.search(t) else t.lower().split() for t in texts]
-        words = set().union(*(w for w in split if w))
-        if len(self.seen) + len(words) > self.most:
-            self.seen.clear()
-        new = words - self.seen.keys()
+        raw, at = ids.tobytes(), [0, *(ends * 2).tolist()]
+        self.pieces.update((p, raw[a:b]) for p, a, b in zip(pieces, at, at[1:]))
+
+    def learn(self, words: list) -> None:
+        split = [self.split(w) for w in words]
+        needed = set().union(*split)
+        if len(self.pieces) + len(needed) > self.most:
+            self.pieces.clear()
+        new = needed - self.pieces.keys()
+        if new:
+            self.learn_pieces(sorted(new))
+        get = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(get, p))) for w, p in zip(words, split))
+
+    def encode(self, texts: pa.Array) -> list:
+        """The ids of each text as little-endian 16-bit bytes; a null text is empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, OTHER)
+        rows = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = rows.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.words) + len(distinct) > self.most:
+            self.words.clear()
+        known = self.words
+        new = [w for w in distinct if w not in known]
         if new:
-            self.learn(sorted(new))
-        get = self.seen.__getitem__
-        out = []
-        for t, w in zip(texts, split):
-            out.append(self.whole(t) if w is None else b"".join(map(get, w)))
-        return out
+            self.learn(new)
+        ids = pa.array([known[w] for w in distinct], pa.binary()).take(coded.indices)
+        data = memoryview(ids.buffers()[2] or b"")
+        at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[rows.offsets.to_numpy() - rows.offsets[0].as_py()] if len(ids) else np.zeros(len(texts) + 1, np.int32)
+        at = at.tolist()
+        return [self.whole(texts[i].as_py()) if o else bytes(data[at[i] : at[i + 1]]) for i, o in enumerate(odd.to_pylist())]
 
 
 @lru_cache(maxsize=2)
@@ -98,8 +112,8 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         coder = tokenizer(path)
         for b in batches:
             ids = []
-            for lo in range(0, b.num_rows, 128):
-                ids += [x + end for x in coder.encode([t or "" for t in b.column("text").slice(lo, 128).to_pylist()])]
+            for lo in range(0, b.num_rows, 1024):
+                ids += [x + end for x in coder.encode(b.column("text").slice(lo, 1024))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
