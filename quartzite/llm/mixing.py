@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words, settled
 
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 SEED = "mix"
 
 
