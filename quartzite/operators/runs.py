@@ -153,7 +153,7 @@ def top_tags(rates: DataFrame, k: int) -> DataFrame:
 
 
 def percent(x: Column, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", x * 100)
+    return F.format_string(f"%.{places}f%%", F.round(x * 100, places))
 
 
 def top_violations(rates: DataFrame, k: int) -> DataFrame:
@@ -171,7 +171,7 @@ def ablation(runs: DataFrame, by: str, k: int = 30) -> DataFrame:
 
 def markdown(runs: DataFrame, tops: DataFrame) -> DataFrame:
     """A line of the comparison table per run."""
-    two = lambda c: F.format_string("%.2f", F.col(c))
+    two = lambda c: F.format_string("%.2f", F.round(c, 2))
     rows = runs.join(tops, "run_name", "left")
-    cells = [F.col("run_name"), F.col("total_images").cast("string"), percent(F.col("pass_rate")), F.format_string("%.1f", F.col("mean_total_score")), *[two(f"group_{g}") for g in "ABCDEF"], F.coalesce("top", F.lit("-"))]
+    cells = [F.col("run_name"), F.col("total_images").cast("string"), percent(F.col("pass_rate")), F.format_string("%.1f", F.round("mean_total_score", 1)), *[two(f"group_{g}") for g in "ABCDEF"], F.coalesce("top", F.lit("-"))]
     return rows.select("run_name", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -48,7 +48,7 @@ def top_tags(spark, sf_dir):
     return runs.top_tags(summaries(spark, sf_dir)[1], 6)
 
 
-TOPS = "tops as (select run_name, string_agg(tag || '(' || printf('%.0f%%', rate * 100) || ')', ' / ' order by rk) as top from (select *, row_number() over (partition by run_name order by rate desc, tag) as rk from rates) where rk <= 4 group by run_name)"
+TOPS = "tops as (select run_name, string_agg(tag || '(' || printf('%.0f%%', round(rate * 100, 0)) || ')', ' / ' order by rk) as top from (select *, row_number() over (partition by run_name order by rate desc, tag) as rk from rates) where rk <= 4 group by run_name)"
 
 
 @query("top_violations_per_run", f"{ALL}, {TOPS} select * from tops", B)
@@ -83,12 +83,12 @@ def checkpoint_select(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("tier1_ratio"), F.desc("mean_semantic"), "run_name")).cast("int"))
 
 
-@query("percent_format", "select item, printf('%.1f%%', l_discount_text * 100) as cell from (select item, bright_ratio as l_discount_text from item_metrics)", B)
+@query("percent_format", "select item, printf('%.1f%%', round(l_discount_text * 100, 1)) as cell from (select item, bright_ratio as l_discount_text from item_metrics)", B)
 def percent_format(spark, sf_dir):
     return load(spark, sf_dir, B).select("item", runs.percent(F.col("bright_ratio")).alias("cell"))
 
 
-@query("sink_run_table", f"{ALL}, {TOPS} select run_name, '| ' || concat_ws(' | ', run_name, cast(count as varchar), printf('%.1f%%', pass_rate * 100), printf('%.1f', mean_total_score), " + ", ".join(f"printf('%.2f', group_{g})" for g in "ABCDEF") + ", coalesce(top, '-')) || ' |' as line from summary left join tops using (run_name)", B)
+@query("sink_run_table", f"{ALL}, {TOPS} select run_name, '| ' || concat_ws(' | ', run_name, cast(count as varchar), printf('%.1f%%', round(pass_rate * 100, 1)), printf('%.1f', round(mean_total_score, 1)), " + ", ".join(f"printf('%.2f', round(group_{g}, 2))" for g in "ABCDEF") + ", coalesce(top, '-')) || ' |' as line from summary left join tops using (run_name)", B)
 def sink_run_table(spark, sf_dir):
     table, rates = scanned(spark, sf_dir)
     path = scratch_path(spark, "markdown")

@@ -1,0 +1,177 @@
+"""Operators on small rows made for their edges, and the image kernels against NumPy."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quartzite.functions import arrays, bands
+from quartzite.operators import captions, catalog, components, grading, images, params, pixels, populations, runs, validation
+from quartzite.sources import readers
+
+BURDEN = "marker_score double, bg_count int, bg_frac double, dots int, lap_p75 double, grad_p75 double, mass_count int, cluster_count int, calc_dots int"
+
+
+@pytest.mark.parametrize(
+    ("row", "burdened"),
+    [
+        ((0.0, 0, 0.0, 0, None, None, 0, 0, 0), False),
+        ((8.0, 0, 0.0, 0, None, None, 0, 0, 0), True),
+        ((0.0, 20, 0.0, 0, None, None, 0, 0, 0), True),
+        ((0.0, 0, 0.018, 0, None, None, 0, 0, 0), True),
+        ((0.0, 0, 0.0, 10, None, None, 0, 0, 0), True),
+        ((0.0, 0, 0.0, 0, 13.9, 20.0, 0, 0, 0), True),
+        ((0.0, 0, 0.0, 0, 13.0, None, 0, 0, 0), False),
+        ((0.0, 0, 0.0, 0, 20.0, 20.0, 1, 0, 0), True),
+        ((7.9, 19, 0.017, 9, 14.0, 14.0, 0, 0, 5), False),
+        ((0.0, 0, 0.0, 0, None, None, 0, 1, 0), True),
+        ((0.0, 0, 0.0, 0, None, None, 0, 0, 6), True),
+    ],
+)
+def test_artifact_burden(spark, row, burdened):
+    assert spark.createDataFrame([row], BURDEN).select(bands.artifact_burden()).first()[0] is burdened
+
+
+def test_double_band(spark):
+    x = [0.0, 0.25, 0.3, 0.35, 0.95, 0.975, 1.0, 1.2]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(bands.double_band(F.col("x"), *[F.lit(v) for v in (0.25, 0.35, 0.95, 1.0)])).collect()]
+    assert got == pytest.approx([0, 0.3, 0.65, 1, 1, 0.65, 0.3, 0], abs=1e-9)
+
+
+def test_quality_rules_on_failed_reads_and_empty_masks(spark):
+    schema = "height int, width int, mask_ratio double, mask_pixels int, bright_ratio double, dark_ratio double, skin_line boolean, marker_score int"
+    rows = [(None, None, None, None, None, None, None, None), (2000, 1000, 0.5, 9000, 0.0, 0.0, True, 0), (2000, 1000, 0.5, 10, 0.9, 0.9, True, 41), (100, 100, 0.95, 9000, 0.06, 0.0, False, 0)]
+    got = [r["reasons"] for r in catalog.quality_checked(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [["read_failed"], [], ["empty_breast_mask", "marker_or_ruler_heavy"], ["too_small_or_cropped", "mask_ratio_out_of_range", "overexposed", "skin_line_missing"]]
+
+
+def test_last_case_row_wins_and_missing_column_is_named(spark):
+    rows = [("P_1", "left", "cc", "1", 0, 5), ("P_1", "LEFT ", "CC", "4", 1, 1), ("P_1", "LEFT", "CC", "9", 2, 1), ("P_2", "", "CC", "1", 0, 0)]
+    got = catalog.density_lookup(spark.createDataFrame(rows, "patient_id string, side string, view_raw string, density_code string, file_ord int, row_ord int")).collect()
+    assert [tuple(r) for r in got] == [("P_1", "LEFT", "CC", "dense")]
+    from pyspark.sql.types import StructType
+
+    with pytest.raises(ValueError, match="density"):
+        readers.clean_metadata(spark, "nowhere", StructType().add("view", "string"), ("view", "density"))
+
+
+def test_histogram_distances_at_their_ends(spark):
+    one = spark.createDataFrame([([1.0, 0.0, 0.0], [0.0, 0.0, 1.0]), ([0.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([1.0, 1.0, 2.0], [1.0, 1.0, 2.0])], "u array<double>, v array<double>")
+    got = [tuple(r) for r in one.select(arrays.wasserstein_bins(F.col("u"), F.col("v")), arrays.emd_profile(F.col("u"), F.col("v")), arrays.entropy(F.col("u"))).collect()]
+    assert got[0] == pytest.approx((1.0, 2 / 3, 0.0), abs=1e-9)
+    assert got[1][0] == 1.0 and got[1][2] == 0.0
+    assert got[2][:2] == pytest.approx((0, 0), abs=1e-9) and got[2][2] == pytest.approx(1.5 * np.log(2))
+
+
+def test_one_row_strata_and_targets(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "b")], "k0 int, s string")
+    counts = {r["s"]: r["count"] for r in captions.oversampled(rows, ["s"], "k0").groupBy("s").count().collect()}
+    assert counts == {"a": 3, "b": 3}
+    got = captions.to_target(rows, ["s"], "k0", 2).orderBy("s", "slot").collect()
+    assert [(r["k0"], r["slot"]) for r in got] == [(1, 0), (1, 1), (2, 0), (3, 1)]
+
+
+def test_grades_without_baseline(spark):
+    t = grading.calibrated(None, spark).first()["t"]
+    assert t["min_mask"] == 0.001 and t["soft_mask_hi"] == 0.75 and t["max_perim"] == 1.35
+
+
+def test_tier_fallbacks(spark):
+    schema = "total_score double, modality_p double, radiomics_score double, mask_iou double, soft_reasons array<string>, funnel_veto array<string>, ok boolean"
+    rows = [(100.0, None, None, None, [], [], True), (60.0, 0.9, 0.8, None, ["GRID_SEAM", "GRID_SEAM"], [], True), (60.0, 0.1, 0.1, 0.0, [], ["MODALITY_LOW"], True)]
+    got = grading.tiered(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["tier"], r["ok"]) for r in got] == [(1, True), (1, True), (3, False)]
+    assert got[0]["semantic_score"] == 1.0 and got[1]["semantic_score"] == pytest.approx(0.58 * 0.9 + 0.42 * 0.8 - 0.05)
+
+
+def test_validation_of_few_rows(spark):
+    empty = spark.createDataFrame([], "image string, ok boolean, tier int, final_rank_score double")
+    m = validation.metrics(empty).first()
+    assert m["n_good"] == 0 and m["veto_recall"] == 0.0 and validation.top_purity(empty).first()["pure"] is False
+
+
+def test_history_keeps_the_last_five(spark):
+    rows = spark.createDataFrame([(i, "l", f"run_{i}") for i in range(7)], "t int, line string, tag string")
+    got = params.latest(rows, ["line"], "t", "tag", 5).orderBy("index").collect()
+    assert [r["index"] for r in got] == [1, 2, 3, 4, 5] and got[-1]["tag"] == "run_6"
+
+
+def test_moments_and_distances_equal_numpy(spark):
+    x = np.random.default_rng(0).normal(size=(80, 5))
+    y = x[:50] * 2 + 1
+    frame = lambda a: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "item int, x array<double>")
+    a, b = populations.moments(frame(x), "x"), populations.moments(frame(y), "x")
+    assert np.allclose(a[2], np.cov(x, rowvar=False)) and np.allclose(b[1], y.mean(0))
+    assert populations.frechet(a, a) == pytest.approx(0, abs=1e-6) and populations.frechet(a, b) > 1
+    assert populations.frechet((1, a[1], a[2]), b) is None
+    got = populations.mahalanobis(frame(x), frame(x), "x", keep=5).orderBy("item").collect()
+    delta = x - x.mean(0)
+    want = np.einsum("ni,ij,nj->n", delta, np.linalg.inv(np.cov(x, rowvar=False) + 1e-3 * np.eye(5)), delta)
+    assert np.allclose([r["d2"] for r in got], want)
+    assert populations.mahalanobis(frame(x), frame(x[:3]), "x").first()["radiomics_score"] == 0.5
+
+
+def test_component_labels_equal_a_search():
+    m = np.random.default_rng(3).random((40, 40)) < 0.4
+    lab = images.label_components(m)
+    seen = np.zeros(m.shape, int)
+    n = 0
+    for y, x in zip(*np.nonzero(m)):
+        if seen[y, x]:
+            continue
+        n += 1
+        stack = [(y, x)]
+        seen[y, x] = n
+        while stack:
+            a, b = stack.pop()
+            for i in range(max(0, a - 1), min(40, a + 2)):
+                for j in range(max(0, b - 1), min(40, b + 2)):
+                    if m[i, j] and not seen[i, j]:
+                        seen[i, j] = n
+                        stack.append((i, j))
+    assert lab.max() == n and len({(a, b) for a, b in zip(lab[m], seen[m])}) == n and (lab[~m] == 0).all()
+
+
+def test_seam_and_grid_kernels():
+    r = np.random.default_rng(1)
+    noise = (r.random((128, 128)) * 60 + 100).astype(np.uint8)
+    assert images.grid_kernel(noise, np.ones_like(noise, bool)) == 1.0
+    lines = np.tile((np.arange(128) % 20 < 3) * 150 + 60, (128, 1)).astype(np.uint8)
+    assert images.grid_kernel(lines, np.ones_like(lines, bool)) == 0.0
+    assert images.seam_kernel(lines, 8)[0] in (True, False)
+
+
+def test_scan_of_image_files(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    kind = jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY
+    for name, value in (("a.png", 200), ("b_ffdm_compare.png", 9), ("img2img_c.jpg", 40)):
+        image = jvm.java.awt.image.BufferedImage(24, 16, kind)
+        for x in range(8):
+            for y in range(16):
+                image.getRaster().setSample(x, y, 0, value)
+        jvm.javax.imageio.ImageIO.write(image, name.rsplit(".", 1)[1], jvm.java.io.File(f"{tmp_path}/{name}"))
+    (tmp_path / "d.webp").write_bytes(b"no image")
+    got = {r["name"]: r for r in images.scan(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {"a.png", "img2img_c.jpg", "d.webp"} and got["d.webp"]["read_failed"]
+    a = np.frombuffer(got["a.png"]["data"], np.uint8).reshape(16, 24)
+    assert (a[:, :8] == 200).all() and (a[:, 8:] == 0).all()
+    frame = images.scan(spark, f"file://{tmp_path}", prefix="a").selectExpr("1L as image_id", "height", "width", "data")
+    stats = images.pixels_hist(frame).first()
+    assert stats["mask_area"] == 128 and stats["hist"][200] == 128
+    assert images.components(frame, 80).first()["area"] == 128
+
+
+def test_pixel_statistics_of_flat_images(spark):
+    flat = spark.createDataFrame([(1, y, x, 7) for y in range(8) for x in range(8)], "image_id int, y int, x int, v int")
+    assert pixels.histogram_stats(flat).first()["std"] == 0 and pixels.winsorized(flat, 0.02, 0.98).first()["v"] == 7
+    assert pixels.otsu(flat).count() == 0 and pixels.banding(flat).first()["banding"] == 1.0
+
+
+def test_boxes_in_three_units(spark):
+    rows = spark.createDataFrame([(0.1, 0.2, 0.5, 0.6), (50.0, 60.0, 10.0, 20.0), (300.0, 10.0, 900.0, 20.0), (5.0, 5.0, 5.0, 9.0)], "x1 double, y1 double, x2 double, y2 double")
+    got = [tuple(r) for r in components.scaled_boxes(rows, 400, 200).collect()]
+    assert got == [(40, 40, 200, 120), (40, 40, 200, 120), (300, 10, 400, 20)]
+
+
+def test_missing_aspect_columns_filter_nothing(spark):
+    assert readers.filter_aspect(spark.range(3)).count() == 3
+    assert runs.seeded_sample(spark.range(100), "id", 5, 1).collect() == runs.seeded_sample(spark.range(100).repartition(7), "id", 5, 1).collect()
