@@ -28,46 +28,84 @@ RAW = frozenset("script style noscript template textarea title iframe object svg
 DROPPED = frozenset("nav footer aside form menu dialog".split())
 GAP = frozenset("br td th".split())
 #: Words in class, id or role that mark what is not the article.
-MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent cookie cookies dialog disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification notifications pager pagination popup promo promoted promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-HEADER_MARKS = frozenset("header banner masthead topbar".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement alert announcement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup privacy promo promoted promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toast toc toolbar warning widget".split())
+HEADER_MARKS = frozenset("header topbar".split())
+#: Words that mark the article, by how much they say: the strongest kind on a page bounds the text.
+ARTICLE_MARKS = (frozenset(), frozenset(["articlebody", "article"]), frozenset(["post", "entry", "story"]), frozenset(["content", "main"]))
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
-def marked(name: str, attrs: str, in_article: bool) -> bool:
+def words_of(attrs: str) -> set:
+    """The words of class, id, role and itemprop, also as they are joined by capitals."""
+    words = set()
+    for m in ATTR.finditer(attrs):
+        value = m[2] or m[3] or m[4] or ""
+        words.update(PART.findall(value.lower()))
+        words.update(PART.findall(CAMEL.sub(" ", value).lower()))
+    return words
+
+
+def marked(name: str, attrs: str, words: set, in_article: bool) -> bool:
     """Whether an element is dropped with all it holds."""
     if name in DROPPED or (name == "header" and not in_article):
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if name in ("html", "body") or not attrs:
+        return False
+    if HIDDEN.search(attrs):
+        return True
+    if name == "main" or (name == "article" and not words & {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related"}):
         return False
-    words = set()
-    for m in ATTR.finditer(attrs):
-        words.update(PART.findall(CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()))
     if words & MARKS:
         return True
     return bool(words & HEADER_MARKS) and not in_article and not words & {"article", "entry", "post", "content", "title"}
 
 
+def kind_of(name: str, words: set) -> int:
+    """Bit of the strongest kind of article mark that an element is; 0 for none."""
+    if name == "article":
+        return 1
+    if name == "main" or "articlebody" in words:
+        return 2
+    for k, marks in enumerate(ARTICLE_MARKS):
+        if words & marks:
+            return 1 << k
+    return 0
+
+
 def lines_of(page: str) -> list:
-    """(text, characters in links, in an article element, is a heading) of each line that has text."""
+    """(text, characters in links, kinds of article marks around it, is a heading) of each line that has text."""
     lines, parts, linked = [], [], 0
-    article = anchor = 0
+    open_, kinds = [], 0  # block elements around this place, and the marks among them
+    anchor = 0
     heading = False
     skip, depth = "", 0
     at, n = 0, len(page)
 
     def flush():
-        nonlocal parts, linked, heading
+        nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, min(linked, len(text)), article > 0, heading))
+            lines.append((text, min(linked, len(text)), kinds, heading))
         parts, linked = [], 0
 
+    def leave(name: str):
+        """Close the innermost element of that name and all in it; without one nothing is closed."""
+        nonlocal kinds
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i][0] == name:
+                del open_[i:]
+                kinds = 0
+                for _, k in open_:
+                    kinds |= k
+                return
+
     while at < n:
         lt = page.find("<", at)
         upto = n if lt < 0 else lt
@@ -109,19 +147,29 @@ def lines_of(page: str) -> list:
         if name in BLOCK:
             flush()
             heading = not close and len(name) == 2 and name[0] == "h" and name[1].isdigit()
+            if not close and open_ and open_[-1][0] == "p":
+                leave("p")
         elif name in GAP:
             parts.append(" ")
-        if name in ("article", "main"):
-            article = max(0, article + (-1 if close else 1))
-        elif name == "a":
+        if name == "a":
             anchor = 0 if close else 1
-        if close or name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if close:
+            if name in BLOCK:
+                leave(name)
+            continue
+        if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
             end = END[name].search(page, at)
             at = n if not end else (page.find(">", end.start()) + 1 or n)
-        elif marked(name, m[3], article > 0):
+            continue
+        words = words_of(m[3]) if "=" in m[3] else set()
+        if marked(name, m[3], words, kinds > 0):
             skip, depth = name, 1
+        elif name in BLOCK:
+            kind = kind_of(name, words) if name not in ("html", "body", "head") else 0
+            open_.append((name, kind))
+            kinds |= kind
     if not skip:
         flush()
     return lines
@@ -129,17 +177,34 @@ def lines_of(page: str) -> list:
 
 def main_lines(lines: list, window: int = 3, share: float = 0.25, least: int = 86) -> list:
     """The lines between surge and dive."""
-    has_article = any(x[2] for x in lines)
-    size = [(len(t) - k if 2 * k < len(t) or a else 0) if a or not has_article else 0 for t, k, a, _ in lines]
+    kinds = 0
+    for x in lines:
+        kinds |= x[2]
+    bit = kinds & -kinds  # the strongest kind on the page
+    inside = [bool(k & bit) if bit else True for _, _, k, _ in lines]
+    size = [0 if not a or (not bit and 2 * k >= len(t)) else max(1, len(t) - k) for (t, k, _, _), a in zip(lines, inside)]
     if not any(size):
         return []
     sums = [sum(size[i : i + window]) for i in range(len(size))]
-    bar = 1 if has_article else min(least, max(sums) * share)
-    surge = next(i for i, s in enumerate(sums) if s >= bar and size[i])
-    dive = len(size) - 1 - next(i for i, _ in enumerate(size) if size[-1 - i] and sum(size[max(0, len(size) - i - window) : len(size) - i]) >= bar)
-    while not has_article and surge and lines[surge - 1][3]:
-        surge -= 1
-    return [t for t, _, a, _ in lines[surge : dive + 1] if a or not has_article]
+    bar = 1 if bit else min(least, max(sums) * share)
+    tall = [i for i in range(len(size)) if size[i] and sums[i] >= bar]
+    surge = tall[0]
+    back = [i for i in range(len(size)) if size[i] and sum(size[max(0, i - window + 1) : i + 1]) >= bar]
+    dive = back[-1]
+    if not bit:
+        # the window looks ahead: short lines before the first long one are in front of the text, but for headings
+        while surge < dive and size[surge] < bar and not lines[surge][3] and not ended(lines[surge][0]):
+            surge += 1
+        while dive > surge and size[dive] < bar and not ended(lines[dive][0]):
+            dive -= 1
+        while surge and lines[surge - 1][3]:
+            surge -= 1
+    return [t for (t, _, _, _), a in zip(lines[surge : dive + 1], inside[surge : dive + 1]) if a]
+
+
+def ended(text: str) -> bool:
+    """Whether a line ends as a sentence does."""
+    return text.rstrip("\"'”’»)")[-1:] in (".", "!", "?", "…", ":")
 
 
 def main_text(page: str | None) -> str:

@@ -178,8 +178,16 @@ def test_page_text():
     assert pagetext.main_text("<article><p>cut</p><p cla") == "cut"
 
 
+@pytest.mark.parametrize("mark", ['article class="post"', 'main', 'div class="entry-content"', 'div id="content"', 'div itemprop="articleBody"', 'section class="story"'])
+def test_page_marks_of_the_article(mark):
+    name = mark.split()[0]
+    page = f"""<body class="post content"><div id="header"><p>The Site.</p></div><div class="main-menu"><p>Menu here.</p></div><{mark}><h1>T</h1><p>A.</p><ul><li>x</li><li>y</li></ul>
+<div class="comments"><p>Nice one.</p></div><p class=notice>Paid.<p>B</p><div hidden>h</div></{name}><div class="sidebar"><p>Side.</p></div><p>Outside.</p></body>"""
+    assert pagetext.main_text(page) == "T\n\nA.\n\nx\n\ny\n\nB"
+
+
 def test_page_without_article():
     body = "".join(f"<p>{'word ' * 40}{i}.</p>" for i in range(4))
-    page = f"<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul><h2>Head</h2>{body}<p>End.</p><div><a href=c>Imprint</a></div>"
+    page = f"<div>My site</div><ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul><h2>Head</h2>{body}<p>End.</p><div><a href=c>Imprint</a></div><div>Made with care</div>"
     got = pagetext.main_text(page).split("\n\n")
-    assert got[0] == "Head" and got[1].endswith("0.") and "Home" not in got and "Imprint" not in got
+    assert got[0] == "Head" and got[1].endswith("0.") and got[-1] == "End." and len(got) == 6
