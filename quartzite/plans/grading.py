@@ -320,6 +320,17 @@ def sink_baseline(spark, sf_dir):
     return back.select(F.explode("stats").alias("metric", "s")).select("metric", "s.*")
 
 
+@query("scan_baseline", f"with {PRIOR} select density_type, prior from prior", B)
+def scan_baseline(spark, sf_dir):
+    """The stored baseline's prior, read without its other maps; a missing key is null."""
+    real = load(spark, sf_dir, B).filter("is_real")
+    row = op.baseline_row(op.scalar_stats(real), op.density_prior(real))
+    path = scratch_path(spark, "baseline-json")
+    row.write.json(path)
+    back = spark.read.schema("prior map<string,double>, other map<string,double>").json(path)
+    return back.filter("other is null").select(F.explode("prior").alias("density_type", "prior"))
+
+
 @query("sink_review_report", f"with {REVIEWED} select item, cast(ok as varchar) as ok, cast(tier as varchar) as tier, coalesce(cast(modality_p is not null as varchar), '') as measured, case when len(tags) > 0 then array_to_string(tags, '|') else 'pass' end as tags from reviewed", B)
 def sink_review_report(spark, sf_dir):
     path = scratch_path(spark, "report")
