@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import clip01, density_type, double_band
+from ..functions.percentiles import exact_percentiles
 
 #: Metrics with a baseline.
 METRICS = ["mask_ratio", "mean_intensity", "std_intensity", "edge_density", "cavity_ratio", "bright_spots", "hu_dist", "dynamic_range", "local_entropy", "circularity", "bright_ratio", "dark_ratio", "banding_score", "edge_voids_px", "round_isolated", "round_density", "contour_concavity", "contour_perim_ratio"]
@@ -37,8 +38,9 @@ def scalar_stats(items: DataFrame, metrics: list = METRICS) -> DataFrame:
     """metric, n, p1 ... p99 (exact, linear between neighbours), mean, std (of the population)."""
     pairs = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
     rows = items.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
-    points = {k: F.round(F.percentile("value", q), PLACES).alias(k) for k, q in POINTS.items()}
-    return rows.groupBy("metric").agg(F.count("value").alias("n"), *points.values(), F.round(F.avg("value"), PLACES).alias("mean"), F.round(F.stddev_pop("value"), PLACES).alias("std"))
+    moments = rows.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), PLACES).alias("mean"), F.round(F.stddev_pop("value"), PLACES).alias("std"))
+    points = exact_percentiles(rows, "metric", "value", POINTS).select("metric", *[F.round(p, PLACES).alias(p) for p in POINTS])
+    return moments.join(points, "metric", "left").select("metric", "n", *POINTS, "mean", "std")
 
 
 def density_prior(items: DataFrame) -> DataFrame:

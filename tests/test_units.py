@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzite.functions import arrays, bands
+from quartzite.functions.percentiles import exact_percentiles
 from quartzite.operators import captions, catalog, components, grading, images, params, pixels, populations, runs, validation
 from quartzite.sources import readers
 
@@ -175,3 +176,16 @@ def test_boxes_in_three_units(spark):
 def test_missing_aspect_columns_filter_nothing(spark):
     assert readers.filter_aspect(spark.range(3)).count() == 3
     assert runs.seeded_sample(spark.range(100), "id", 5, 1).collect() == runs.seeded_sample(spark.range(100).repartition(7), "id", 5, 1).collect()
+
+
+def test_exact_percentiles_equal_numpy(spark):
+    r = np.random.default_rng(4)
+    groups = {"one": np.array([3.0]), "two": np.array([1.0, 9.0]), "ten": np.arange(10.0), "ties": np.repeat([1.0, 2.0, 5.0], [50, 3, 40]), "many": r.normal(size=30_000), "whole": r.integers(0, 7, 5000).astype(float)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("one", None)], "g string, x double")
+    points = {"p0": 0.0, "p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {x["g"]: [x[p] for p in points] for x in exact_percentiles(rows, "g", "x", points).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.percentile(v, [100 * q for q in points.values()]).tolist(), abs=1e-12), k
+    coarse = exact_percentiles(rows.filter("g = 'many'"), "g", "x", points, accuracy=100).first()
+    assert coarse["p95"] == pytest.approx(np.percentile(groups["many"], 95), abs=1e-12)
