@@ -31,10 +31,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays, once."""
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = settled(found.select(F.struct(F.col("doc_id").alias("id")).alias("kept")).distinct(), "pipeline-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept.id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group the document with the smallest doc_id stays, once. The join and the removal of repeated
+    ids share one shuffle by doc_id. Documents without an id cannot be told from each other by it, so of
+    those that share a text one stays."""
+    kept = settled(simhash.near_duplicates(docs).filter("doc_id = component_id").select(F.struct(F.col("doc_id").alias("id")).alias("kept")).distinct(), "pipeline-kept")
+    named = docs.join(kept, docs["doc_id"] == F.col("kept.id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
