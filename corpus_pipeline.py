@@ -13,8 +13,9 @@ from quartzite.llm import bpe, langid, linededup, mixing, simhash
 from quartzite.llm.common import settled, table
 from quartzite.llm.queries import BYTE_BPE, MIN_SITES, vocabulary
 
-#: Below this calibrated score a text is in none of the learned languages.
-MIN_SCORE = 0.5
+#: Below this calibrated score a text is in none of the learned languages. Short texts in a known language
+#: score little more than chance, so only what is hardly above chance goes.
+MIN_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
