@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.llm import bpe, langid, linededup, mixing, simhash
-from quartzite.llm.common import settled, table
+from quartzite.llm.common import settled, table, wide_rows
 from quartzite.llm.queries import BYTE_BPE, MIN_SITES, vocabulary
 
 #: Below this calibrated score a text is in none of the learned languages. Short texts in a known language
@@ -20,6 +20,7 @@ MIN_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no learned language, go."""
+    wide_rows(spark)
     model = langid.train(docs)
     found = langid.packed_predictions(docs.select(F.struct(*docs.columns).alias("d"), F.col("text").alias("text")), model)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("d.*")
@@ -48,6 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
+    wide_rows(spark)
     return bpe.encoded(docs, vocabulary(BYTE_BPE))
 
 

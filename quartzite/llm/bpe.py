@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces as pieces_of
+
 LEAF = 4096
 SPACES = " \n\t\r"
 
@@ -96,7 +98,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = True, leaf: int = LEAF)
         encoding, pieces, lengths = codec(path)
         encode = lambda s: np.array(encoding.encode_ordinary(s), np.uint32)
         names = [str(i) for i in range(len(pieces))]
-        for b in batches:
+        for b in pieces_of(batches):
             n, raw, sha, back = [], [], [], []
             for t in b.column("text"):
                 ids = encode_tree(t.as_py() or "", encode, lengths, leaf)

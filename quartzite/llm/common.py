@@ -12,7 +12,29 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, on both sides of a Python worker, where rows hold whole texts.
+BATCH_ROWS = 2000
+#: Rows that a Python function turns into one batch of results.
+PIECE_ROWS = 500
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Texts are wide rows: lower the session's rows per Arrow batch, if it allows more, so that a batch
+    stays a few MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def pieces(batches):
+    """Arrow batches cut to PIECE_ROWS rows, without copies."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PIECE_ROWS):
+            yield b.slice(lo, PIECE_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    wide_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

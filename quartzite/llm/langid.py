@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: A model holds langs x 65536 floats and is broadcast, so the number of languages is bounded.
@@ -203,7 +205,7 @@ def packed_predictions(rows: DataFrame, model: Model) -> DataFrame:
     schema = rows.select("d").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             got = [known.value.predict(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["d", "lang_pred", "score"])
 

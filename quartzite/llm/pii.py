@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Letters of other scripts that look like Latin ones, and dots and at signs in other forms.
@@ -194,7 +196,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     kind_t = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             base, added = [], []
             for t in b.column("text"):
                 x, y = spans(t.as_py() or "")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, settled
+from .common import checkpointed, pieces, settled
 
 SEED = 42
 SEGMENTS = 16
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
