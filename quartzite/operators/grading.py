@@ -34,13 +34,17 @@ DEFAULTS = {
 }
 
 
-def scalar_stats(items: DataFrame, metrics: list = METRICS) -> DataFrame:
-    """metric, n, p1 ... p99 (exact, linear between neighbours), mean, std (of the population)."""
+def scalar_stats(items: DataFrame, metrics: list = METRICS, large: bool = False) -> DataFrame:
+    """metric, n, p1 ... p99 (exact, linear between neighbours), mean, std (of the population). large: find the
+    percentiles by brackets, slower, but with no task that holds all distinct values of a metric."""
     pairs = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
     rows = items.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
-    moments = rows.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), PLACES).alias("mean"), F.round(F.stddev_pop("value"), PLACES).alias("std"))
+    moments = [F.round(F.avg("value"), PLACES).alias("mean"), F.round(F.stddev_pop("value"), PLACES).alias("std")]
+    if not large:
+        points = [F.round(F.percentile("value", q), PLACES).alias(k) for k, q in POINTS.items()]
+        return rows.groupBy("metric").agg(F.count("value").alias("n"), *points, *moments)
     points = exact_percentiles(rows, "metric", "value", POINTS).select("metric", *[F.round(p, PLACES).alias(p) for p in POINTS])
-    return moments.join(points, "metric", "left").select("metric", "n", *POINTS, "mean", "std")
+    return rows.groupBy("metric").agg(F.count("value").alias("n"), *moments).join(points, "metric", "left").select("metric", "n", *POINTS, "mean", "std")
 
 
 def density_prior(items: DataFrame) -> DataFrame:
