@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm import bpe, langid, linededup, mixing, simhash
+from quartzite.llm import bpe, langid, linededup, mixing, nearcopies
 from quartzite.llm.common import settled, table, wide_rows
 from quartzite.llm.queries import BYTE_BPE, MIN_SITES, vocabulary
 
@@ -17,6 +17,9 @@ from quartzite.llm.queries import BYTE_BPE, MIN_SITES, vocabulary
 #: score little more than chance, so only what is hardly above chance goes.
 MIN_SCORE = 0.3
 
+#: Texts with this Jaccard similarity or more, on shingles of so many words, are near copies.
+SHINGLE, SIMILAR = 5, 0.8
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no learned language, go."""
@@ -33,10 +36,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays, once. The join and the removal of repeated
-    ids share one shuffle by doc_id. Documents without an id cannot be told from each other by it, so of
-    those that share a text one stays."""
-    kept = settled(simhash.near_duplicates(docs).filter("doc_id = component_id").select(F.struct(F.col("doc_id").alias("id")).alias("kept")).distinct(), "pipeline-kept")
+    """Texts that share at least SIMILAR of their SHINGLE-word shingles form groups. Of each group the document
+    with the smallest doc_id stays, once. The join and the removal of repeated ids share one shuffle by
+    doc_id. Documents without an id cannot be told from each other by it, so of those that share a text one
+    stays."""
+    wide_rows(spark)
+    roots = nearcopies.near_copies(docs, SHINGLE, SIMILAR)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("node"))
+    group = F.coalesce("root", "node").alias("group")
+    kept = settled(rows.join(roots, "node", "left").groupBy(group).agg(F.min("id").alias("id")).select(F.struct("id").alias("kept")).distinct(), "pipeline-kept")
     named = docs.join(kept, docs["doc_id"] == F.col("kept.id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
