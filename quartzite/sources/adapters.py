@@ -56,7 +56,7 @@ from documents d left join labels l on d.doc_id = l.doc_id""",
 select l_orderkey as image_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as comp_id,
  cast(l_quantity * 12 as int) as area, cast(l_partkey % 480 as int) as x, cast(l_suppkey * 37 % 480 as int) as y,
  cast(4 + l_partkey % 23 as int) as w, cast(4 + l_suppkey % 19 as int) as h
-from lineitem where l_orderkey % 10 = 0""",
+from lineitem""",
 }
 TILES = {
     "spark": """
