@@ -20,6 +20,9 @@ MIN_SCORE = 0.3
 #: Texts with this Jaccard similarity or more, on shingles of so many words, are near copies.
 SHINGLE, SIMILAR = 5, 0.8
 
+#: Sites from which a long line that stands in several texts is repeated; shorter ones need MIN_SITES.
+LONG_SITES = 2
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no learned language, go."""
@@ -30,9 +33,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over many sources stay in the first document that has them; n_chars follows the text."""
+    """Lines spread over many sources, and passages of several texts on two or more, stay in the first document
+    that has them; n_chars follows the text."""
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("d.n_chars"))}
-    return linededup.cleaned(docs, MIN_SITES).select(*[(changed[c] if c in changed else F.col("d")[c]).alias(c) for c in docs.columns])
+    return linededup.cleaned(docs, MIN_SITES, LONG_SITES).select(*[(changed[c] if c in changed else F.col("d")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

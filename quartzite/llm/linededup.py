@@ -5,7 +5,8 @@ sites it stands on is merged by aggregation. Estimates clearly over or under the
 near it get an exact distinct count. A line spread over at least min_sites sites is boilerplate: it stays
 where it comes first (least doc_id, then place in the text) and goes everywhere else, so whole copied
 documents lose their repeats but no passage vanishes altogether. Line breaks are never lines, so a blank
-line stays as it is.
+line stays as it is. A long line can have a threshold of its own (long_sites); it then has to stand in
+different texts too, so that copies of a whole document are left to the step that drops documents.
 
 Only hashes are shuffled for counting. The list of places to drop is settled; Catalyst broadcasts it where
 it is small and else joins by document.
@@ -20,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import n_words, settled
 
 LG_K = 12
 NEAR = 0.1
+#: Words from which a line is long.
+LONG_LINE = 50
 
 
 def lines_of(text: Column) -> Column:
@@ -31,28 +34,31 @@ def lines_of(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, site, pos, h1, h2), one row per line that holds more than spaces."""
-    hashed = F.transform(lines_of(F.col("text")), lambda x: F.when(F.trim(x) != "", F.struct(F.xxhash64(F.trim(x)).alias("h1"), F.xxhash64(F.lit("second"), F.trim(x)).alias("h2"))))
+    """(doc_id, tag, site, pos, h1, h2, long), one row per line that holds more than spaces."""
+    hashed = F.transform(lines_of(F.col("text")), lambda x: F.when(F.trim(x) != "", F.struct(F.xxhash64(F.trim(x)).alias("h1"), F.xxhash64(F.lit("second"), F.trim(x)).alias("h2"), (n_words(x) >= LONG_LINE).alias("long"))))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("source"), F.lit("\0none")).alias("site"), F.posexplode(hashed).alias("pos", "h"))
-    return rows.filter("h is not null").select("doc_id", "tag", "site", "pos", "h.h1", "h.h2")
+    return rows.filter("h is not null").select("doc_id", "tag", "site", "pos", "h.h1", "h.h2", "h.long")
 
 
-def spread_lines(rows: DataFrame, min_sites: int, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
-    """(h1, h2, first) of the lines on at least min_sites sites."""
+def spread_lines(rows: DataFrame, min_sites: int, long_sites: int | None = None, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
+    """(h1, h2, first) of the lines on at least min_sites sites, and of the long ones in several texts on at
+    least long_sites. Sites are hashed for the sketch, which does not count an empty string."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("pos"), F.col("tag"))
-    counted = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(place).alias("first"))
-    counted = settled(counted.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").filter(F.col("sites") >= min_sites * (1 - near)), "lines-spread")
-    over = F.col("sites") > min_sites * (1 + near)
+    counted = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg(F.xxhash64("site"), lg_k).alias("sketch"), F.min(place).alias("first"), F.max(F.col("long") & F.lit(long_sites is not None)).alias("long"), F.min("tag").alias("low"), F.max("tag").alias("high"))
+    need = F.when(F.col("long") & (F.col("low") != F.col("high")), F.least(F.lit(long_sites), F.lit(min_sites))).otherwise(F.lit(min_sites))
+    counted = counted.withColumns({"sites": F.hll_sketch_estimate("sketch"), "need": need}).drop("sketch", "long", "low", "high")
+    counted = settled(counted.filter(F.col("sites") >= F.col("need") * (1 - near)), "lines-spread")
+    over = F.col("sites") > F.col("need") * (1 + near)
     close = counted.filter(~over)
     exact = rows.join(close.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    sure = close.join(exact.filter(F.col("n") >= min_sites), ["h1", "h2"], "left_semi")
-    return counted.filter(over).union(sure).select("h1", "h2", "first")
+    sure = close.join(exact, ["h1", "h2"]).filter(F.col("n") >= F.col("need"))
+    return counted.filter(over).select("h1", "h2", "first").union(sure.select("h1", "h2", "first"))
 
 
-def cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int, long_sites: int | None = None) -> DataFrame:
     """(d, text, n_lines, n_dropped): d is the row as it was, packed so that none of its columns can clash."""
     rows = line_rows(docs)
-    spread = settled(spread_lines(rows, min_sites), "lines-boilerplate")
+    spread = settled(spread_lines(rows, min_sites, long_sites), "lines-boilerplate")
     here = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("pos"), F.col("tag"))
     gone = rows.join(spread, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first")))
     places = settled(gone.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at")), "lines-dropped")
