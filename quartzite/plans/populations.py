@@ -115,6 +115,18 @@ def manifold_precision_recall(spark, sf_dir):
     return op.precision_recall(*populations(spark, sf_dir))
 
 
+@query("kernel_distance_all")
+def kernel_distance_all(spark, sf_dir):
+    """kernel_distance over all vectors; its SQL holds the other to 200 a side."""
+    return spark.createDataFrame([(op.kernel_distance_all(*populations(spark, sf_dir)),)], "kid double").select(F.round("kid", 9).alias("kid"))
+
+
+@query("manifold_precision_recall_all")
+def manifold_precision_recall_all(spark, sf_dir):
+    """manifold_precision_recall over all vectors."""
+    return op.precision_recall_all(*populations(spark, sf_dir))
+
+
 @query("radiomics_mahalanobis")
 def radiomics_mahalanobis(spark, sf_dir):
     """The first twenty numbers of each vector against the real ones."""
