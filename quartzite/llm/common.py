@@ -79,16 +79,9 @@ def n_words(text: Column) -> Column:
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec array<double>): rows whose vector is not null, not empty, and holds only finite
-    numbers. Of vectors of several lengths only those of the most frequent one stay (ties: the longer),
-    since others have no inner product with them. Equal rows count once."""
+    """(vec_id, vec array<double>): rows whose id is not null and whose vector is not null, not empty, and
+    holds only finite numbers, of any length. Equal rows count once."""
     vec = F.col(vec_col).cast("array<double>")
-    rows = (
-        df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
-        .filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0))
-        .filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    )
-    lengths = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not lengths:
-        return rows.limit(0)
-    return rows.filter(F.size("vec") == lengths[0]["d"]).dropDuplicates(["vec_id", "vec"])
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.filter(finite).dropDuplicates(["vec_id", "vec"])

@@ -1,10 +1,20 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Rows are dealt into shards of a bounded number of rows. Each shard becomes one row of an index table: its
-ids and vectors, and for each level one flat array of neighbour positions, a fixed number per node. Largest
-inner product is turned into nearest distance by one added coordinate, sqrt(longest² - |x|²). A search
-starts from all nodes of the top level and goes down level by level with a beam; all queries of a block take
-their steps together. The shards' best are merged, scored by the plain double inner product.
+Equal vectors are one node with its smallest ids, as many as a result can hold, so copies cannot crowd a
+neighbourhood and ties among them are exact. Nodes are dealt into shards of a bounded number of them, apart by
+number of components. Each shard becomes one row of an index table: its ids and vectors, and for each level
+one flat array of neighbour positions, a fixed number per node. Largest inner product is turned into nearest
+distance by one added coordinate, sqrt(longest² - |x|²).
+
+Graphs grow by insertion. A node's top level is drawn at random; on each level down from there a beam search
+from where the level above ended gives candidates, of which those are linked that are nearer to the node
+than to any linked before (free places go to the nearest left out), and a neighbour that gets more links
+than it has places is cut back by the same rule. Nodes come in growing batches, whose searches take their
+steps together.
+
+A search starts from all nodes of the top level and goes down level by level with a beam. Each query goes to every
+shard of its number of components; the shards' best are merged, scored by the plain double inner product. What
+moves: a query once per shard, and a shard once per block of query_rows queries, which stream past it.
 
 Nulls: rows with a null id or a vector that is null, empty, all zero, or holds nulls or non-finite numbers
 take no part. Equal rows count once; ties in score go to the smaller vec_id. An empty table gives no rows.
@@ -15,71 +25,113 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled, usable_vectors
 
-INDEX = "shard int, n int, d int, ids binary, vectors binary, levels int, nodes array<binary>, links array<binary>"
+INDEX = "d int, shard int, n int, ids binary, id_counts binary, vectors binary, nodes array<binary>, links array<binary>"
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
     """One coordinate more, so that all have the same length and the nearest has the largest product."""
+    x = x / max(np.abs(x).max(initial=0), 1e-300)
     sq = (x * x).sum(1)
     return np.concatenate([x, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1).astype(np.float32)
 
 
-def level_links(x: np.ndarray, m: int, wide: int, block: int = 1024) -> np.ndarray:
-    """Neighbour positions (n, 2m), -1 where there are fewer. Of the nearest `wide`, one is taken if it is
-    nearer to the node than to all taken before; free places go to the nearest left out; then links are
-    added the other way while there is room."""
-    n = len(x)
-    if n == 1:
-        return np.full((1, 2 * m), -1, np.int32)
-    wide = min(wide, n - 1)
-    picked = np.full((n, m), -1, np.int32)
-    for lo in range(0, n, block):
-        sims = x[lo : lo + block] @ x.T
-        rows = np.arange(len(sims))
-        sims[rows, lo + rows] = -np.inf
-        near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
-        near_sim = np.take_along_axis(sims, near, 1)
-        order = np.argsort(-near_sim, axis=1, kind="stable")
-        near, near_sim = np.take_along_axis(near, order, 1), np.take_along_axis(near_sim, order, 1)
-        v = x[near]
-        among = np.einsum("bid,bjd->bij", v, v, optimize=True)
-        kept = np.zeros(near.shape, bool)
-        for j in range(wide):
-            clash = (kept[:, :j] & (among[:, :j, j] > near_sim[:, j, None])).any(1) if j else np.zeros(len(near), bool)
-            kept[:, j] = ~clash & (kept[:, :j].sum(1) < m)
-        order = np.argsort(~kept, axis=1, kind="stable")[:, :m]
-        picked[lo : lo + block, : order.shape[1]] = np.take_along_axis(near, order, 1)
-    src, dst = np.repeat(np.arange(n), m), picked.ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    back = ~np.isin(dst.astype(np.int64) * n + src, src.astype(np.int64) * n + dst)
-    b_from, b_to = dst[back], src[back]
-    order = np.lexsort((-(x[b_from] * x[b_to]).sum(1), b_from))
-    b_from, b_to = b_from[order], b_to[order]
-    first = np.searchsorted(b_from, b_from)
-    slot = np.arange(len(b_from)) - first
-    out = np.full((n, 2 * m), -1, np.int32)
-    out[:, :m] = picked
-    fits = slot < m
-    out[b_from[fits], m + slot[fits]] = b_to[fits]
+def spread_out(x: np.ndarray, own: np.ndarray, near: np.ndarray, places: int) -> np.ndarray:
+    """For each node of `own` up to `places` of its candidates `near` (n, width; -1 for none): nearest first,
+    those nearer to the node than to all taken before, then the nearest left out. -1 where there are fewer."""
+    sim = np.where(near >= 0, np.einsum("bd,bsd->bs", x[own], x[near]), -np.inf)
+    order = np.argsort(-sim, axis=1, kind="stable")
+    near, sim = np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
+    v = x[near]
+    among = v @ v.transpose(0, 2, 1)
+    kept = np.zeros(near.shape, bool)
+    for j in range(near.shape[1]):
+        clash = (kept[:, :j] & (among[:, :j, j] > sim[:, j, None])).any(1)
+        kept[:, j] = ~clash & (near[:, j] >= 0) & (kept[:, :j].sum(1) < places)
+    order = np.argsort(~kept, axis=1, kind="stable")[:, :places]
+    out = np.full((len(own), places), -1, np.int32)
+    out[:, : order.shape[1]] = np.take_along_axis(near, order, 1)
     return out
 
 
-def build(ids: np.ndarray, x: np.ndarray, m: int, wide: int, ratio: int) -> tuple[list, list]:
-    """Positions of each level's nodes and their links (positions in the level). A node's level comes from
-    its place in a seeded shuffle, so each level is a 1/ratio sample of the one below."""
-    order = np.random.default_rng(len(ids)).permutation(len(ids))
-    up, nodes, links = lifted(x), [], []
-    while True:
-        at = np.sort(order[: len(ids) // ratio ** len(nodes)]) if nodes else np.arange(len(ids))
-        nodes.append(at.astype(np.int32))
-        links.append(level_links(up[at], m, wide))
-        if len(at) <= 4 * ratio:
-            return nodes, links
+def link_back(x: np.ndarray, links: np.ndarray, own: np.ndarray, picked: np.ndarray) -> None:
+    """Each picked neighbour gets a link to its node; where places run out, all are weighed anew (of very
+    many, the nearest four times as many as there are places)."""
+    to, who = picked.ravel(), np.repeat(own, picked.shape[1])
+    who, to = who[to >= 0], to[to >= 0]
+    order = np.lexsort((-np.einsum("bd,bd->b", x[to], x[who]), to))
+    to, who = to[order], who[order]
+    nodes, first, count = np.unique(to, return_index=True, return_counts=True)
+    slot = np.arange(len(to)) - np.repeat(first, count)
+    places = links.shape[1]
+    width = min(int(count.max(initial=0)), 3 * places)
+    come = np.full((len(nodes), width), -1, np.int32)
+    fits = slot < width
+    come[np.repeat(np.arange(len(nodes)), count)[fits], slot[fits]] = who[fits]
+    both = np.concatenate([links[nodes], come], 1)
+    both = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), 1)
+    over = (both >= 0).sum(1) > places
+    links[nodes[~over]] = both[~over, :places]
+    for lo in range(0, int(over.sum()), 512):
+        at = np.flatnonzero(over)[lo : lo + 512]
+        links[nodes[at]] = spread_out(x, nodes[at], both[at], places)
+
+
+def grow(x: np.ndarray, places: int, above: np.ndarray, start: np.ndarray, m: int, wide: int, batch: int = 768) -> np.ndarray:
+    """Links (n, places) of one level, its nodes inserted in the order: those of `above`, then the rest. start:
+    for each node positions from which its search sets out, -1 for none."""
+    n = len(x)
+    links = np.full((n, places), -1, np.int32)
+    order = np.concatenate([above, np.setdiff1d(np.arange(n), above)])
+    within = np.zeros(n, bool)
+    seed = order[: min(n, 2 * wide)]  # the first few see all of each other
+    if len(seed) > 1:
+        near = np.broadcast_to(seed, (len(seed), len(seed))).copy()
+        np.fill_diagonal(near, -1)
+        links[seed] = spread_out(x, seed, near, places)
+    within[seed] = True
+    at = len(seed)
+    while at < n:
+        own = order[at : at + max(16, min(batch, at // 2))]
+        begin = np.concatenate([np.where((start[own] >= 0) & within[start[own]], start[own], -1), np.full((len(own), 1), order[0])], 1)
+        found, _ = beam(x[own], x, links, first_only(begin), wide, step=8)
+        picked = spread_out(x, own, found.astype(np.int32), m)
+        links[own, :m] = picked
+        link_back(x, links, own, picked)
+        within[own] = True
+        at += len(own)
+    return links
+
+
+def build(x: np.ndarray, m: int = 16, wide: int = 48, ratio: int = 16) -> tuple[list, list]:
+    """Positions of each level's nodes and their links (positions in the level), the lowest level first. A
+    node is on level l with probability ratio^-l."""
+    up = lifted(np.asarray(x, np.float64))
+    top = np.floor(-np.log(1 - np.random.default_rng(len(x)).random(len(x))) / np.log(ratio)).astype(int)
+    levels = [np.arange(len(x), dtype=np.int32)]
+    while len(levels[-1]) > 4 * ratio:
+        at = np.flatnonzero(top >= len(levels)).astype(np.int32)
+        if not 0 < len(at) < len(levels[-1]):
+            break
+        levels.append(at)
+    nodes, links = [], []
+    for at in levels[::-1]:
+        start = np.full((len(at), 1), -1, np.int64)
+        above = np.zeros(0, np.int64)
+        if nodes:
+            above = np.searchsorted(at, nodes[0])
+            found = np.concatenate([descend(up[at[lo : lo + 1024]], up, nodes, links, 8) for lo in range(0, len(at), 1024)])
+            start = np.where(found >= 0, np.searchsorted(at, found), -1)
+            own = np.arange(len(at))[:, None]
+            start = np.where(start == own, -1, start)
+        links.insert(0, grow(up[at], 2 * m, above, start, m, wide))
+        nodes.insert(0, at)
+    return nodes, links
 
 
 def beam(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -131,23 +183,25 @@ def beam(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, ef:
     return at, score
 
 
-def search(q: np.ndarray, x: np.ndarray, nodes: list, links: list, ef: int) -> np.ndarray:
-    """Positions (b, ef) of what the walk found, -1 where fewer."""
-    up = lifted(x)
-    q = np.concatenate([q, np.zeros((len(q), 1), q.dtype)], 1).astype(np.float32)
-    start = np.broadcast_to(np.arange(len(nodes[-1])), (len(q), len(nodes[-1]))).copy()
+def descend(q: np.ndarray, x: np.ndarray, nodes: list, links: list, width: int, last: int | None = None) -> np.ndarray:
+    """Positions among all nodes (-1 for none) of the best `width` that a walk down the levels finds, `last` on
+    the lowest. q and x are lifted."""
+    at = np.broadcast_to(np.arange(len(nodes[-1])), (len(q), len(nodes[-1]))).copy()
     for level in range(len(nodes) - 1, -1, -1):
-        width = ef if level == 0 else max(16, ef // 4)
-        at, _ = beam(q, up[nodes[level]], links[level], start, width)
+        at, _ = beam(q, x[nodes[level]], links[level], at, width if level or not last else last)
+        at = np.where(at >= 0, nodes[level][np.maximum(at, 0)], -1)
         if level:
-            below = nodes[level - 1]
-            start = np.where(at >= 0, np.searchsorted(below, nodes[level][np.maximum(at, 0)]), -1)
-            lead = start.max(1, keepdims=True)
-            start = np.where(start < 0, lead, start)  # repeat a found one in the free places
-            start = first_only(start)
+            at = np.where(at >= 0, np.searchsorted(nodes[level - 1], at), -1)
     return at
 
 
+def search(q: np.ndarray, up: np.ndarray, nodes: list, links: list, ef: int) -> np.ndarray:
+    """Positions (b, ef) of what the walk found, -1 where fewer. up: the lifted nodes."""
+    q = q / np.maximum(np.abs(q).max(1, keepdims=True), 1e-300)
+    q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
+    return descend(q, up, nodes, links, max(16, ef // 4), ef)
+
+
 def first_only(start: np.ndarray) -> np.ndarray:
     """Repeats in a row become -1."""
     out = np.sort(start, axis=1)
@@ -155,52 +209,95 @@ def first_only(start: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 8192, m: int = 16, wide: int = 48, ratio: int = 16) -> DataFrame:
-    """One row per shard (see INDEX). vectors: (vec_id long, vec array<double>), every row is indexed."""
-    shards = -(-max(1, vectors.count()) // shard_rows)
+def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec, ids): each vector with its k + 1 smallest ids, which is as far as a result can reach among equal
+    scores. Catalyst turns the filter on the rank into a limit per group before the shuffle."""
+    w = Window.partitionBy("vec").orderBy("vec_id")
+    return vectors.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def build_index(nodes: DataFrame, shard_rows: int = 8192, m: int = 16, wide: int = 48, ratio: int = 16) -> DataFrame:
+    """One row per shard (see INDEX). nodes: (vec array<double>, ids array<long>), every one is indexed."""
+    shards = max(1, -(-nodes.count() // shard_rows))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, x = rows.vec_id.to_numpy(np.int64), np.stack(rows.vec.to_numpy()).astype(np.float64)
-        nodes, links = build(ids, x.astype(np.float32), m, wide, ratio)
-        return pd.DataFrame([{"shard": key[0], "n": len(ids), "d": x.shape[1], "ids": ids.tobytes(), "vectors": x.tobytes(), "levels": len(nodes), "nodes": [a.tobytes() for a in nodes], "links": [a.tobytes() for a in links]}])
-
-    return vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, INDEX)
-
-
-def search_index(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = 192, query_rows: int = 1024, m: int = 16) -> DataFrame:
-    """queries: (vec_id, vec). Returns query_id, rank, vec_id, score."""
-    shards = [r["shard"] for r in index.select("shard").collect()]  # a number per shard
-    blocks = -(-max(1, queries.count()) // query_rows)
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>")).alias("shard"))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def one(_: tuple, q: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for s in shard.itertuples() if len(q) else ():
-            ids, x = np.frombuffer(s.ids, np.int64), np.frombuffer(s.vectors, np.float64).reshape(s.n, s.d)
-            nodes = [np.frombuffer(a, np.int32) for a in s.nodes]
-            links = [np.frombuffer(a, np.int32).reshape(len(at), 2 * m) for a, at in zip(s.links, nodes)]
-            q_all, q_id = np.stack(q.q.to_numpy()).astype(np.float64), q.query_id.to_numpy(np.int64)
-            for lo in range(0, len(q_all), 256):
-                qs, qi = q_all[lo : lo + 256], q_id[lo : lo + 256]
-                at = search(qs, x, nodes, links, ef)
-                short = ((at >= 0).sum(1) < min(s.n, ef)) & ((at >= 0).sum(1) < k + 1)
-                score = np.where(at >= 0, np.einsum("bd,bsd->bs", qs, x[at]), -np.inf)
-                for r in np.flatnonzero(short):  # the walk did not reach enough of a small or split graph: look at all
-                    full = x @ qs[r]
-                    best = np.argsort(-full, kind="stable")[:ef]
-                    score[r], at[r] = -np.inf, -1
-                    at[r, : len(best)], score[r, : len(best)] = best, full[best]
-                score[(at >= 0) & (ids[at] == qi[:, None])] = -np.inf
-                order = np.lexsort((ids[at], -score), axis=1)[:, :k]
-                s_k, a_k = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
-                r, c = np.nonzero(s_k > -np.inf)
-                out.append(pd.DataFrame({"query_id": qi[r], "vec_id": ids[a_k[r, c]], "score": s_k[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    found = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(one, "query_id long, vec_id long, score double")
+        rows = rows.assign(first=[i[0] for i in rows.ids]).sort_values("first", kind="stable")
+        x = np.stack(rows.vec.to_numpy()).astype(np.float64)
+        at, links = build(x, m, wide, ratio)
+        counts = np.array([len(i) for i in rows.ids], np.int32)
+        return pd.DataFrame([{"d": key[0], "shard": key[1], "n": len(x), "ids": np.concatenate(rows.ids.to_list()).astype(np.int64).tobytes(), "id_counts": counts.tobytes(), "vectors": x.tobytes(), "nodes": [a.tobytes() for a in at], "links": [a.tobytes() for a in links]}])
+
+    dealt = nodes.withColumns({"d": F.size("vec"), "shard": F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")})
+    return dealt.groupBy("d", "shard").applyInPandas(one, INDEX)
+
+
+class Shard:
+    """A row of the index, ready for searches."""
+
+    def __init__(self, row: dict):
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["d"])
+        self.ids, self.counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_counts"], np.int32)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.nodes = [np.frombuffer(a, np.int32) for a in row["nodes"]]
+        self.links = [np.frombuffer(a, np.int32).reshape(len(at), -1) for a, at in zip(row["links"], self.nodes)]
+        self.up = lifted(self.x)
+
+    def best(self, q: np.ndarray, own: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, id, score), up to k of each query, its own id left out."""
+        at = search(q, self.up, self.nodes, self.links, ef)
+        for r in np.flatnonzero((at >= 0).sum(1) < min(len(self.x), k + 1)):  # a graph in parts: look at all
+            near = np.argsort(-(self.x @ q[r]), kind="stable")[:ef]
+            at[r] = -1
+            at[r, : len(near)] = near
+        r, c = np.nonzero(at >= 0)
+        node = at[r, c]
+        score = np.einsum("bd,bd->b", q[r], self.x[node])
+        times = self.counts[node]
+        slot = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, ids, score = np.repeat(r, times), self.ids[np.repeat(self.first[node], times) + slot], np.repeat(score, times)
+        other = ids != own[row]
+        row, ids, score = row[other], ids[other], score[other]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], ids[keep], score[keep]
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = 192, query_rows: int = 65536) -> DataFrame:
+    """queries: (vec_id, vec). Returns query_id, rank, vec_id, score. The row of a shard leads its partition's rows of
+    that shard and block, so that queries stream past it."""
+    blocks = max(1, -(-queries.count() // query_rows))
+    keys = ["d", "shard", "block"]
+    number = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int")
+    asked = queries.select(F.size("vec").alias("d"), number.alias("block"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    fields = [c.split()[0] for c in INDEX.split(", ") if c.split()[0] not in ("d", "shard")]
+    # One key and number of shards a row: the join is small, and every query needs every shard of its kind.
+    visits = asked.join(index.select("d", "shard"), "d").select(*keys, "query_id", "q", F.lit(None).cast(index.select(F.struct(*fields)).schema[0].dataType).alias("index"))
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q"), F.struct(*fields).alias("index"))
+    found_schema = "query_id long, vec_id long, score double"
+
+    def run(batches):
+        shard, key = None, None
+        for b in batches:
+            d, s, block, ids = (b.column(c).to_pylist() for c in (*keys, "query_id"))
+            starts = sorted({0, *(i for i, x in enumerate(ids) if x is None)})
+            for lo, hi in zip(starts, [*starts[1:], len(ids)]):
+                if lo < hi and ids[lo] is None:
+                    shard, key = Shard({**b.column("index")[lo].as_py(), "d": d[lo]}), (d[lo], s[lo], block[lo])
+                    lo += 1
+                if lo >= hi:
+                    continue
+                if key != (d[lo], s[lo], block[lo]):
+                    raise ValueError("queries came without their shard")
+                q = np.asarray(b.column("q").slice(lo, hi - lo).flatten(), np.float64).reshape(hi - lo, d[lo])
+                own = np.array(ids[lo:hi], np.int64)
+                for a in range(0, len(q), 256):
+                    row, who, score = shard.best(q[a : a + 256], own[a : a + 256], k, ef)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 256][row]), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    rows = copies.union(visits).repartition(*keys).sortWithinPartitions(*keys, F.col("query_id").isNotNull())
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    found = rows.mapInArrow(run, found_schema)
     return found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -208,5 +305,5 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     """Index every row, then search for the rows whose id is divisible by `every`."""
     rows = usable_vectors(vectors, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0))
     rows = settled(rows, "hnsw-vectors")
-    index = settled(build_index(rows, **how), "hnsw-index")
+    index = settled(build_index(settled(distinct_vectors(rows, k), "hnsw-nodes"), **how), "hnsw-index")
     return search_index(index, rows.filter(F.col("vec_id") % every == 0), k=k)

@@ -1,146 +1,182 @@
 """Exact top-k by inner product: norm-sorted blocks, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are whole numbers, so scores are exact. Candidates are dealt into shards by descending length.
-All queries first meet the shard of the longest vectors, which gives each of them a threshold; a query
-then visits only shards whose longest vector could still beat it (|q||x| >= threshold). Inside a shard,
-blocks come by descending length; a block's first h rotated coordinates are multiplied out, the rest is
-bounded by the product of the residual lengths, and only what could reach the threshold is scored.
+Vectors are whole numbers, so scores are exact. Candidates are dealt into shards by descending length, one
+series of shards per number of components. All queries first meet the shard of the longest vectors, which
+gives each of them a threshold. A block of queries is then sent, with a copy of the shard, only to shards
+whose longest vector could still beat the threshold of one of its queries (|q||x| >= threshold), and of the
+block only the queries that need the shard. Inside a shard, blocks come by descending length; the first h
+coordinates, rotated by the shard's own singular vectors, are multiplied out, the rest is bounded by the
+product of the residual lengths, and only what could reach the threshold is scored.
+
+Bounds carry a slack relative to |q||x|, far above their rounding error, so nothing that could win is pruned.
+Scores from 2^53 on are summed in integers of any size; beyond the range of a long they count as its end.
 
 Nulls: rows with a null id or a vector that is null, empty, or holds nulls or non-finite numbers take no
-part. Equal rows count once; ties in score go to the smaller vec_id. An empty table gives no rows. Other
-columns are ignored.
+part. Vectors of other lengths than the query's have no inner product with it and are no candidates of it.
+Equal rows count once; ties in score go to the smaller vec_id. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled, usable_vectors
 
 OUT = "query_id long, vec_id long, score long"
-
-
-def gram_matrix(vectors: DataFrame, d: int) -> np.ndarray:
-    """Sum of x xT over all rows: partial sums in the tasks, then one row per cell, d * d in all."""
-
-    def part(batches):
-        total = np.zeros((d, d))
-        for b in batches:
-            x = np.asarray(b.column("vec").flatten(), dtype=np.float64).reshape(-1, d)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d, dtype=np.int32)), pa.array(total.ravel())], ["at", "value"])
-
-    cells = vectors.select("vec").mapInArrow(part, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    out = np.zeros(d * d)
-    for r in cells.collect():
-        out[r["at"]] = r["value"]
-    return out.reshape(d, d)
-
-
-def head_size(energy: np.ndarray, share: float = 0.7) -> int:
-    """Rotated coordinates that hold a share of the energy, in steps of eight."""
-    if energy.sum() <= 0:
-        return len(energy)
-    h = int(np.searchsorted(np.cumsum(energy) / energy.sum(), share)) + 1
-    return min(len(energy), -(-h // 8) * 8)
-
-
-def scan_shard(q_id, q, floor, c_id, c, rotation, h, k, block):
-    """Top-k of each query in one shard: (query index, candidate index, score) arrays. q and c hold
-    whole numbers; floor: the score a candidate has to reach, -inf if none is known."""
-    length = np.sqrt((c * c).sum(1))
+LEAST, MOST = -(2**63), 2**63 - 1
+EXACT = 2.0**53
+
+
+def lengths_of(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without overflow in between."""
+    top = np.maximum(np.abs(x).max(1, initial=0), 1e-300)
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
+
+
+def rotation_of(c: np.ndarray, share: float = 0.7) -> tuple[np.ndarray, int]:
+    """The right singular vectors of c, strongest first, and how many of them hold a share of the energy, in
+    steps of eight."""
+    scale = max(1.0, np.abs(c).max(initial=0))
+    energy, basis = np.linalg.eigh((c / scale).T @ (c / scale))
+    energy = energy[::-1].clip(0)
+    h = int(np.searchsorted(np.cumsum(energy), share * energy.sum())) + 1
+    return basis[:, ::-1].copy(), min(c.shape[1], -(-h // 8) * 8)
+
+
+def whole_products(q: np.ndarray, c: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q and c, pair by pair; bound: the product of their lengths."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        floats = np.rint(np.einsum("ij,ij->i", q, c))
+    large = ~(bound < EXACT)
+    out = np.where(large, 0, floats).astype(np.int64)
+    for i in np.flatnonzero(large):
+        out[i] = max(LEAST, min(MOST, sum(int(a) * int(b) for a, b in zip(q[i], c[i]))))
+    return out
+
+
+def k_best(row, score, ids, k: int):
+    """The k first of each row by descending score, then id; also each row's last kept score and whether it
+    has k of them."""
+    order = np.lexsort((ids, ~score, row))  # ~score falls as score rises, and cannot overflow
+    row, score, ids = row[order], score[order], ids[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], score[keep], ids[keep]
+
+
+def scan_shard(q_id, q, floor, c_id, c, k, block=1024, rows=1024, turn=None):
+    """Top-k of each query in one shard: (query position, candidate id, score) arrays. q and c hold whole
+    numbers; floor: the score that a candidate has to reach, as whole numbers, LEAST if none is known. turn: (rotation,
+    h), by default the shard's own."""
+    length = lengths_of(c)
     order = np.lexsort((c_id, -length))
     c, c_id, length = c[order], c_id[order], length[order]
-    q_rot, c_rot = q @ rotation, c @ rotation
-    q_rest, c_rest = np.sqrt((q_rot[:, h:] ** 2).sum(1)), np.sqrt((c_rot[:, h:] ** 2).sum(1))
-    q_len = np.sqrt((q * q).sum(1))
-    best = np.full((len(q), k), -np.inf)
-    best_at = np.full((len(q), k), -1)
-    bar = floor.copy()
-    for lo in range(0, len(c), block):
-        hi = min(lo + block, len(c))
-        live = np.flatnonzero(q_len * length[lo] + 1e-3 >= bar)  # longest first, so no later block can help the others
-        if not len(live):
-            break
-        bound = q_rot[live, :h] @ c_rot[lo:hi, :h].T + np.outer(q_rest[live], c_rest[lo:hi])
-        may = (bound + 1e-3 * (1 + np.abs(bound) * 1e-9) >= bar[live, None]) & (q_id[live, None] != c_id[None, lo:hi])
-        rows = may.any(1)
-        live, may = live[rows], may[rows]
-        if not len(live):
-            continue
-        exact = np.where(may, np.rint(q[live] @ c[lo:hi].T), -np.inf)
-        score = np.concatenate([best[live], exact], 1)
-        at = np.concatenate([best_at[live], np.broadcast_to(np.arange(lo, hi), exact.shape)], 1)
-        ids = np.where(at >= 0, c_id[at], np.iinfo(np.int64).max)
-        pick = np.lexsort((ids, -score), axis=1)[:, :k]
-        best[live], best_at[live] = np.take_along_axis(score, pick, 1), np.take_along_axis(at, pick, 1)
-        bar[live] = np.maximum(floor[live], best[live, -1])
-    qi, slot = np.nonzero(best_at >= 0)
-    keep = best[qi, slot] > -np.inf
-    qi, slot = qi[keep], slot[keep]
-    return qi, c_id[best_at[qi, slot]], best[qi, slot].astype(np.int64)
-
-
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, query_rows: int = 2048, block: int = 1024) -> DataFrame:
+    rotation, h = turn or rotation_of(c)
+    slack = 1e-12 * (c.shape[1] + 8)
+    with np.errstate(over="ignore", invalid="ignore"):
+        c_rot = c @ rotation
+    c_rest = lengths_of(c_rot[:, h:]) if h < c.shape[1] else np.zeros(len(c))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for a in range(0, len(q), rows):
+        qs, ids, least = q[a : a + rows], q_id[a : a + rows], floor[a : a + rows].copy()
+        with np.errstate(over="ignore", invalid="ignore"):
+            q_rot, q_len = qs @ rotation, lengths_of(qs)
+        q_rest = lengths_of(q_rot[:, h:]) if h < c.shape[1] else np.zeros(len(qs))
+        held = (np.empty(0, np.int64),) * 3
+        bar = np.where(least == LEAST, -np.inf, least.astype(np.float64))
+        for lo in range(0, len(c), block):
+            hi = min(lo + block, len(c))
+            with np.errstate(over="ignore", invalid="ignore"):
+                live = np.flatnonzero(~(q_len * length[lo] * (1 + slack) < bar))  # longest first: no later block helps the others
+                if not len(live):
+                    break
+                most = np.outer(q_len[live], length[lo:hi])
+                bound = q_rot[live, :h] @ c_rot[lo:hi, :h].T + np.outer(q_rest[live], c_rest[lo:hi]) + slack * most
+            may = ~(bound < bar[live, None]) & (ids[live, None] != c_id[None, lo:hi])
+            r, j = np.nonzero(may)
+            if len(r) > 8 * k * len(live):  # dense: only what is among the k largest products, ties and rounding included
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = np.where(may, np.nan_to_num(qs[live] @ c[lo:hi].T, nan=np.inf), -np.inf)
+                kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(live), -np.inf)
+                r, j = np.nonzero(may & ~(near + slack * most < kth[:, None]))
+            score = whole_products(qs[live[r]], c[lo + j], most[r, j])
+            good = score >= least[live[r]]
+            if not good.any():
+                continue
+            held = k_best(*(np.concatenate([x, y]) for x, y in zip(held, (live[r][good], score[good], c_id[lo + j][good]))), k)
+            full = np.bincount(held[0], minlength=len(qs)) >= k
+            last = np.searchsorted(held[0], np.flatnonzero(full), side="right") - 1
+            least[full] = np.maximum(least[full], held[1][last])
+            bar = np.where(least == LEAST, -np.inf, least.astype(np.float64))
+        out.append((held[0] + a, held[2], held[1]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def length(vec: str) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, query_rows: int = 8192, block: int = 1024) -> DataFrame:
     """vectors, queries: (vec_id long, vec array<double>) of whole numbers. Returns query_id, rank,
-    vec_id, score: the k largest inner products of each query over all vectors but those with its id."""
+    vec_id, score: the k largest inner products of each query over all vectors but those with its id.
+
+    What moves: each query once per shard that it needs, and each shard once per block of query_rows queries
+    that need it."""
     vectors = settled(vectors, "topk-vectors")
-    n = vectors.count()
-    if n == 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    d = len(vectors.first()["vec"])
-    energy, basis = np.linalg.eigh(gram_matrix(vectors, d))
-    rotation, h = basis[:, ::-1].copy(), head_size(energy[::-1].clip(0))
-
-    n_query = queries.count()
-    q_blocks = -(-max(1, n_query) // query_rows)
-    shards = -(-n // shard_rows)
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    dealt = vectors.withColumn("length", length)
+    shards = max(1, -(-vectors.count() // shard_rows))
+    dealt = vectors.withColumns({"d": F.size("vec"), "length": length("vec")})
     if shards > 1:
-        dealt = dealt.repartitionByRange(shards, F.desc("length"), F.xxhash64("vec_id"), F.xxhash64("vec"))
+        dealt = dealt.repartitionByRange(shards, "d", F.desc("length"), F.xxhash64("vec_id"), F.xxhash64("vec"))
     dealt = settled(dealt.withColumn("shard", F.spark_partition_id()), "topk-shards")
-    queries = settled(
-        queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(q_blocks)).cast("int").alias("q_block"), F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("q_length")),
-        "topk-queries",
-    )
+    longest = settled(dealt.groupBy("d", "shard").agg(F.max("length").alias("longest")), "topk-longest")
+    lead = longest.groupBy("d").agg(F.min("shard").alias("lead"))
+
+    queries = settled(queries, "topk-asked")
+    q_blocks = max(1, -(-queries.count() // query_rows))
+    number = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(q_blocks)).cast("int")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"), F.size("vec").alias("d"), number.alias("q_block"), length("vec").alias("q_length"))
 
     def scan(_: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q_id, c_id = q.query_id.to_numpy(), c.vec_id.to_numpy()
-        qi, ids, score = scan_shard(q_id, np.stack(q.q.to_numpy()).astype(np.float64), q.floor.to_numpy(float), c_id, np.stack(c.vec.to_numpy()).astype(np.float64), rotation, h, k, block)
-        return pd.DataFrame({"query_id": q_id[qi], "vec_id": ids, "score": score})
-
-    def visited(visits: DataFrame, candidates: DataFrame) -> DataFrame:
-        copies = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        return visits.groupBy("shard", "q_block").cogroup(copies.groupBy("shard", "q_block")).applyInPandas(scan, OUT)
-
-    first = settled(visited(queries.withColumns({"shard": F.lit(0), "floor": F.lit(float("-inf"))}), dealt.filter("shard = 0")), "topk-first")
+        q_id, c_id = q.query_id.to_numpy(np.int64), c.vec_id.to_numpy(np.int64)
+        at, ids, score = scan_shard(q_id, np.stack(q.q.to_numpy()).astype(np.float64), q.floor.to_numpy(np.int64), c_id, np.stack(c.vec.to_numpy()).astype(np.float64), k, block)
+        return pd.DataFrame({"query_id": q_id[at], "vec_id": ids, "score": score})
+
+    def visited(visits: DataFrame, pairs: DataFrame) -> DataFrame:
+        """visits: queries with d, shard, q_block; pairs: the (d, shard, q_block) among them."""
+        copies = dealt.join(pairs, ["d", "shard"]).select(*[F.col(c).alias(c) for c in ("vec_id", "vec", "d", "shard", "q_block")])
+        keys = ["d", "shard", "q_block"]
+        return visits.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(scan, OUT)
+
+    first_pairs = lead.withColumnRenamed("lead", "shard").join(asked.select("d", "q_block").distinct(), "d")
+    first = settled(visited(asked.join(lead.withColumnRenamed("lead", "shard"), "d").withColumn("floor", F.lit(LEAST)), first_pairs), "topk-first")
     found = first
     if shards > 1:
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor"))
-        longest = settled(dealt.filter("shard > 0").groupBy("shard").agg(F.max("length").alias("longest")), "topk-longest")
-        last = longest.agg(F.max("shard")).first()[0]
-        if last is not None:
-            visits = (
-                queries.join(floors, "query_id", "left")
-                .withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-                .withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(last))))
-                .join(longest, "shard")
-                .filter(F.col("q_length") * F.col("longest") + 1e-3 >= F.col("floor"))
-                .select("query_id", "q", "q_block", "floor", "shard")
-            )
-            found = found.union(visited(visits, dealt.filter("shard > 0")))
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(LEAST)).alias("floor"))
+        known = settled(asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST))), "topk-queries")
+        reach = F.when((F.col("q_length") > 0) & (F.col("floor") != LEAST), F.col("floor") / F.col("q_length")).otherwise(F.lit(float("-inf")))
+        blocks = known.groupBy("d", "q_block").agg(F.min(reach).alias("reach"))
+        room = F.lit(1 + 1e-9)
+        pairs = blocks.join(longest.join(lead, "d").filter("shard != lead"), "d").filter(F.col("longest") * room + F.abs("reach") * 1e-9 >= F.col("reach"))
+        pairs = settled(pairs.select("d", "shard", "q_block", "longest"), "topk-pairs")
+        needs = (F.col("q_length") * F.col("longest") * room >= F.col("floor")) | (F.col("floor") == LEAST)
+        found = found.union(visited(known.join(pairs, ["d", "q_block"]).filter(needs).drop("longest", "q_length"), pairs.drop("longest")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
-    """floor(scale * x) of each component, as whole doubles."""
+    """floor(scale * x) of each component, as whole doubles; a product beyond the doubles counts as their end."""
     rows = usable_vectors(df, id_col, vec_col)
-    return rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("double"))).dropDuplicates(["vec_id", "vec"])
+    end = F.lit(np.finfo(np.float64).max.item())
+
+    def whole(x: Column) -> Column:
+        y = F.greatest(-end, F.least(end, x * F.lit(scale)))
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    return rows.withColumn("vec", F.transform("vec", whole)).dropDuplicates(["vec_id", "vec"])

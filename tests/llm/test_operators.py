@@ -137,10 +137,14 @@ def test_pii_query_covers_all_documents(spark):
         assert got.loc[d.doc_id, ["n_email", "n_ip", "n_card", "n_phone"]].tolist() == [sum(k == i for _, k, _ in base) for i in range(4)]
 
 
+def bad_vectors(d):
+    return [(7000, None, 1), (7001, [1.0, None] + [0.0] * (d - 2), 1), (7002, [float("nan")] * d, 1), (7003, [float("inf")] * d, 1), (7004, [], 1), (None, [1.0] * d, 1)]
+
+
 def test_topk_several_shards_and_bad_vectors(spark):
     r = np.random.default_rng(1)
     x = np.floor(r.normal(size=(500, 8)) * r.lognormal(size=(500, 1)) * 100)
-    rows = [(int(i), v.tolist(), None) for i, v in enumerate(x)] + [(7000, None, 1), (7001, [1.0, None] + [0.0] * 6, 1), (7002, [float("nan")] * 8, 1), (7003, [float("inf")] * 8, 1), (7004, [], 1), (7005, [1.0], 1), (None, [1.0] * 8, 1), (3, x[3].tolist(), None)]
+    rows = [(int(i), v.tolist(), None) for i, v in enumerate(x)] + bad_vectors(8) + [(7005, [1.0], 1), (3, x[3].tolist(), None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int")
     vectors = topk_search.quantised(df, scale=1.0)
     got = topk_search.exact_topk(vectors, vectors.filter("vec_id % 50 = 0"), k=7, shard_rows=60, query_rows=3, block=16).toPandas()
@@ -150,7 +154,37 @@ def test_topk_several_shards_and_bad_vectors(spark):
         mine = got[got.query_id == i].sort_values("rank")
         assert list(zip(-mine.score, mine.vec_id)) == want
     assert topk_search.exact_topk(vectors.limit(0), vectors.limit(0)).count() == 0
-    assert hnsw.nearest(df, every=50, k=5, shard_rows=100).count() == 50
+
+
+def test_searches_over_vectors_of_several_lengths(spark):
+    """Each length is searched among its own, and no row vanishes; scores end at the range of a long."""
+    rows = [(100, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 2.0, 1.0]), (200, [1.0, 1.0, 1.0]), (300, [1e300] * 4), (4, [2e300] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk_search.quantised(df)
+    got = topk_search.exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10, shard_rows=2).toPandas()
+    m = 1024 * 1024
+    assert sorted(map(tuple, got.values.tolist())) == [(100, 1, 1, 11 * m), (200, 1, 3, 3 * m), (200, 2, 2, m), (300, 1, 4, 2**63 - 1)]
+    near = hnsw.nearest(df, every=100, k=5).toPandas()
+    assert sorted((a, b, c) for a, b, c in near[["query_id", "rank", "vec_id"]].values.tolist()) == [(100, 1, 1), (200, 1, 3), (200, 2, 2), (300, 1, 4)]
+
+
+def test_hnsw_shards_ties_and_bad_vectors(spark):
+    """Several shards against brute force; a third of the rows is one vector, and its ids come smallest first."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(600, 16))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(int(i), v.tolist(), None) for i, v in enumerate(x)] + bad_vectors(16) + [(7006, [0.0] * 16, 1), (3, x[3].tolist(), 1)], "vec_id long, embedding array<double>, shard int")
+    got = hnsw.nearest(df, every=50, k=20, shard_rows=100).toPandas()
+    hits = 0
+    for i in range(0, 600, 50):
+        s = x @ x[i]
+        want = [j for _, j in sorted((-v, j) for j, v in enumerate(s.round(9)) if j != i)][:20]
+        mine = got[got.query_id == i].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and np.allclose(mine.score, s[mine.vec_id])
+        hits += len(set(want) & set(mine.vec_id))
+        if i % 3 == 0:
+            assert mine.vec_id.tolist() == want
+    assert hits >= 0.9 * 12 * 20
     assert hnsw.nearest(df.limit(0)).count() == 0
 
 

@@ -131,31 +131,45 @@ def test_fingerprint_by_bits():
         assert simhash.fingerprint(t.encode()) == want
 
 
-def test_topk_kernel_equals_brute_force():
+@pytest.mark.parametrize("h", [2, 8, 16])
+def test_topk_kernel_equals_brute_force(h):
     r = np.random.default_rng(5)
     c = np.floor(r.normal(size=(700, 16)) * r.lognormal(size=(700, 1)) * 20)
     c[100:200] = c[0]
     q, ids = c[::50], np.arange(700) * 3
-    _, basis = np.linalg.eigh(c.T @ c)
-    for h in (2, 8, 16):
-        qi, who, score = topk_search.scan_shard(ids[::50], q, np.full(len(q), -np.inf), ids, c, basis[:, ::-1].copy(), h, 10, 64)
-        for i in range(len(q)):
-            s = (c @ q[i]).astype(int)
-            want = sorted((-x, j) for x, j in zip(s, ids) if j != ids[::50][i])[:10]
-            assert sorted((-x, j) for k, j, x in zip(qi, who, score) if k == i) == want
+    qi, who, score = topk_search.scan_shard(ids[::50], q, np.full(len(q), topk_search.LEAST), ids, c, 10, 64, 5, (topk_search.rotation_of(c)[0], h))
+    for i in range(len(q)):
+        s = (c @ q[i]).astype(int)
+        want = sorted((-x, j) for x, j in zip(s, ids) if j != ids[::50][i])[:10]
+        assert sorted((-x, j) for k, j, x in zip(qi, who, score) if k == i) == want
+
+
+def test_topk_scores_of_huge_vectors():
+    """Beyond 2^53 scores are exact, beyond a long they are its end, and nothing overflows on the way."""
+    r = np.random.default_rng(6)
+    c = np.concatenate([np.rint(r.normal(size=(40, 4)) * 10**k) for k in (2, 8, 12, 200)])
+    q, ids = c[::9], np.arange(len(c))
+    qi, who, score = topk_search.scan_shard(ids[::9], q, np.full(len(q), topk_search.LEAST), ids, c, 10, 16)
+    for i in range(len(q)):
+        s = [max(topk_search.LEAST, min(topk_search.MOST, sum(int(a) * int(b) for a, b in zip(q[i], x)))) for x in c]
+        want = sorted((-x, j) for j, x in enumerate(s) if j != ids[::9][i])[:10]
+        assert sorted((-int(x), j) for k, j, x in zip(qi, who, score) if k == i) == want
 
 
 def test_hnsw_recall_and_split_graphs():
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 32))
     x[:1000] = x[0] + r.normal(size=(1000, 32)) * 1e-3
-    nodes, links = hnsw.build(np.arange(3000), x.astype(np.float32), 16, 48, 16)
+    nodes, links = hnsw.build(x)
     q = x[::30]
-    at = hnsw.search(q, x, nodes, links, 128)
+    at = hnsw.search(q, hnsw.lifted(x), nodes, links, 128)
     hit = 0
     for i in range(len(q)):
         hit += len(set(np.argsort(-(x @ q[i]))[:20]) & set(at[i]))
     assert hit / (20 * len(q)) >= 0.9
+    for n in (1, 2, 5, 70):
+        nodes, links = hnsw.build(x[:n])
+        assert set(hnsw.search(q, hnsw.lifted(x[:n]), nodes, links, 128)[0]) - {-1} == set(range(n))
 
 
 def test_grams_and_model_without_letters():
