@@ -2,11 +2,17 @@
 
 Markup is stripped into lines, one per block element; scripts, styles, menus, page headers, footers,
 sidebars, notices, adverts, forms and reader comments are dropped with their elements. The lengths of what is
-left, links not counted, are summed over a sliding window of lines. The first line at which the sum surges
-over the threshold starts the text, the last one before it dives for good ends it, and everything between
-them stays. Where a page marks its article (article or main elements), lines outside of it count as empty,
-so surge and dive fall on its borders, however short its paragraphs are. Without such a mark the threshold is
-a share of the page's largest sum, and headings right before the surge belong to the text.
+left, links and buttons not counted, are summed over sliding windows of lines. The first line that lies in a
+window whose sum surges over the threshold starts the text, the last one before the sums dive for good ends
+it, and everything between them stays; a list that begins or ends there stays whole.
+
+Marks (article and main elements, and what is classed as one) are weights in those sums. Of the marked elements
+the innermost that holds most of the marked text counts; its lines weigh a threshold more than their length and
+lines elsewhere nothing, so the sums surge and dive around it, however short its paragraphs are. A heading
+before it, in the same outer mark, counts as its own. Where marked text is less than a fifth of a page, marks
+weigh nothing and the lengths alone decide.
+
+Classes, ids and roles are compared by whole names, or where every part of a compound is known.
 
 Nulls: a null page has no text. Unclosed elements, cut-off tags and stray brackets are taken as browsers
 do. Repeated rows each come out, an empty table gives no rows, other columns do not matter.
@@ -26,86 +32,108 @@ from .common import pieces
 # Elements of HTML.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select button".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video select".split())
 DROPPED = frozenset("nav footer aside form menu dialog".split())
 GAP = frozenset("br td th".split())
-#: Words in class, id or role that mark what is not the article.
-MARKS = frozenset("ad ads adv advert adverts advertisement alert announcement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup privacy promo promoted promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toast toc toolbar warning widget".split())
+#: Elements that hold other blocks, and lists, which stay whole.
+HOLDS = frozenset("div section aside ul ol dl table details fieldset figure".split())
+GROUPS = frozenset("ul ol dl".split())
+#: Names in class, id or role of what is not the article, wherever they stand.
+MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup promo promoted sidebar sponsor sponsored subscribe toolbar".split())
+#: Names that mean it only on elements that hold other blocks, since they can also describe a paragraph.
+HOLDER_MARKS = frozenset("alert announcement dialog disclaimer login privacy promotion related replies reply search share sharing signup skip social subscription toast toc widget".split())
+#: Parts that say nothing in a compound with one of these.
+NEUTRAL = frozenset("area article articles bar block bottom box btn button buttons container form global group holder icons inner item items left link links list main message outer page panel post posts primary right row secondary section site slot stories text this top unit widgets wrap wrapper".split())
 HEADER_MARKS = frozenset("header topbar".split())
-#: Words that mark the article, by how much they say: the strongest kind on a page bounds the text.
-ARTICLE_MARKS = (frozenset(), frozenset(["articlebody", "article"]), frozenset(["post", "entry", "story"]), frozenset(["content", "main"]))
+#: Names that mark the article.
+ARTICLE_MARKS = frozenset("article articlebody content entry main post story".split())
+TITLE_PARTS = frozenset("article body content entry main page post primary single story text".split())
+#: An article's mark is trusted over these.
+NOT_ARTICLES = frozenset("ad advert comment comments promo related replies reply".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-PART = re.compile(r"[a-z0-9]+")
+PART = re.compile(r"[a-z0-9]+|[^\x00-\x7f]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
+#: Lines of a window; share of the largest sum, and the number of characters, that a surge takes at most.
+WINDOW, SHARE, SURGE = 3, 0.25, 86
+#: Share of the page's text from which marks weigh.
+TRUST = 0.2
+
 
-def words_of(attrs: str) -> set:
-    """The words of class, id, role and itemprop, also as they are joined by capitals."""
-    words = set()
+def names_of(attrs: str) -> list:
+    """The parts of each name in class, id, role and itemprop."""
+    names = []
     for m in ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        words.update(PART.findall(value.lower()))
-        words.update(PART.findall(CAMEL.sub(" ", value).lower()))
-    return words
+        for name in (m[2] or m[3] or m[4] or "").split():
+            names.append(frozenset([name.lower()]))
+            parts = frozenset(PART.findall(CAMEL.sub(" ", name).lower()))
+            if len(parts) > 1:
+                names.append(parts)
+    return names
 
 
-def marked(name: str, attrs: str, words: set, in_article: bool) -> bool:
-    """Whether an element is dropped with all it holds."""
+def among(names: list, marks: frozenset, neutral: frozenset = NEUTRAL) -> bool:
+    """Whether a name is one of the marks, or a compound of marks and neutral parts only."""
+    return any(parts & marks and parts <= marks | neutral for parts in names)
+
+
+def dropped(name: str, attrs: str, names: list, in_article: bool) -> bool:
+    """Whether an element goes with all it holds."""
     if name in DROPPED or (name == "header" and not in_article):
         return True
     if name in ("html", "body") or not attrs:
         return False
     if HIDDEN.search(attrs):
         return True
-    if name == "main" or (name == "article" and not words & {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related"}):
+    if name == "main" or (name == "article" and not among(names, NOT_ARTICLES)):
         return False
-    if words & MARKS:
+    if among(names, MARKS, NEUTRAL | HOLDER_MARKS) or (name in HOLDS and among(names, HOLDER_MARKS)):
         return True
-    return bool(words & HEADER_MARKS) and not in_article and not words & {"article", "entry", "post", "content", "title"}
+    return name in HOLDS and not in_article and among(names, HEADER_MARKS, frozenset("bar container global main page site top wrap wrapper".split()))
+
 
+def marks_article(name: str, names: list) -> bool:
+    return name in ("article", "main") or (name in BLOCK and name not in ("html", "body", "head") and among(names, ARTICLE_MARKS, TITLE_PARTS))
 
-def kind_of(name: str, words: set) -> int:
-    """Bit of the strongest kind of article mark that an element is; 0 for none."""
-    if name == "article":
-        return 1
-    if name == "main" or "articlebody" in words:
-        return 2
-    for k, marks in enumerate(ARTICLE_MARKS):
-        if words & marks:
-            return 1 << k
-    return 0
+
+class Line:
+    """text; plain: characters in it that are not in links or buttons; marks: numbers of the marked elements around it,
+    outermost first; heading: whether it is one; group: the outermost list around it, 0 for none."""
+
+    __slots__ = ("text", "plain", "marks", "heading", "group")
+
+    def __init__(self, text, plain, marks, heading, group):
+        self.text, self.plain, self.marks, self.heading, self.group = text, plain, marks, heading, group
 
 
 def lines_of(page: str) -> list:
-    """(text, characters in links, kinds of article marks around it, is a heading) of each line that has text."""
-    lines, parts, linked = [], [], 0
-    open_, kinds = [], 0  # block elements around this place, and the marks among them
-    anchor = 0
+    """The page's lines that have text."""
+    lines, parts, linked, pressed = [], [], 0, 0
+    open_, marks, group, number = [], (), 0, 0  # block elements around this place, and what they say
+    anchor = button = 0
     heading = False
     skip, depth = "", 0
     at, n = 0, len(page)
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts, linked, pressed
         text = " ".join("".join(parts).split())
-        if text:
-            lines.append((text, min(linked, len(text)), kinds, heading))
-        parts, linked = [], 0
+        if text and pressed < len(text):  # a line of buttons only is none
+            lines.append(Line(text, max(0, len(text) - linked - pressed), marks, heading, group))
+        parts, linked, pressed = [], 0, 0
 
     def leave(name: str):
         """Close the innermost element of that name and all in it; without one nothing is closed."""
-        nonlocal kinds
+        nonlocal marks, group
         for i in range(len(open_) - 1, -1, -1):
             if open_[i][0] == name:
+                marks, group = open_[i][1:]
                 del open_[i:]
-                kinds = 0
-                for _, k in open_:
-                    kinds |= k
                 return
 
     while at < n:
@@ -114,8 +142,10 @@ def lines_of(page: str) -> list:
         if upto > at and not skip:
             text = html.unescape(page[at:upto])
             parts.append(text)
-            if anchor:
-                linked += len(text.strip())
+            if button:
+                pressed += len(" ".join(text.split()))
+            elif anchor:
+                linked += len(" ".join(text.split()))
         if lt < 0:
             break
         after = page[lt + 1 : lt + 2]
@@ -155,6 +185,8 @@ def lines_of(page: str) -> list:
             parts.append(" ")
         if name == "a":
             anchor = 0 if close else 1
+        elif name == "button":
+            button = 0 if close else 1
         if close:
             if name in BLOCK:
                 leave(name)
@@ -165,48 +197,57 @@ def lines_of(page: str) -> list:
             end = END[name].search(page, at)
             at = n if not end else (page.find(">", end.start()) + 1 or n)
             continue
-        words = words_of(m[3]) if "=" in m[3] else set()
-        if marked(name, m[3], words, kinds > 0):
+        names = names_of(m[3]) if "=" in m[3] else []
+        if dropped(name, m[3], names, bool(marks)):
             skip, depth = name, 1
         elif name in BLOCK:
-            kind = kind_of(name, words) if name not in ("html", "body", "head") else 0
-            open_.append((name, kind))
-            kinds |= kind
+            open_.append((name, marks, group))
+            number += 1
+            if marks_article(name, names):
+                marks += (number,)
+            if name in GROUPS and not group:
+                group = number
     if not skip:
         flush()
     return lines
 
 
-def main_lines(lines: list, window: int = 3, share: float = 0.25, least: int = 86) -> list:
+def weights_of(lines: list) -> list:
+    """What each line adds to the sums: its plain characters, if they are more than half of it; where marks
+    weigh, a threshold more inside the marked element that counts, and nothing elsewhere."""
+    size = [x.plain if 2 * x.plain > len(x.text) else 0 for x in lines]
+    mass: dict = {}
+    depth: dict = {}
+    for x, s in zip(lines, size):
+        for i, m in enumerate(x.marks):
+            mass[m], depth[m] = mass.get(m, 0) + s, i
+    most = max(mass.values(), default=0)
+    if not most or most < TRUST * sum(size):
+        return size
+    own = max((m for m, s in mass.items() if s >= (1 - SHARE) * most), key=lambda m: (depth[m], mass[m]))
+    first = next(i for i, x in enumerate(lines) if own in x.marks)
+    root = lines[first].marks[0]
+    out = []
+    for i, (x, s) in enumerate(zip(lines, size)):
+        title = i < first and x.heading and root in x.marks
+        out.append(s + SURGE if s and (own in x.marks or title) else 0)
+    return out
+
+
+def main_lines(lines: list) -> list:
     """The lines between surge and dive."""
-    kinds = 0
-    for x in lines:
-        kinds |= x[2]
-    bit = kinds & -kinds  # the strongest kind on the page
-    inside = [bool(k & bit) if bit else True for _, _, k, _ in lines]
-    size = [0 if not a or (not bit and 2 * k >= len(t)) else max(1, len(t) - k) for (t, k, _, _), a in zip(lines, inside)]
+    size = weights_of(lines)
     if not any(size):
         return []
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
-    bar = 1 if bit else min(least, max(sums) * share)
-    tall = [i for i in range(len(size)) if size[i] and sums[i] >= bar]
-    surge = tall[0]
-    back = [i for i in range(len(size)) if size[i] and sum(size[max(0, i - window + 1) : i + 1]) >= bar]
-    dive = back[-1]
-    if not bit:
-        # the window looks ahead: short lines before the first long one are in front of the text, but for headings
-        while surge < dive and size[surge] < bar and not lines[surge][3] and not ended(lines[surge][0]):
-            surge += 1
-        while dive > surge and size[dive] < bar and not ended(lines[dive][0]):
-            dive -= 1
-        while surge and lines[surge - 1][3]:
-            surge -= 1
-    return [t for (t, _, _, _), a in zip(lines[surge : dive + 1], inside[surge : dive + 1]) if a]
-
-
-def ended(text: str) -> bool:
-    """Whether a line ends as a sentence does."""
-    return text.rstrip("\"'”’»)")[-1:] in (".", "!", "?", "…", ":")
+    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]  # of the window that starts at a line
+    bar = min(SURGE, max(sums) * SHARE)
+    high = [i for i, s in enumerate(size) if s and max(sums[max(0, i - WINDOW + 1) : i + 1]) >= bar]
+    surge, dive = high[0], high[-1]
+    while dive + 1 < len(lines) and lines[dive + 1].group and lines[dive + 1].group == lines[dive].group and 2 * lines[dive + 1].plain > len(lines[dive + 1].text):
+        dive += 1
+    while surge and lines[surge - 1].group and lines[surge - 1].group == lines[surge].group and 2 * lines[surge - 1].plain > len(lines[surge - 1].text):
+        surge -= 1
+    return [x.text for x in lines[surge : dive + 1]]
 
 
 def main_text(page: str | None) -> str:

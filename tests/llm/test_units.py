@@ -205,3 +205,20 @@ def test_page_without_article():
     page = f"<div>My site</div><ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul><h2>Head</h2>{body}<p>End.</p><div><a href=c>Imprint</a></div><div>Made with care</div>"
     got = pagetext.main_text(page).split("\n\n")
     assert got[0] == "Head" and got[1].endswith("0.") and got[-1] == "End." and len(got) == 6
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><article><h1>Head</h1><p>The main text of it.</p></article></main><section class='latest'><article>teaser</article></section>", "Head|The main text of it."),
+        ("<main><h1>Head</h1><article><p>Body one.</p><p>Two.</p></article><div class='related-posts'><p>More</p></div></main>", "Head|Body one.|Two."),
+        ("<article><p class='warning'>Hot.</p><div class='social-science'><p>Study.</p></div><div id='search-results'><p>Found.</p></div></article>", "Hot.|Study.|Found."),
+        ("<article><p>Press the <button>Save</button> key.</p><p><button>Share</button></p><div class='ad-slot'>Buy</div><ul class='share-buttons'><li>X</li></ul></article>", "Press the Save key."),
+        ("<p>Intro</p><p>" + "word " * 60 + "</p><ul><li>milk</li><li>eggs</li><li>flour</li><li>salt</li></ul>", "Intro|" + ("word " * 60).strip() + "|milk|eggs|flour|salt"),
+        ("<p>" + "word " * 60 + "</p><p>see also</p>", ("word " * 60).strip() + "|see also"),
+        ("<article>tiny</article><div>" + "<p>" + "word " * 60 + "</p></div>", "tiny|" + ("word " * 60).strip()),
+        ("<article><p>A.</p><aside>x</aside><div role='complementary'>y</div><p>a&nbsp;&amp; b</p></article>", "A.|a & b"),
+    ],
+)
+def test_pages_that_marks_or_lengths_decide(page, want):
+    assert pagetext.main_text(page) == want.replace("|", "\n\n")
