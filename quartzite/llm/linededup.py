@@ -1,6 +1,6 @@
 """Cross-site line deduplication by distinct-site spread.
 
-Lines (split at \n, outer spaces trimmed) are hashed to 128 bits. Per hash a HyperLogLog sketch of the
+Lines (split at \n; outer spaces and carriage returns do not count) are hashed to 128 bits. Per hash a HyperLogLog sketch of the
 sites it stands on is merged by aggregation. Estimates clearly over or under the threshold decide; lines
 near it get an exact distinct count. A line spread over at least min_sites sites is boilerplate: it stays
 where it comes first (least doc_id, then place in the text) and goes everywhere else, so whole copied
@@ -33,9 +33,14 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def bare(line: Column) -> Column:
+    """A line without outer spaces and carriage returns."""
+    return F.trim(line, F.lit(" \r"))
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, site, pos, h1, h2, long), one row per line that holds more than spaces."""
-    hashed = F.transform(lines_of(F.col("text")), lambda x: F.when(F.trim(x) != "", F.struct(F.xxhash64(F.trim(x)).alias("h1"), F.xxhash64(F.lit("second"), F.trim(x)).alias("h2"), (n_words(x) >= LONG_LINE).alias("long"))))
+    """(doc_id, tag, site, pos, h1, h2, long), one row per line that is not blank."""
+    hashed = F.transform(lines_of(F.col("text")), lambda x: F.when(bare(x) != "", F.struct(F.xxhash64(bare(x)).alias("h1"), F.xxhash64(F.lit("second"), bare(x)).alias("h2"), (n_words(x) >= LONG_LINE).alias("long"))))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("source"), F.lit("\0none")).alias("site"), F.posexplode(hashed).alias("pos", "h"))
     return rows.filter("h is not null").select("doc_id", "tag", "site", "pos", "h.h1", "h.h2", "h.long")
 
@@ -56,21 +61,22 @@ def spread_lines(rows: DataFrame, min_sites: int, long_sites: int | None = None,
 
 
 def cleaned(docs: DataFrame, min_sites: int, long_sites: int | None = None) -> DataFrame:
-    """(d, text, n_lines, n_dropped): d is the row as it was, packed so that none of its columns can clash."""
+    """(d, text, n_lines, n_dropped): d is the row but for its text, packed so that none of its columns can clash."""
     rows = line_rows(docs)
     spread = settled(spread_lines(rows, min_sites, long_sites), "lines-boilerplate")
     here = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("pos"), F.col("tag"))
     gone = rows.join(spread, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first")))
     places = settled(gone.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at")), "lines-dropped")
-    packed = docs.select(F.struct(*docs.columns).alias("d"))
-    joined = packed.join(places, F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("d.text") == F.col("tag")), "left")
-    text = F.col("d.text")
-    kept = F.array_join(F.filter(lines_of(text), lambda x, i: ~F.array_contains(F.col("at"), i)), "\n")
-    n_lines = F.size(F.filter(lines_of(text), lambda x: F.trim(x) != ""))
+    # The lines come out of the join as a column of their own: picking one by its place then costs nothing.
+    others = [F.col(c).alias(c) for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others).alias("d"), lines_of(F.col("text")).alias("lines"), F.xxhash64("text").alias("text_tag"))
+    joined = packed.join(places, F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("text_tag") == F.col("tag")), "left")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.when(F.col("at").isNull(), F.col("lines")).otherwise(F.transform(F.array_except(every, "at"), lambda i: F.col("lines")[i]))
     return joined.select(
         "d",
-        F.when(F.col("at").isNull(), text).otherwise(kept).alias("text"),
-        F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.array_join(kept, "\n").alias("text"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: bare(x) != ""))).cast("long").alias("n_lines"),
         F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long").alias("n_dropped"),
     )
 

@@ -102,11 +102,11 @@ select doc_id, source, size, source_size, target, cast(epochs * size + greatest(
 with lines as (
   select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
 spread as (
-  select trim(line, ' ') as line, arg_min(struct_pack(d := doc_id, p := pos), struct_pack(n := doc_id is null, d := doc_id, p := pos)) as first
-  from lines where trim(line, ' ') <> '' group by 1 having count(distinct coalesce(source, chr(1) || 'none')) >= 5),
+  select trim(line, ' ' || chr(13)) as line, arg_min(struct_pack(d := doc_id, p := pos), struct_pack(n := doc_id is null, d := doc_id, p := pos)) as first
+  from lines where trim(line, ' ' || chr(13)) <> '' group by 1 having count(distinct coalesce(source, chr(1) || 'none')) >= 5),
 marked as (
   select l.doc_id, l.pos, l.line, s.line is not null and (l.doc_id, l.pos) is distinct from (s.first.d, s.first.p) as gone
-  from lines l left join spread s on trim(l.line, ' ') = s.line)
-select doc_id, cast(count(*) filter (where trim(line, ' ') <> '') as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
+  from lines l left join spread s on trim(l.line, ' ' || chr(13)) = s.line)
+select doc_id, cast(count(*) filter (where trim(line, ' ' || chr(13)) <> '') as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
   coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text from marked group by doc_id""",
 }

@@ -28,3 +28,25 @@ def test_stage_drops_passages_on_two_sources(spark):
     want = {i: t for i, t, _ in rows} | {2: "second\nshort"}
     assert texts(corpus_pipeline.lines(spark, frame(spark, rows), "")) == want
     assert texts(linededup.drop_spread_lines(frame(spark, rows), 5)) == {i: t for i, t, _ in rows}
+
+
+def test_carriage_returns_do_not_hide_a_line(spark):
+    docs = frame(spark, [(i, f"own {i}\nshared{end}\nlast", s) for i, (s, end) in enumerate(zip("abc", ["", "\r", " \r"]))])
+    assert texts(linededup.drop_spread_lines(docs, 3)) == {0: "own 0\nshared\nlast", 1: "own 1", 2: "own 2"}
+
+
+def test_many_dropped_lines_of_one_text(spark):
+    """Copies of 60,000 lines on three sources: the filter is linear, or this would take minutes."""
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    got = linededup.drop_spread_lines(frame(spark, [(1, text, "a"), (2, text, "b"), (3, text + "\nown", "c")]), 3)
+    rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()}
+    assert rows == {1: (text, 60_000, 0), 2: ("", 60_000, 60_000), 3: ("own", 60_001, 60_000)}
+
+
+def test_rows_and_columns_of_all_kinds(spark):
+    """Repeated rows are treated alike, nulls stay, columns of clashing names stay as they were."""
+    rows = [(1, "a b\nshared", "x", 7, "t"), (1, "a b\nshared", "x", 7, "t"), (2, "shared\n\nc", "y", 8, None), (None, "shared", None, 9, "u"), (3, None, "y", 1, "v"), (4, "", "", 2, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, at int, tag string")
+    got = sorted(map(tuple, linededup.drop_spread_lines(docs, 3).collect()), key=str)
+    want = [(1, "a b\nshared", "x", 7, "t", 2, 0)] * 2 + [(2, "\nc", "y", 8, None, 2, 1), (None, "", None, 9, "u", 1, 1), (3, None, "y", 1, "v", 0, 0), (4, "", "", 2, "w", 0, 0)]
+    assert got == sorted(want, key=str)
