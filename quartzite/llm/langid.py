@@ -1,13 +1,14 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Document frequencies cover every labelled row that may be learned from. The weights are fitted on a bounded
-sample of those rows (max_rows, by a hash of doc_id): the sample is dealt into shards, each runs
-follow-the-regularised-leader with elastic-net penalties, and the shards' weights are averaged. A second
-bounded sample, of rows that the weights have not seen, sets the temperature of the softmax. Prediction
-reads whole texts and nothing but the text.
-
-Nulls: a null text, or one without a letter, is "und" with score 0; rows with a null lang or text teach
-nothing; with nothing to learn from, all rows are "und". Repeated rows each come out; an empty table gives no
+sample of those rows (max_rows, by a hash of doc_id and text), and the languages learned are the sample's: it is
+dealt into shards, each runs follow-the-regularised-leader with elastic-net penalties, and the shards' weights
+are averaged. A second bounded sample (max_calibration_rows), of rows that the weights have not seen, sets the
+temperature of the softmax. Both are cut from the table in one pass and written. Prediction reads whole texts
+and nothing but the text.
+
+Nulls: a null text, or one without a letter of any script, is "und" with score 0; rows with a null lang or text
+teach nothing; with nothing to learn from, all rows are "und". Repeated rows each come out; an empty table gives no
 rows. Other columns do not matter.
 """
 
@@ -19,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, settled
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-#: A model holds langs x 65536 floats and is broadcast, so the number of languages is bounded.
-MAX_LANGS = 256
+LETTERS = r"\p{L}"
 
 _letters = None
 
 
 def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
     global _letters
     if _letters is None:
-        _letters = np.array([chr(c).isalpha() for c in range(1 << 16)])
+        _letters = np.array([chr(c).isalpha() for c in range(0x110000)])
     return _letters
 
 
@@ -40,7 +41,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the text's 1-, 2- and 3-grams, lower case, other characters than letters as one
     kind of gap; both empty if there is no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    ok = letter_table()[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    ok = letter_table()[points]
     if not ok.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     points[~ok] = 32
@@ -124,26 +125,28 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def bounded_sample(rows: DataFrame, n: int, most: int, seed: str) -> DataFrame:
-    """About most of the n rows, the same on each run: those whose hash is under a share of its range."""
-    share = min(1.0, most / max(1, n))
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    return rows if share >= 1 else rows.filter(place < share)
+def samples(rows: DataFrame, n: int, max_rows: int, max_calibration_rows: int) -> DataFrame:
+    """(text, lang, h, fit): about max_rows rows to fit and max_calibration_rows to calibrate, of those whose
+    remainder is 3; the same on each run, by a hash. n: how many rows there are."""
+    h = F.xxhash64("doc_id", "text")
+    place = F.pmod(F.xxhash64(F.lit("sample"), h), F.lit(1 << 30)) / float(1 << 30)
+    fit = F.col("r").isNull() | (F.col("r") != 3)
+    share = F.when(fit, max_rows / max(1, n * 2 // 3)).otherwise(max_calibration_rows / max(1, n // 3))
+    return rows.select("text", "lang", h.alias("h"), fit.alias("fit")).filter(place < share)
 
 
 def train(docs: DataFrame, max_rows: int = 16_000, max_calibration_rows: int = 4_000, shard_rows: int = 2_000, epochs: int = 3) -> Model:
     spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang", remainder().alias("r")).filter("text is not null and lang is not null and (r is null or r != 2)")
-    langs = sorted(r["lang"] for r in usable.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages to learn")
     df, n = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + df)) + 1
+    sample = settled(samples(usable, n, max_rows, max_calibration_rows), "language-sample")
+    known = sample.filter("fit").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # at most max_rows rows
+    langs, rows = [r["lang"] for r in known], sum(r["n"] for r in known)
     if not langs:
         return Model([], idf, np.zeros((0, BUCKETS + 1)))
     number = {x: i for i, x in enumerate(langs)}
-    fit = bounded_sample(usable.filter("r is null or r != 3"), n * 2 // 3, max_rows, "fit")
-    shards = max(1, min(max_rows, n * 2 // 3) // shard_rows)
+    shards = max(1, rows // shard_rows)
     know = spark.sparkContext.broadcast(idf)
 
     def shard(batches):
@@ -157,17 +160,14 @@ def train(docs: DataFrame, max_rows: int = 16_000, max_calibration_rows: int = 4
                     learner.learn(at, v, y)
         w = learner.weights(np.arange(BUCKETS + 1))
         i, at = np.nonzero(w)
-        yield pd.DataFrame({"lang": i, "at": at, "w": w[i, at] * len(rows), "rows": len(rows)})
+        yield pd.DataFrame({"lang": i, "at": at, "w": w[i, at] * len(rows)})
 
-    dealt = fit.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).repartition(shards, "h")
-    parts = dealt.mapInPandas(shard, "lang int, at int, w double, rows long")
-    weights = parts.groupBy("lang", "at").agg(F.sum("w").alias("w")).toPandas()  # at most langs x buckets
-    total = max(1, fit.count())
+    dealt = sample.filter("fit").select("text", "lang", "h").repartition(shards, "h")
+    weights = dealt.mapInPandas(shard, "lang int, at int, w double").groupBy("lang", "at").agg(F.sum("w").alias("w")).toPandas()  # at most langs x buckets
     w = np.zeros((len(langs), BUCKETS + 1))
-    w[weights["lang"].to_numpy(np.int64), weights["at"].to_numpy(np.int64)] = weights["w"].to_numpy() / total
+    w[weights["lang"].to_numpy(np.int64), weights["at"].to_numpy(np.int64)] = weights["w"].to_numpy() / rows
     model = Model(langs, idf, w)
-    held = bounded_sample(usable.filter("r = 3"), n // 3, max_calibration_rows, "temperature")
-    model.temperature = temperature(held, model)
+    model.temperature = temperature(sample.filter("not fit"), model)
     return model
 
 
@@ -177,7 +177,7 @@ def temperature(rows: DataFrame, model: Model) -> float:
 
     def score(batches):
         for pdf in batches:
-            got = [(known.value.logits(t), x) for t, x in zip(pdf.text, pdf.lang)]
+            got = [(known.value.logits(t), x) for t, x in zip(pdf.text, pdf.lang) if x in known.value.langs]
             got = [(list(s), known.value.langs.index(x)) for s, x in got if s is not None]
             yield pd.DataFrame({"s": [s for s, _ in got], "y": [y for _, y in got]})
 

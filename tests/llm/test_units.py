@@ -173,7 +173,9 @@ def test_hnsw_recall_and_split_graphs():
 
 
 def test_grams_and_model_without_letters():
-    assert len(langid.grams("123 !?")[0]) == 0
+    for t in ("123 !?", "😀", "👍🏽 12", "𝟙𝟚", "\U0010ffff"):
+        assert len(langid.grams(t)[0]) == 0
+    assert len(langid.grams("𐐀")[0]) and len(langid.grams("𝐀")[0])  # letters beyond 0xffff
     at, n = langid.grams("Aa")
     assert n.sum() == 3
 
