@@ -25,9 +25,13 @@ LONG_SITES = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learned language, go."""
+    """Documents without a letter, or in no learned language, go. Where nothing can be learned (no labelled text),
+    every text with a letter stays, since none can be told to be in another language. Repeated rows are judged
+    alike; an empty table stays empty."""
     wide_rows(spark)
     model = langid.train(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(langid.LETTERS))
     found = langid.packed_predictions(docs.select(F.struct(*docs.columns).alias("d"), F.col("text").alias("text")), model)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("d.*")
 
