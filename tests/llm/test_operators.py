@@ -106,6 +106,18 @@ def test_token_files_equal_library(spark, tmp_path):
     assert len(got) == docs.count()
 
 
+def test_token_files_of_rows_that_share_an_id(spark):
+    """A third of the rows has no doc_id and a third one id: they are still in order, each with all its ids."""
+    ids = [None] * 40 + [7] * 40 + list(range(100, 140))
+    docs = spark.createDataFrame([(d, f"text number {i}", 1) for i, d in enumerate(ids)] + [(7, None, 1), (7, "", 2)], "doc_id long, text string, part int")
+    got = tokenfile.token_files(docs.repartition(8), q.vocabulary(q.WORD_BPE)).toPandas().sort_values("start")
+    coder = tokenfile.WordTokenizer(q.vocabulary(q.WORD_BPE))
+    want = [zlib.crc32(np.array(coder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for t in docs.toPandas().text]
+    assert sorted(got.ids_crc32) == sorted(want)
+    assert (got.start == got.n_tokens.cumsum() - got.n_tokens).all()
+    assert got.doc_id.isna().tolist() == [True] * 40 + [False] * 82 and got.doc_id.dropna().is_monotonic_increasing
+
+
 def test_language_id_held_out_accuracy(spark):
     got = q.op8_language_id(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet"), on="doc_id")
     held = got[got.held_out]

@@ -30,7 +30,7 @@ def test_bpe_tree_equals_library(leaf):
 
 def test_word_tokenizer_equals_library():
     coder = tokenfile.WordTokenizer(vocabulary(WORD_BPE), most=50)
-    some = texts(200, 300) + ["", "Straße ÀÉ İstanbul", "a<|endoftext|>b", "x\x1cy", "ﬁne ΑΣ", "it's we'll 12³ ½ª"]
+    some = texts(200, 300) + ["", "Straße ÀÉ İstanbul", "a<|endoftext|>b", "x\x1cy", "ﬁne ΑΣ", "it's we'll 12³ ½ª", "a.,b ... .'s it's. 3.14,15 ,x", ". , .", "a\x0b.\x0bb"]
     for lo in range(0, len(some), 20):
         for t, got in zip(some[lo : lo + 20], coder.encode(pa.array(some)[lo : lo + 20])):
             assert np.frombuffer(got, "<u2").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
@@ -54,6 +54,17 @@ def test_rans_round_trip(n):
         tokenfile.rans_decode(n, states, broken[:-1], freq, start, np.repeat(np.arange(1 << 16, dtype=np.uint16), f))
 
 
+def test_ids_of_a_large_vocabulary():
+    assert tokenfile.id_type(1 << 16) == "<u2" and tokenfile.id_type((1 << 16) + 1) == "<u4"
+    r = np.random.default_rng(0)
+    s = r.integers(0, 200_000, 50_000).astype("<u4")
+    f = tokenfile.frequency_table(np.bincount(s, minlength=200_000))
+    freq = f.astype(np.uint64)
+    start = np.cumsum(freq) - freq
+    states, words = tokenfile.rans_encode(s, freq, start, 64)
+    assert (tokenfile.rans_decode(len(s), states, words, freq, start, np.repeat(np.arange(200_000, dtype="<u4"), f)) == s).all()
+
+
 def test_frequency_table_extremes():
     n = np.zeros(1 << 16, np.int64)
     n[:49_000] = 1
