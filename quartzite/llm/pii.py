@@ -1,10 +1,19 @@
 """Personal data in whole texts, with spans in source characters.
 
-Base detectors run on the text as it is. Then transducers rewrite disguises: look-alike letters and digits to
-ASCII, zero-width characters to nothing, spelled digits to digits, "plus" before them to +, and (at), [dot]
-or "name at host dot tld" to @ and full stops. Each rewritten character carries the source characters it
-came from, stages compose, and the same detectors run on the result; a hit that holds a rewritten character
-is mapped back and added unless a base span of its kind already covers it. Base spans always stay.
+Base detectors run on the text as it is. Then a chain of transducers rewrites disguises:
+
+* look-alike letters and digits to ASCII, zero-width characters to nothing;
+* letters that stand for digits inside numbers (4l11, 1O) to those digits;
+* runs of digits spelled in English, Spanish, French or German, also "double four", digits among them and "dot"
+  between them, to plain numbers, "plus" before them to +;
+* signs for @ and full stops, wrapped (at), spoken " dot " or joined _at_, each alone or beside the plain sign:
+  an automaton walks the chain of signs and the words between them, and where a chain reads as an address (or as
+  four numbers) its signs are rewritten.
+
+Each rewritten character carries the source characters it came from, stages compose, and the same detectors
+run on the result; a hit that holds a rewritten character is mapped back and added unless a base span of its
+kind already covers it. Base spans always stay. A spoken address needs a known ending, and a plain word that often
+stands before "at" (visit us at ...) is no name.
 
 Every detector is linear in the text's length, also on long runs of digits or letters.
 
@@ -37,10 +46,30 @@ LOOKALIKES = {
     "ı": "i", "ɡ": "g", "ℓ": "l", "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
+# Digits as they are spelled in four languages, zero first; words before a digit that is said
+# more than once; words for +, @ and the full stop.
+SPELLINGS = {
+    "en": "zero one two three four five six seven eight nine",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+}
+DIGIT_WORDS = {w: str(i) for words in SPELLINGS.values() for i, w in enumerate(words.split())} | {"oh": "0", "nought": "0", "ein": "1", "zwo": "2", "fuenf": "5"}
+TIMES = {"double": 2, "doble": 2, "doppel": 2, "triple": 3}
+PLUS = ("plus", "más", "mas")
+AT = ("at", "arroba", "arobase", "ät", "klammeraffe")
+DOT = ("dot", "punto", "point", "punkt")
+# Letters that are written for digits.
+LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "B": "8"}
 # Endings that a spoken address must have, since "at the dot on" is ordinary prose.
-ENDINGS = "com org net edu gov mil int info biz name io ai app dev me tv cc co us uk eu de fr es it nl be ch at pt pl se no dk fi ie ca au nz in jp cn kr br mx ar ru example test"
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name io ai app dev me tv cc co us uk eu de fr es it nl be ch at pt pl se no dk fi ie ca au nz in jp cn kr br mx ar cl pe ru gr cz hu ro tr za il sg hk tw "
+    "cloud online site store shop tech xyz blog email agency digital studio media design systems solutions services group team website club pro mobi academy center company consulting education network software support international example test".split()
+)
+# Words before "at" that are no names.
+NO_NAMES = frozenset(
+    "a an and are available back based be been being bought buy call check click contact details email everyone find follow found go he her here him home hosted i information is it join learn live located look looked looking looks mail me meet met more not now online only open or order out page people posted published read register see seen send she shop sign site sold start started stay stop support that them there these they this those today together up us visit was we were website work worked working works write you".split()
+)
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,16 +78,27 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_digit = r"(?:[zZ](?i:ero)|[oO][hH]|[oO](?i:ne)|[tT](?i:wo|hree)|[fF](?i:our|ive)|[sS](?i:ix|even)|[eE](?i:ight)|[nN](?i:ine))"
-SPELLED = re.compile(rf"(?<![^\W_]){_digit}(?:[ \t,.-]{{1,3}}{_digit}){{3,}}(?![^\W_])")
-SPELLED_WORD = re.compile(rf"(?:(?<![^\W_])(?i:plus)[ \t]+(?={_digit}))|(?<![^\W_]){_digit}(?![^\W_])")
-WRAPPED = re.compile(r"[ \t]*[(\[{<][ \t]*(?i:(at)|dot)[ \t]*[)\]}>][ \t]*")
-SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| (?i:dot) )[A-Za-z0-9_%+-]+)*+ (?i:at) [A-Za-z0-9-]+(?:(?:\.| (?i:dot) )[A-Za-z0-9-]+)*?"
-    + rf" (?i:dot) (?i:{'|'.join(ENDINGS.split())})(?![A-Za-z0-9-])"
+def any_of(words) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
+_word = rf"(?:(?:{any_of(TIMES)})[ \t-])?(?:{any_of(DIGIT_WORDS)})(?![^\W_])"
+_gap = rf"(?:[ \t]+(?:{any_of(DOT)})[ \t]+|[ \t,.()/-]{{1,3}})"
+#: Spelled digits and digits in a row, with spelled ones in it.
+SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{any_of(PLUS)})[ \t]+)?(?:[0-9]+{_gap})*{_word}(?:{_gap}(?:{_word}|[0-9]+(?![^\W_])))+", re.I)
+SPELLED_PART = re.compile(rf"(?P<plus>{any_of(PLUS)})[ \t]+|(?:(?P<times>{any_of(TIMES)})[ \t-])?(?P<word>{any_of(DIGIT_WORDS)})(?![^\W_])|(?P<digits>[0-9]+)|[ \t]+(?P<dot>{any_of(DOT)})[ \t]+|(?P<gap>[ \t,.()/-]{{1,3}})", re.I)
+MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OoIlSB]*[0-9])[0-9]*[OoIlSB][0-9OoIlSB]*(?![A-Za-z0-9])")
+
+_at, _dot = any_of(AT), any_of(DOT)
+#: Signs: wrapped, spoken, joined by _ or -, and plain.
+SIGN = re.compile(
+    rf"[ \t]*[(\[{{<][ \t]*(?:(?P<wrapped_at>{_at}|@)|(?:{_dot}|\.))[ \t]*[)\]}}>][ \t]*|[ \t]+(?:(?P<soft_at>{_at})|(?P<soft_dot>{_dot}))[ \t]+"
+    rf"|(?<=[A-Za-z0-9])[_-](?:(?P<joined_at>{_at})|(?P<joined_dot>{_dot}))[_-](?=[A-Za-z0-9])|(?P<plain_at>@)|(?<=[A-Za-z0-9_%+-])(?P<plain_dot>\.)(?=[A-Za-z0-9])",
+    re.I,
 )
-SPOKEN_PART = re.compile(r" (?i:(at)|dot) ")
-STRANGE = re.compile("[^\x00-\x7fÀ-ſ]")
+ATOM = re.compile(r"[A-Za-z0-9_%+-]+")
+LABEL = re.compile(r"[A-Za-z0-9-]+")
+STRANGE = re.compile("[^\x00-\x7fÀ-İĲ-ſ]")
 
 
 def luhn(digits: str) -> bool:
@@ -146,29 +186,120 @@ def homoglyphs(text: Mapped) -> Mapped:
     return text.rewrite((m.start(), m.end(), to) for m in STRANGE.finditer(text.text) if (to := plain_char(m[0])) != m[0])
 
 
+def mixed_digits(text: Mapped) -> Mapped:
+    def changes():
+        for m in MIXED.finditer(text.text):
+            if 2 * sum(map(str.isdigit, m[0])) >= len(m[0]):
+                for i, c in enumerate(m[0], m.start()):
+                    if c in LETTER_DIGITS:
+                        yield i, i + 1, LETTER_DIGITS[c]
+
+    return text.rewrite(changes())
+
+
 def spelled_digits(text: Mapped) -> Mapped:
+    """State: what came before the place in a run. Between two spelled digits a gap without a full stop vanishes."""
+
     def changes():
         for run in SPELLED.finditer(text.text):
-            head = re.search(r"(?<![^\W_])(?i:plus)[ \t]+$", text.text[max(0, run.start() - 12) : run.start()])
-            if head:
-                lo = max(0, run.start() - 12) + head.start()
-                yield lo, run.start(), "+"
-            for m in SPELLED_WORD.finditer(text.text, run.start(), run.end()):
-                yield m.start(), m.end(), DIGIT_WORDS[m[0].lower()]
+            held, before = None, ""  # a gap whose end is not known yet, and the kind of part before it
+            for m in SPELLED_PART.finditer(text.text, run.start(), run.end()):
+                kind = m.lastgroup
+                if kind == "gap":
+                    held = m
+                    continue
+                if kind == "word":
+                    if held and before == "word" and "." not in held[0]:
+                        yield held.start(), held.end(), ""
+                    yield m.start(), m.end(), DIGIT_WORDS[m["word"].lower()] * TIMES.get((m["times"] or "").lower(), 1)
+                elif kind in ("plus", "dot"):
+                    yield m.start(), m.end(), "+" if kind == "plus" else "."
+                held, before = None, kind
 
     return text.rewrite(changes())
 
 
+class Sign:
+    """A sign in the text: kind @ or full stop; how: plain, soft (spoken or joined), wrapped."""
+
+    def __init__(self, m: re.Match):
+        how = m.lastgroup or "wrapped_dot"
+        self.start, self.end, self.kind = m.start(), m.end(), "@" if how.endswith("_at") else "."
+        self.plain, self.soft = how.startswith("plain"), how.startswith(("soft", "joined"))
+
+
+def chains(text: str):
+    """Signs that follow each other with one atom between them, as (atom before, sign, ..., sign, atom after)."""
+    chain: list = []
+    for m in SIGN.finditer(text):
+        sign = Sign(m)
+        atom = ATOM.fullmatch(text, chain[-1].end, sign.start) if chain else None
+        if chain and not atom:
+            yield chain
+            chain = []
+        chain.append(sign)
+    if chain:
+        yield chain
+
+
+def address(text: str, atoms: list, chain: list, at: int) -> tuple[int, int] | None:
+    """The first and last sign of the address around an @ sign of the chain."""
+    lo = hi = at
+    while lo and chain[lo - 1].kind == "." and atoms[lo - 1]:
+        lo -= 1
+    while hi + 1 < len(chain) and chain[hi + 1].kind == "." and LABEL.fullmatch(atoms[hi + 1]):
+        hi += 1
+    if not atoms[lo]:
+        return None
+    for last in range(hi, at, -1):
+        ending = LABEL.match(atoms[last + 1])
+        soft = any(x.soft for x in chain[at : last + 1])
+        if ending and (not soft or ending[0].lower() in ENDINGS):
+            name = chain[at].soft and lo == at and atoms[at].lower() in NO_NAMES
+            return None if name or all(x.plain for x in chain[lo : last + 1]) else (lo, last)
+    return None
+
+
+def rewritten_signs(text: str):
+    """(start, end, sign) of the disguised signs that belong to an address or to four numbers."""
+    for chain in chains(text):
+        if all(x.plain for x in chain):
+            continue
+        first = chain[0].start
+        while first and ATOM.match(text[first - 1]):
+            first -= 1
+        after = ATOM.match(text, chain[-1].end)
+        atoms = [text[first : chain[0].start], *(text[a.end : b.start] for a, b in zip(chain, chain[1:])), after[0] if after else ""]
+        used: set = set()
+        for i, sign in enumerate(chain):
+            if sign.kind == "@" and (found := address(text, atoms, chain, i)):
+                used.update(range(found[0], found[1] + 1))
+            if i + 2 < len(chain) and all(x.kind == "." for x in chain[i : i + 3]) and all(a.isascii() and a.isdigit() for a in atoms[i : i + 4]):
+                used.update(range(i, i + 3))
+        yield from ((chain[i].start, chain[i].end, chain[i].kind) for i in sorted(used) if not chain[i].plain)
+
+
 def at_and_dot(text: Mapped) -> Mapped:
-    text = text.rewrite((m.start(), m.end(), "@" if m[1] else ".") for m in WRAPPED.finditer(text.text))
-    return text.rewrite((p.start(), p.end(), "@" if p[1] else ".") for m in SPOKEN.finditer(text.text) for p in SPOKEN_PART.finditer(text.text, m.start(), m.end()))
+    return text.rewrite(rewritten_signs(text.text))
+
+
+#: Cheap signs that a transducer may have work to do: an @ sign and a full stop around one label, one of them disguised.
+TRIGGER = re.compile(
+    rf"[(\[{{<][ \t]*(?:{_at}|{_dot}|@|\.)[ \t]*[)\]}}>]|[ \t_-](?:{_at})[ \t_-]+[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|[ \t_-]+(?:{_dot})[ \t_-])|@[A-Za-z0-9.-]+[ \t_-]+(?:{_dot})[ \t_-]|[0-9][ \t_-]+(?:{_dot})[ \t_-]+[0-9]", re.I
+)
+
+
+#: Two parts of a spelled number, in lower case; quick, since every branch begins with a letter.
+SPELLED_PAIR = re.compile(rf"(?:{any_of(DIGIT_WORDS)}){_gap}(?:{any_of([*DIGIT_WORDS, *TIMES])}|[0-9])")
 
 
-TRIGGER = re.compile(r"[(\[{<][ \t]*(?i:at|dot)[ \t]*[)\]}>]| (?i:dot) ")
+def spelled_pair(text: str) -> bool:
+    lower = text.lower()
+    return any(not m.start() or not lower[m.start() - 1].isalnum() for m in SPELLED_PAIR.finditer(lower))
 
 
 def disguised(text: str) -> bool:
-    return (not text.isascii() and STRANGE.search(text) is not None) or TRIGGER.search(text) is not None or SPELLED.search(text) is not None
+    return (not text.isascii() and STRANGE.search(text) is not None) or TRIGGER.search(text) is not None or MIXED.search(text) is not None or spelled_pair(text)
 
 
 def spans(text: str) -> tuple[list, list]:
@@ -176,7 +307,7 @@ def spans(text: str) -> tuple[list, list]:
     base = [(a, k, b) for k, kind in enumerate(KINDS) for a, b in DETECTORS[kind](text)]
     added = []
     if disguised(text):
-        clean = at_and_dot(spelled_digits(homoglyphs(Mapped.of(text))))
+        clean = at_and_dot(spelled_digits(mixed_digits(homoglyphs(Mapped.of(text)))))
         for k, kind in enumerate(KINDS):
             taken = sorted((a, b) for a, j, b in base if j == k)
             for a, b in DETECTORS[kind](clean.text):
