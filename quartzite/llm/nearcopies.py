@@ -1,11 +1,17 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-Candidates come from MinHash bands: a text has BANDS keys of BAND_ROWS minima each, and two texts meet where
-a key is equal (a pair at 0.8 meets with probability 0.9998, one at 0.9 all but always). Every candidate pair
-is then checked on the shingles themselves, so no pair under `least` is linked. Pairs of up to FEW texts at one
-key are all checked. At a key with more texts each is checked against PIVOTS of them, those that meet
-most texts, as the original of a group of edited copies does; so a large group costs as many pairs as it has
-texts, and a pair of it that no pivot connects stays apart. Components come from min-label rounds.
+The widened form of simhash for stages that ask for a similarity. Candidates come from its fingerprints within 2
+bits, by its grid join. At a similarity of 0.8 fingerprints differ in 10 of 64 bits on average (the angle
+of two such sets), which no grid of bit counts can tell from chance, so MinHash bands add candidates: a text has
+BANDS keys of BAND_ROWS minima each, and two texts meet where a key is equal (a pair at 0.8 meets with
+probability 0.9998, one at 0.9 all but always). Every candidate pair is then checked on the shingles themselves,
+so no pair under `least` is linked; sets whose sizes alone rule it out are not paired.
+
+Pairs of up to FEW texts at one key are all checked. At a key with more texts each is first checked against
+PIVOTS of them, those that meet most texts, as the original of a group of edited copies does. Where that leaves
+a key's texts in several groups, every text outside the key's main group is checked against all texts of other
+groups there, in blocks. So a large group of copies costs about as many pairs as it has texts, and no link
+between groups is lost. Components come from min-label rounds.
 
 A node is a distinct text, named by its xxhash64. Words are cut and lowered as in simhash. A text of fewer
 words than a shingle is one shingle; null and texts without a word are alike.
@@ -20,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, settled
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint, links
 
 BANDS, BAND_ROWS = 16, 4
 FEW = 16
 PIVOTS = 4
+#: Texts of a block, where those of one large key are checked against each other.
+BLOCK = 2048
 _R = np.random.default_rng(SEED)
 FACTORS = _R.integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _R.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -43,44 +51,91 @@ def jaccard(a: set, b: set) -> float:
     return shared / (len(a) + len(b) - shared) if a or b else 1.0
 
 
-def band_keys(text: bytes | None, width: int) -> np.ndarray:
+def band_keys(sets: set) -> np.ndarray:
     """One signed 64-bit key per band."""
     low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)), np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in sets), np.uint64, len(sets))
     for lo in range(0, len(hashes), 1024):
         np.minimum(low, (hashes[lo : lo + 1024, None] * FACTORS[None, :] + SHIFTS[None, :]).min(0), out=low)
     return np.array([xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(low.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
 
 
-def banded(docs: DataFrame, width: int) -> DataFrame:
-    """(node, key), once each."""
+def marked(docs: DataFrame, width: int) -> DataFrame:
+    """(node, size, fp, keys), once each: number of shingles, fingerprint and band keys."""
 
     def run(batches):
         for b in pieces(batches):
-            texts = b.column("text").cast(pa.binary())
-            keys = np.concatenate([band_keys(t.as_py(), width) for t in texts]) if len(texts) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("node"), dtype=np.int64), BANDS)), pa.array(keys)], ["node", "key"])
+            sizes, fps, keys = [], [], []
+            for t in b.column("text").cast(pa.binary()):
+                text = t.as_py() or b""
+                sets = shingles(text, width)
+                sizes.append(len(sets))
+                fps.append(fingerprint(text, width))
+                keys.append(band_keys(sets))
+            columns = [b.column("node"), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "fp", "keys"])
 
-    return docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, key long").distinct()
+    rows = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "node long, size int, fp long, keys array<long>").dropDuplicates(["node"])
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """(a, b) with a < b, once each."""
-    sizes = settled(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-keys")
-    met = settled(bands.join(sizes, "key"), "copies-met")
-    few, many = met.filter(F.col("n") <= FEW).select("key", "node"), met.filter(F.col("n") > FEW)
-    some = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").filter("a < b").select("a", "b")
+def pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): the texts of a fingerprint, and those of fingerprints within 2 bits, each by their first."""
+    fps = settled(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "copies-fingerprints")
+    same = nodes.join(fps, "fp").filter("node != lead").select(*pair("node", "lead"))
+    near = links(fps.select("fp"))
+    ends = [fps.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab"]
+    return same.union(near.join(ends[0], "a").join(ends[1], "b").select(*pair("lead_a", "lead_b")))
+
+
+def alike(x: str, y: str, least: float):
+    """Whether two sets of these sizes can reach the similarity."""
+    return F.least(x, y) >= F.greatest(x, y) * least
+
+
+def met_by_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, n): the keys that n > 1 texts have."""
+    bands = nodes.select("node", "size", F.explode("keys").alias("key"))
+    counts = settled(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-keys")
+    return settled(bands.join(counts, "key"), "copies-met")
+
+
+def candidates(met: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b: all pairs at keys of few texts, and each text with the pivots of its larger keys."""
+    few, many = met.filter(F.col("n") <= FEW).select("key", "node", "size"), met.filter(F.col("n") > FEW)
+    some = few.toDF("key", "a", "size_a").join(few.toDF("key", "b", "size_b"), "key").filter(F.col("a") < F.col("b")).filter(alike("size_a", "size_b", least)).select("a", "b")
     met_by = settled(many.groupBy("node").agg(F.sum("n").alias("met")), "copies-central")
     part = F.pmod(F.xxhash64("key", "node"), F.lit(PIVOTS))
-    first = F.max(F.struct("met", F.xxhash64("node", "key").alias("h"), "node"))
-    pivots = many.join(met_by, "node").groupBy("key", part.alias("part")).agg(first.alias("pivot")).select("key", F.col("pivot.node").alias("pivot"))
-    stars = many.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    return some.union(stars).distinct()
+    first = F.max(F.struct("met", F.xxhash64("node", "key").alias("h"), "node", "size"))
+    pivots = many.join(met_by, "node").groupBy("key", part.alias("part")).agg(first.alias("pivot")).select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"))
+    stars = many.join(pivots, "key").filter("node != pivot").filter(alike("size", "pivot_size", least)).select(*pair("node", "pivot"))
+    return some.union(stars)
+
+
+def apart(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): at the keys of many texts, the pairs of texts that are in different groups so far. Those outside a
+    key's largest group meet all of the key, both cut into blocks."""
+    many = met.filter(F.col("n") > FEW).join(roots, "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+    many = settled(many, "copies-grouped")
+    groups = many.groupBy("key", "root").agg(F.count("*").alias("members"))
+    main = groups.groupBy("key").agg(F.max(F.struct("members", "root")).alias("main"), F.sum("members").alias("n")).filter("main.members < n")
+    main = settled(main.select("key", F.col("main.root").alias("main"), (F.col("n") - F.col("main.members")).alias("outside")), "copies-split")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    split = many.join(main, "key").withColumns({"rows": blocks("n"), "columns": blocks("outside")})
+    number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = split.withColumn("row", number(F.col("rows"))).withColumn("column", every("columns")).select("key", "row", "column", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("root").alias("root_x"))
+    right = split.filter("root != main").withColumn("column", number(F.col("columns"))).withColumn("row", every("rows")).select("key", "row", "column", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("root").alias("root_y"))
+    return left.join(right, ["key", "row", "column"]).filter("root_x != root_y").filter(alike("size_x", "size_y", least)).select(*pair("x", "y"))
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs whose Jaccard similarity is at least `least`, by their texts."""
-    pairs = settled(pairs, "copies-pairs")
+    pairs = settled(pairs.distinct(), "copies-pairs")
     nodes = settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "copies-nodes")
     texts = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
     texts = settled(texts.groupBy("node").agg(F.first("text").alias("text")), "copies-texts")
@@ -105,5 +160,11 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(node, root) of the texts that have a near copy: root is the smallest node of their group."""
-    bands = settled(banded(docs, width), "copies-bands")
-    return settled(components(settled(similar(candidates(bands), docs, width, least), "copies-links")), "copies-roots")
+    nodes = settled(marked(docs, width), "copies-nodes")
+    met = met_by_keys(nodes)
+    found = settled(similar(candidates(met, least).union(by_fingerprint(nodes)), docs, width, least), "copies-links")
+    roots = settled(components(found), "copies-groups")
+    more = settled(similar(apart(met, roots, least), docs, width, least), "copies-more")
+    if more.isEmpty():
+        return roots
+    return settled(components(found.union(more)), "copies-roots")

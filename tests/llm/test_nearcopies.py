@@ -58,3 +58,31 @@ def test_edited_copies_in_small_and_large_groups(spark, copies, changes):
     base = [f"w{r.randrange(5000)}" for _ in range(200)]
     texts = [" ".join(base)] + [edited(r, base, changes) for _ in range(copies)] + [edited(r, base, 60) for _ in range(5)] + ["a b", "A  b", "a c"]
     assert kept(spark, frame(spark, texts)) == sorted(set(groups(texts)))
+
+
+@pytest.mark.parametrize("few, pivots", [(16, 4), (2, 1)])
+def test_drifting_copies_that_no_pivot_connects(spark, monkeypatch, few, pivots):
+    """Each text differs a little from the one before it, so the ends have little in common; two such chains from
+    one original, and repeated rows, rows without an id and texts without words."""
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    monkeypatch.setattr(nearcopies, "PIVOTS", pivots)
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    r = random.Random(11)
+    texts = []
+    for words in ([f"w{r.randrange(5000)}" for _ in range(200)],) * 2:
+        words = list(words)
+        for i in range(60):
+            texts.append(" ".join(words))
+            for at in r.sample(range(len(words)), 1 + i % 3):
+                words[at] = f"new{r.random()}"
+    assert kept(spark, frame(spark, texts)) == sorted(set(groups(texts)))
+
+
+def test_stage_on_edge_rows(spark):
+    rows = [(5, "one two three four five six", "a"), (5, "one two three four five six", "a"), (None, "one two three four five six", "b"), (5, "quite another text of seven words", "a"), (None, "no id here at all", "a"), (None, "no id here at all", "c"), (7, None, "a"), (8, "", "a"), (9, " \n", "b"), (10, "word " * 30_000, "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, None, 1, t) for i, t, s in rows], DOCS + ", place int, tag string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want = [(5, "one two three four five six"), (5, "quite another text of seven words"), (None, "no id here at all"), (7, None), (10, "word " * 30_000)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").columns == docs.columns
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
