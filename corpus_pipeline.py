@@ -44,17 +44,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that share at least SIMILAR of their SHINGLE-word shingles form groups. Of each group the document
-    with the smallest doc_id stays, once. The join and the removal of repeated ids share one shuffle by
-    doc_id. Documents without an id cannot be told from each other by it, so of those that share a text one
-    stays."""
+    """Texts that share at least SIMILAR of their SHINGLE-word shingles form groups; texts without a word are one.
+    Of each group the document with the smallest doc_id stays (one without an id only if none has one), of documents
+    that share that id the one with the smallest hash of its text, and of repeated rows one, by a hash of the row.
+    An empty table stays empty."""
     wide_rows(spark)
     roots = nearcopies.near_copies(docs, SHINGLE, SIMILAR)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("node"))
-    group = F.coalesce("root", "node").alias("group")
-    kept = settled(rows.join(roots, "node", "left").groupBy(group).agg(F.min("id").alias("id")).select(F.struct("id").alias("kept")).distinct(), "pipeline-kept")
-    named = docs.join(kept, docs["doc_id"] == F.col("kept.id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("first")
+    kept = settled(rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(first).select("first.id", "first.node"), "pipeline-kept")
+    d = F.struct(*[F.col(c).alias(c) for c in docs.columns])
+    packed = docs.select(d.alias("d"), F.col("doc_id").cast("long").alias("of"), F.xxhash64("text").alias("tag"), F.xxhash64(*docs.columns).alias("place"))
+    named = packed.join(kept, F.col("of").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("node")), "left_semi")
+    return named.groupBy("of", "tag").agg(F.min_by("d", "place").alias("d")).select("d.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
