@@ -130,9 +130,3 @@ def mask_status(rows: DataFrame, low: float = 0.03, high: float = 0.80) -> DataF
     """status: pre_existing, read_failed (ratio 0), mask_ratio_out_of_range or ok. Needs mask_ratio, exists."""
     r = F.col("mask_ratio")
     return rows.withColumn("status", F.when(F.col("exists"), "pre_existing").when(r == 0, "read_failed").when((r < low) | (r > high), "mask_ratio_out_of_range").otherwise("ok"))
-
-
-def power_slope(rows: DataFrame, low: float, high: float) -> DataFrame:
-    """-slope of log power over log radius. rows: (image_id, r, p)."""
-    return rows.filter(F.col("r").between(low, high) & (F.col("p") > 0)).groupBy("image_id").agg((-F.regr_slope(F.log("p"), F.log("r"))).alias("slope"))
-

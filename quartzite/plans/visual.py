@@ -263,11 +263,27 @@ def tiled(spark, sf_dir):
     return images.tiled(load(spark, sf_dir, "profiles"))
 
 
-@query("image_pixels_hist", "select image_id, 64 * count(*) as n from tiles group by 1", TI)
+LINES = "select image_id, {k} * 8 + r as pos, round(var_pop(v), 6) as value from m, (select unnest(range(8)) as r) group by 1, {k}, r"
+
+
+@query(
+    "image_pixels_hist",
+    f"with {MASKED} select image_id, 'value' as kind, v as pos, cast(64 * count(*) as double) as value from m group by 1, 3 union all select image_id, 'row', cast(pos as int), value from ({LINES.format(k='y')}) union all select image_id, 'column', cast(pos as int), value from ({LINES.format(k='x')})",
+    TI,
+)
 def image_pixels_hist(spark, sf_dir):
-    """Every pixel of an image is counted once, in the mask or out of it."""
-    rows = images.pixels_hist(tiled(spark, sf_dir))
-    return rows.select("image_id", (F.size("row_var") * F.size("col_var")).cast("long").alias("n"))
+    """Each image's masked histogram and the masked variance of its rows and columns, a row per number."""
+    rows = images.pixels_hist(tiled(spark, sf_dir), images.over(118))
+    part = lambda kind, c: rows.select("image_id", F.lit(kind).alias("kind"), F.posexplode(c).alias("pos", "value"))
+    return part("value", F.transform("hist", lambda n: n.cast("double"))).filter("value > 0").union(part("row", "row_var").union(part("column", "col_var")).filter("value is not null").withColumn("value", F.round("value", 6)))
+
+
+@query("scan_images", "select concat(image_id, '.png') as name, 64 as height, 64 as width, false as read_failed, cast(64 * sum(v) as bigint) as total from tiles group by image_id", TI)
+def scan_images(spark, sf_dir):
+    """Every tile as an image file, found and decoded again."""
+    path = scratch_path(spark, "images")
+    images.write_files(tiled(spark, sf_dir), path)
+    return images.pixel_totals(images.scan(spark, path)).select("name", "height", "width", "read_failed", "total")
 
 
 @query("image_components")
@@ -282,7 +298,7 @@ def image_spectrum(spark, sf_dir):
 
 @query("ps_slope")
 def ps_slope(spark, sf_dir):
-    return pixels.power_slope(images.spectrum(tiled(spark, sf_dir)), 0.05, 0.6).withColumn("slope", F.round("slope", 6))
+    return images.power_slopes(tiled(spark, sf_dir)).withColumn("slope", F.round("slope", 6))
 
 
 @query("seam_peaks")

@@ -132,13 +132,115 @@ def test_component_labels_equal_a_search():
     assert lab.max() == n and len({(a, b) for a, b in zip(lab[m], seen[m])}) == n and (lab[~m] == 0).all()
 
 
-def test_seam_and_grid_kernels():
+def test_tissue_mask_of_blocks():
+    """One bright block on a dark ground is the mask but for its corners; specks and small blocks are not."""
+    a = np.full((128, 96), 20, np.uint8)
+    a[20:110, 18:78] = 160
+    m = images.tissue_mask(a)
+    assert 0.95 * 90 * 60 < m.sum() <= 90 * 60 and m[60, 40] and not m[5, 5]
+    a = np.zeros((64, 64), np.uint8)
+    a[4:8, 4:8] = 200
+    a[20:50, 20:50] = 200
+    a[2, 60] = 255
+    m = images.tissue_mask(a)
+    assert 30 * 30 * 0.95 < m.sum() <= 30 * 30 and not m[:10].any()
+    bright = np.full((64, 64), 200, np.uint8)
+    bright[20:32, 20:32] = 10
+    assert 0.85 * 144 < images.tissue_mask(bright).sum() <= 160  # over 80 % is bright, so the dark part counts
+    assert not images.tissue_mask(np.full((32, 32), 7, np.uint8))[0, 0]
+
+
+def test_spread_equals_a_disc_at_every_pixel():
+    m = np.random.default_rng(2).random((30, 41)) < 0.02
+    disc = [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4) if abs(dx) <= round(3 * (1 - dy * dy / 9) ** 0.5)]
+    want = np.zeros_like(m)
+    for y, x in zip(*np.nonzero(m)):
+        for dy, dx in disc:
+            if 0 <= y + dy < 30 and 0 <= x + dx < 41:
+                want[y + dy, x + dx] = True
+    assert (images.spread(m) == want).all() and (images.shrink(~m) == ~want).all()
+
+
+def test_shrinking_keeps_the_mean():
+    a = np.random.default_rng(5).integers(0, 256, (300, 211)).astype(np.uint8)
+    small = images.shrunk(a, 100)
+    assert small.shape == (100, 70) and abs(small.mean() - a.mean()) < 0.6 and images.shrunk(a, 300) is not None
+    assert (images.shrunk(a[:200, :200], 100) == np.rint(a[:200, :200].reshape(100, 2, 100, 2).mean((1, 3)))).mean() > 0.99
+
+
+def test_power_slope_of_a_known_spectrum():
+    """Noise shaped to fall as r^-3 has slope 3; by polyfit over the same frequencies it is the same number."""
+    r = np.random.default_rng(3)
+    n = 128
+    y, x = np.meshgrid(np.fft.fftfreq(n), np.fft.fftfreq(n), indexing="ij")
+    radius = np.hypot(y, x)
+    radius[0, 0] = 1
+    a = np.fft.ifft2(np.fft.fft2(r.normal(size=(n, n))) * radius**-1.5).real
+    a = np.rint(255 * (a - a.min()) / np.ptp(a)).astype(np.uint8)
+    m = np.ones(a.shape, bool)
+    got = images.slope_of(a, m)
+    assert 2.6 < got < 3.4
+    z = (a - a.mean()) / (a.std() + 1e-6)
+    p = np.abs(np.fft.fftshift(np.fft.fft2(z))) ** 2
+    d = np.array([[np.hypot(i - n / 2, j - n / 2) for j in range(n)] for i in range(n)])
+    sel = (d >= max(2, 0.02 * n)) & (d <= 0.45 * n)
+    assert got == pytest.approx(-np.polyfit(np.log(d[sel] + 1e-6), np.log(p[sel] + 1e-6), 1)[0])
+    assert images.slope_of(a, m & False) == 0
+
+
+def test_ring_means_by_edges():
+    a = np.random.default_rng(7).random((40, 50))
+    r, p = images.power(a)
+    got, scaled = images.ring_means(r, p, 16), r / (r.max() + 1e-6)
+    for k in range(16):
+        ring = (scaled >= k / 16) & (scaled < (k + 1) / 16)
+        assert got[k] == pytest.approx(p[ring].mean() if ring.any() else 0)
+
+
+def test_gradient_shares_by_pixel():
+    a = np.random.default_rng(8).integers(0, 256, (40, 30)).astype(np.uint8)
+    m = np.zeros(a.shape, bool)
+    m[5:35, 3:28] = True
+    at = lambda y, x: a[abs(y) if y < 40 else 78 - y, abs(x) if x < 30 else 58 - x] / 255
+    size = []
+    for y, x in zip(*np.nonzero(m)):
+        gx = sum(w * (at(y + d, x + 1) - at(y + d, x - 1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+        gy = sum(w * (at(y + 1, x + d) - at(y - 1, x + d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+        size.append(np.hypot(gx, gy))
+    want = np.histogram(np.clip(np.array(size) / np.percentile(size, 99.5), 0, 1), 64, (0, 1))[0] / len(size)
+    assert images.gradient_shares(a, m) == pytest.approx(want, abs=2 / len(size))
+    assert not images.gradient_shares(a, m & False).any()
+
+
+def test_grid_and_seams():
     r = np.random.default_rng(1)
     noise = (r.random((128, 128)) * 60 + 100).astype(np.uint8)
-    assert images.grid_kernel(noise, np.ones_like(noise, bool)) == 1.0
+    every = np.ones(noise.shape, bool)
+    assert images.periodicity_of(noise, every) == 1.0 and images.periodicity_of(noise, every & False) == 1.0
     lines = np.tile((np.arange(128) % 20 < 3) * 150 + 60, (128, 1)).astype(np.uint8)
-    assert images.grid_kernel(lines, np.ones_like(lines, bool)) == 0.0
-    assert images.seam_kernel(lines, 8)[0] in (True, False)
+    assert images.periodicity_of(lines, every) == 0.0
+    mixed = np.where(np.arange(128)[:, None] < 48, lines, noise)  # two of six sampled rows: no more than half
+    assert images.periodicity_of(mixed.astype(np.uint8), every) == 1.0
+    row = lines[40].astype(float) - lines[40].mean()
+    auto = np.array([(row[: 128 - k] * row[k:]).sum() for k in range(128)]) / (row @ row)
+    assert sum(auto[k] > 0.6 and auto[k] > auto[k - 1] and auto[k] > auto[k + 1] for k in range(17, 127)) >= 2
+    assert images.seam_of(noise, 0)[0] is False
+    grid = noise.astype(float)
+    grid[::16] += 90
+    grid[:, ::16] += 90
+    seam, peaks = images.seam_of(np.clip(grid, 0, 255).astype(np.uint8), 16)
+    assert seam is True and len(peaks) <= 12
+    assert images.seam_of(np.clip(grid, 0, 255).astype(np.uint8), 8)[1] == peaks  # small patches are not looked up
+
+
+def test_components_of_an_image_in_one_pass(spark):
+    a = np.random.default_rng(9).integers(0, 256, (37, 29)).astype(np.uint8)
+    got = images.components(spark.createDataFrame([(1, 37, 29, bytearray(a.tobytes()))], "image_id long, height int, width int, data binary")).toPandas()
+    lab = images.label_components(a >= np.percentile(a, 85))
+    assert len(got) == lab.max()
+    for c in got.itertuples():
+        y, x = np.nonzero(lab == c.comp_id)
+        assert (c.area, c.x, c.y, c.w, c.h) == (len(x), x.min(), y.min(), np.ptp(x) + 1, np.ptp(y) + 1) and (c.cx, c.cy) == pytest.approx((x.mean(), y.mean()))
 
 
 def test_scan_of_image_files(spark, tmp_path):
@@ -155,8 +257,10 @@ def test_scan_of_image_files(spark, tmp_path):
     assert set(got) == {"a.png", "img2img_c.jpg", "d.webp"} and got["d.webp"]["read_failed"]
     a = np.frombuffer(got["a.png"]["data"], np.uint8).reshape(16, 24)
     assert (a[:, :8] == 200).all() and (a[:, 8:] == 0).all()
+    assert images.png(a)[:4] == b"\x89PNG"
     frame = images.scan(spark, f"file://{tmp_path}", prefix="a").selectExpr("1L as image_id", "height", "width", "data")
-    stats = images.pixels_hist(frame).first()
+    stats = images.pixels_hist(frame, images.over(100)).first()
+    assert stats["row_var"][0] == 0 and stats["col_var"][10] is None
     assert stats["mask_area"] == 128 and stats["hist"][200] == 128
     assert images.components(frame, 80).first()["area"] == 128
 
