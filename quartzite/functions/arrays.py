@@ -36,11 +36,3 @@ def emd_profile(u: Column, v: Column) -> Column:
 def entropy(a: Column) -> Column:
     """-sum p ln p over the bins that are not empty."""
     return -total(F.transform(F.filter(normalized(a), lambda p: p > 0), lambda p: p * F.log(p)))
-
-
-def dot(u: Column, v: Column) -> Column:
-    return total(F.zip_with(u, v, lambda x, y: x * y))
-
-
-def squared_distance(u: Column, v: Column) -> Column:
-    return total(F.zip_with(u, v, lambda x, y: (x - y) * (x - y)))

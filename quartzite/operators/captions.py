@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 # The phrases of captions.
 DENSITY_TEXT = {"fatty": "fatty breast tissue", "scattered": "scattered fibroglandular density", "heterogeneous": "heterogeneously dense breast tissue", "dense": "extremely dense breast tissue"}
 VIEW_TEXT = {"CC": "craniocaudal view", "MLO": "mediolateral oblique view"}
@@ -61,10 +63,25 @@ def hash_order(key: Column, seed: str) -> Column:
 
 
 def numbered(rows: DataFrame, strata: list, key: str, order: Column) -> DataFrame:
-    """Rows with k, their place in their stratum, and n, its size. A stratum is sorted in one task: balance
-    over keys whose largest stratum a task can sort, or sample it first."""
+    """Rows with k, their place in their stratum, and n, its size. Rows are dealt into ranges of (stratum, order),
+    which are written; each range is numbered on its own and the counts of the ranges before it are added, so a
+    stratum of any size is spread over tasks. What runs over all counts has a row per range and stratum."""
+    dealt = rows.withColumn("__order", order)
+    dealt = dealt.repartitionByRange(*[F.col(s) for s in strata], F.col("__order"), F.col(key)).withColumn("__part", F.spark_partition_id())
+    dealt = stored(dealt, "strata")
+    counts = stored(dealt.groupBy(*strata, "__part").agg(F.count("*").alias("__here")), "strata-counts")
     w = Window.partitionBy(*strata)
-    return rows.withColumns({"k": F.row_number().over(w.orderBy(order, key)), "n": F.count("*").over(w)})
+    totals = counts.withColumns({"__before": F.sum("__here").over(w.orderBy("__part")) - F.col("__here"), "n": F.sum("__here").over(w)}).drop("__here")
+    totals = totals.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("__part").alias("__of"), "__before", "n")
+    same = F.col("__part") == F.col("__of")
+    for s in strata:
+        same &= F.col(s).eqNullSafe(F.col(f"__{s}"))
+    place = F.row_number().over(Window.partitionBy(*strata, "__part").orderBy("__order", key))
+    return dealt.withColumn("__place", place).join(totals, same).withColumn("k", F.col("__place") + F.col("__before")).select(*rows.columns, "k", "n")
+
+
+#: Slots that one task makes at a time.
+SLOTS = 100_000
 
 
 def oversampled(rows: DataFrame, strata: list, key: str, seed: str = "2026") -> DataFrame:
@@ -73,7 +90,8 @@ def oversampled(rows: DataFrame, strata: list, key: str, seed: str = "2026") ->
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("n"))
     target = sizes.agg(F.max("n").alias("target"))
     name = F.concat_ws("|", *strata)
-    extra = sizes.crossJoin(F.broadcast(target)).filter("target > n").withColumn("slot", F.explode(F.sequence(F.col("n") + 1, F.col("target"))))
+    runs_ = sizes.crossJoin(F.broadcast(target)).filter("target > n").withColumn("from", F.explode(F.sequence(F.col("n") + 1, F.col("target"), F.lit(SLOTS).cast("long"))))
+    extra = runs_.repartition(*strata, "from").withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("target"), F.col("from") + (SLOTS - 1))))).drop("from")
     pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), name, F.lit("|"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n") + 1
     places = numbered(rows, strata, key, F.col(key)).drop("n")
     repeats = extra.select(*strata, "slot", pick.alias("k")).join(places, [*strata, "k"]).drop("k")
@@ -86,3 +104,14 @@ def to_target(rows: DataFrame, strata: list, key: str, target: int) -> DataFrame
     times = F.ceil((F.lit(target) - (F.col("k") - 1)) / F.least(F.col("n"), F.lit(target))).cast("int")
     copies = places.withColumn("round", F.explode(F.sequence(F.lit(0), times - 1)))
     return copies.withColumn("slot", F.col("k") - 1 + F.col("round") * F.col("n")).select(*rows.columns, "slot")
+
+
+def last_containing(names: DataFrame, name: str, runs: DataFrame, run: str) -> DataFrame:
+    """Each name with the last run, by name, that contains it. A run is cut into its parts of each length that names
+    have, so that the join has a key; there are few lengths, and a run has at most its own length of parts of each."""
+    lengths = names.filter(F.col(name).isNotNull()).agg(F.array_sort(F.collect_set(F.length(name))).alias("lengths"))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, n))
+    fitting = F.filter("lengths", lambda n: n <= F.length(run))
+    cut = runs.filter(F.col(run).isNotNull()).crossJoin(F.broadcast(lengths)).select(run, F.explode(F.array_distinct(F.flatten(F.transform(fitting, parts)))).alias("part"))
+    last = cut.groupBy("part").agg(F.max(run).alias(run))
+    return names.join(last, F.col(name) == F.col("part"), "left").select(name, run)

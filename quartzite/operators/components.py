@@ -12,24 +12,47 @@ def centers(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
 
 
-def within_image(rows: DataFrame) -> DataFrame:
-    """Each component beside every component of its image. An image has few, and the join is by image."""
-    other = rows.select("image_id", F.col("comp_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+def in_cells(rows: DataFrame, radius: Column) -> DataFrame:
+    """Adds u, v: the cell of a grid whose cells are radius / sqrt(2) wide, so that two points of one cell are
+    never further apart than the radius, and those within it at most two cells."""
+    size = radius / F.sqrt(F.lit(2.0))
+    return rows.withColumns({"u": F.floor(F.col("cx") / size), "v": F.floor(F.col("cy") / size)})
+
+
+def beside(rows: DataFrame, others: DataFrame, keys: tuple = ("image_id", "u", "v")) -> DataFrame:
+    """Each row with the others in its cell and the 24 around it, named other, ox, oy, and gap2, their squared
+    distance."""
+    steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a in range(-2, 3) for b in range(-2, 3)])
+    wide = rows.withColumn("step", F.explode(steps)).withColumns({"u": F.col("u") + F.col("step.du"), "v": F.col("v") + F.col("step.dv")})
+    them = others.select(*[F.col(k).alias(k) for k in keys], F.col("comp_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     gap = F.pow(F.col("cx") - F.col("ox"), F.lit(2.0)) + F.pow(F.col("cy") - F.col("oy"), F.lit(2.0))
-    return rows.join(other, "image_id").withColumn("gap2", gap)
+    return wide.join(them, list(keys)).withColumn("gap2", gap)
 
 
 def isolated(rows: DataFrame, far: float = 60.0) -> DataFrame:
-    """image_id, isolated: components with no other within `far`; the only one of an image counts."""
-    near = within_image(centers(rows)).groupBy("image_id", "comp_id").agg(F.min(F.when(F.col("other") != F.col("comp_id"), F.col("gap2"))).alias("nearest2"))
-    return near.groupBy("image_id").agg(F.count_if(F.coalesce(F.col("nearest2") > far * far, F.lit(True))).alias("isolated"))
+    """image_id, isolated: components with no other within `far`; the only one of an image counts. Components that
+    share a cell are not isolated; only those alone in theirs are compared, so no crowd meets itself."""
+    points = in_cells(centers(rows), F.lit(far))
+    cells = points.groupBy("image_id", "u", "v").agg(F.count("*").alias("n"), F.first("comp_id").alias("comp_id"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+    alone = cells.filter("n = 1")
+    near = beside(alone, points).filter((F.col("other") != F.col("comp_id")) & (F.col("gap2") <= far * far)).select("image_id", "comp_id").distinct()
+    left = alone.join(near, ["image_id", "comp_id"], "left_anti").select("image_id", F.lit(1).alias("one"))
+    every = rows.select("image_id", F.lit(0).alias("one"))
+    return every.union(left).groupBy("image_id").agg(F.sum("one").alias("isolated"))
 
 
 def clusters(rows: DataFrame, side: Column, least: int = 4) -> DataFrame:
-    """image_id, clustered: 1 if some component has `least` components, itself included, within the radius."""
+    """image_id, clustered: 1 if some component has `least` components, itself included, within the radius. A cell with
+    that many decides at once; elsewhere a component meets the few of the cells around it."""
     radius = F.greatest(F.lit(28.0), side * 0.055)
-    near = within_image(centers(rows)).filter(F.col("gap2") <= radius * radius).groupBy("image_id", "comp_id").agg(F.count("*").alias("n"))
-    return near.groupBy("image_id").agg(F.max(F.when(F.col("n") >= least, 1).otherwise(0)).alias("clustered"))
+    points = in_cells(centers(rows), radius).withColumn("radius2", radius * radius)
+    crowd = Window.partitionBy("image_id", "u", "v")
+    points = points.withColumn("n", F.count("*").over(crowd))
+    full = points.groupBy("image_id").agg(F.max(F.when(F.col("n") >= least, 1).otherwise(0)).alias("clustered"))
+    open_ = points.join(full.filter("clustered = 0").select("image_id"), "image_id")
+    near = beside(open_, open_).filter("gap2 <= radius2").groupBy("image_id", "comp_id").agg(F.count("*").alias("near"))
+    more = near.filter(F.col("near") >= least).select("image_id", F.lit(1).alias("clustered"))
+    return full.union(more).groupBy("image_id").agg(F.max("clustered").alias("clustered"))
 
 
 def strips(boxes: DataFrame, width: int, height: int, margin: float = 0.22, pad: int = 4, most_area: float = 0.052, most_side: float = 0.36) -> DataFrame:
@@ -108,6 +131,18 @@ def text_boxes(rows: DataFrame, least: int = 12, most: float = 0.003, grow: int
     return good.select("image_id", "comp_id", F.greatest(F.lit(0), c("x") - grow).alias("x1"), F.greatest(F.lit(0), c("y") - grow).alias("y1"), F.least(F.lit(side), c("x") + c("w") + grow).alias("x2"), F.least(F.lit(side), c("y") + c("h") + grow).alias("y2"))
 
 
+def share_with_boxes(rows: DataFrame, **how) -> DataFrame:
+    """One row: images, those with any text box, and their share."""
+    boxed = text_boxes(rows, **how).select("image_id").distinct().agg(F.count("*").alias("with_boxes"))
+    counts = rows.select("image_id").distinct().agg(F.count("*").alias("images")).crossJoin(F.broadcast(boxed))
+    return counts.withColumn("share", F.coalesce(F.round(F.try_divide(F.col("with_boxes"), F.col("images")), 6), F.lit(0.0)))
+
+
+def label_action(verdict: Column, readable: Column) -> Column:
+    """What is done with an image: unreadable ones first, certain ones as they are judged, others stripped."""
+    return F.when(~readable, "unreadable").when(verdict == "certain_clean", "certain_clean").when(verdict == "certain_labeled", "certain_labeled_strip").otherwise("fallback_strip_uncertain")
+
+
 def boxes_from_json(reply: Column) -> Column:
     """Array of (x1, y1, x2, y2) from the JSON array in a reply, under any of the key names."""
     names = ("x1", "y1", "x2", "y2", "left", "top", "right", "bottom")

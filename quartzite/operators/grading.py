@@ -28,21 +28,29 @@ DEFAULTS = {
     "min_mask": 0.001, "max_mask": 0.75, "min_circ": 0.32, "max_circ": 0.9, "max_mean": 0.7, "min_std": 0.05, "min_dr": 0.3, "max_dr": 0.95,
     "max_bright": 0.99, "max_dark": 0.25, "min_entropy": 0.0, "max_entropy": 4.5, "max_ps_emd": 0.22, "max_grad_wass": 0.2, "max_hist_wass": 0.15,
     "max_isolated": 6.0, "max_voids": 200.0, "edge_floor": 0.008, "min_banding": 0.62, "max_round_density": 0.04, "max_concavity": 0.45, "max_perim": 1.35,
-    "max_cavity": 0.28, "max_spots": 20.0, "max_mirror": 0.84, "max_hu": 1.8, "max_z": 2.6, "chaos_hard": 0.4, "clip_margin": 0.04, "veto_group": 0.3,
+    "max_cavity": 0.28, "max_spots": 20.0, "max_mirror": 0.84, "max_hu": 1.8, "max_z": 2.6, "chaos_hard": 0.4, "clip_margin": 0.04, "veto_group": 0.3, "require_pectoral": 0.0,
     "mean_p1": 0.1, "mean_p5": 0.2, "mean_p95": 0.7, "mean_p99": 0.85, "std_p1": 0.03, "std_p5": 0.05, "std_p95": 0.21, "std_p99": 0.28,
     "dr_p1": 0.25, "dr_p5": 0.35, "dr_p95": 0.95, "dr_p99": 1.0, "ent_p1": 0.5, "ent_p5": 1.0, "ent_p95": 4.5, "ent_p99": 5.5,
 }
 
 
-def scalar_stats(items: DataFrame, metrics: list = METRICS, large: bool = False) -> DataFrame:
-    """metric, n, p1 ... p99 (exact, linear between neighbours), mean, std (of the population). large: find the
-    percentiles by brackets, slower, but with no task that holds all distinct values of a metric."""
+#: Rows from which percentiles are found by brackets: up to here a task can hold a metric's distinct values.
+LARGE_ROWS = 4_000_000
+
+
+def scalar_stats(items: DataFrame, metrics: list = METRICS, large: bool | None = None) -> DataFrame:
+    """metric, n, p1 ... p99 (exact, linear between neighbours), mean, std (of the population). Percentiles come
+    from one built-in aggregate, whose task holds all distinct values of a metric, or, for LARGE_ROWS rows and more, from
+    brackets, which no task holds whole; both are exact. large: which of them, by default by the count."""
+    if large is None:
+        large = items.count() >= LARGE_ROWS
     pairs = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
     rows = items.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
     moments = [F.round(F.avg("value"), PLACES).alias("mean"), F.round(F.stddev_pop("value"), PLACES).alias("std")]
     if not large:
-        points = [F.round(F.percentile("value", q), PLACES).alias(k) for k, q in POINTS.items()]
-        return rows.groupBy("metric").agg(F.count("value").alias("n"), *points, *moments)
+        found = rows.groupBy("metric").agg(F.count("value").alias("n"), F.percentile("value", F.array(*map(F.lit, POINTS.values()))).alias("points"), *moments)
+        points = [F.round(F.get("points", F.lit(i)), PLACES).alias(k) for i, k in enumerate(POINTS)]
+        return found.select("metric", "n", *points, "mean", "std")
     points = exact_percentiles(rows, "metric", "value", POINTS).select("metric", *[F.round(p, PLACES).alias(p) for p in POINTS])
     return rows.groupBy("metric").agg(F.count("value").alias("n"), *moments).join(points, "metric", "left").select("metric", "n", *POINTS, "mean", "std")
 
@@ -63,8 +71,9 @@ def baseline_row(stats: DataFrame, prior: DataFrame) -> DataFrame:
     return s.crossJoin(p)
 
 
-def calibrated(baseline: DataFrame | None, spark=None) -> DataFrame:
-    """One row of thresholds, and the baseline's maps. Without a baseline (None) the defaults and nulls."""
+def calibrated(baseline: DataFrame | None, spark=None, **given: float) -> DataFrame:
+    """One row of thresholds, and the baseline's maps. Without a baseline (None) the defaults and nulls. given: limits
+    that neither defaults nor baseline decide; require_pectoral is 1 where an item without one fails."""
     fixed = {k: F.lit(v) for k, v in DEFAULTS.items()}
     if baseline is None:
         kind = "map<string,struct<p1:double,p5:double,p50:double,p95:double,p99:double,mean:double,std:double>>"
@@ -88,6 +97,7 @@ def calibrated(baseline: DataFrame | None, spark=None) -> DataFrame:
     new["max_mean"] = if_full("mean_intensity", F.least(F.lit(0.99), at("mean_intensity", "p99")), "max_mean")
     for name, m, over in (("max_concavity", "contour_concavity", 0), ("max_perim", "contour_perim_ratio", 1), ("max_round_density", "round_density", 0)):
         new[name] = F.when(at(m, "p99") > over, at(m, "p99")).otherwise(F.lit(DEFAULTS[name]))
+    new |= {k: F.lit(v) for k, v in given.items()}
     return row.select(F.struct(*[v.cast("double").alias(k) for k, v in new.items()]).alias("t"), "stats", "prior")
 
 
@@ -122,7 +132,7 @@ def grade_columns() -> dict[str, tuple[Column, Column]]:
     return {
         "A1": (_when((in_soft, 1.0), (in_hard, 0.6), default=0.0), _when((in_soft, none), (in_hard, F.lit("AREA_BORDER")), default=F.lit("AREA_BAD"))),
         "A2": (F.when(circ_soft, 1.0).otherwise(clip01(1 - F.abs(circ - center) * 3)), F.when(~circ_soft, "SHAPE_ODD")),
-        "A3": (F.when(c("pectoral_found"), 1.0).otherwise(0.7), none),
+        "A3": (_when((c("pectoral_found"), 1.0), (t("require_pectoral") > 0, 0.0), default=0.7), F.when(~c("pectoral_found") & (t("require_pectoral") > 0), "NO_PECTORAL")),
         "A4": ((clip01(1 - conc / F.greatest(F.lit(0.001), t("max_concavity"))) + clip01(1 - F.greatest(F.lit(0.0), per - 1) / F.greatest(F.lit(0.001), F.greatest(F.lit(1.01), t("max_perim")) - 1))) / 2, F.when((conc > t("max_concavity")) | (per > t("max_perim")), "CONTOUR_FRACTURED")),
         "A5": (c("vert_struct_score"), F.when(c("vert_struct_score") < 0.25, "VERTICAL_SPINE")),
         "A6": (F.when(chaos >= t("chaos_hard"), 0.0).otherwise(clip01(1 - chaos / F.greatest(t("chaos_hard"), F.lit(1e-6)))), F.when(chaos >= t("chaos_hard"), "ANATOMY_NON_MAMMO")),

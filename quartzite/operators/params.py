@@ -36,6 +36,23 @@ def clamped(rows: DataFrame, key: str = "key", value: str = "value", bounds: dic
     return rows.withColumn(value, F.when(F.col("__b.whole"), held).otherwise(F.round(held, 4))).drop("__x", "__b")
 
 
+# Keys whose values are text, with the most characters that are kept (None: all, trimmed).
+TEXTS = {"notes_zh": 2000, "lora_path": None}
+
+
+def texts(rows: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """The text parameters, cut or trimmed; other keys and nulls go."""
+    x = F.col(value).cast("string")
+    held = F.coalesce(*[F.when(F.col(key) == k, F.trim(x) if most is None else F.left(x, F.lit(most))) for k, most in TEXTS.items()])
+    return rows.filter(F.col(key).isin(*TEXTS) & x.isNotNull()).withColumn(value, held)
+
+
+def top_rates(rates: Column, k: int) -> Column:
+    """The k largest entries of a map of rates as (tag, rate), ties by tag."""
+    ordered = F.array_sort(F.transform(F.map_entries(rates), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("tag"))))
+    return F.transform(F.slice(ordered, 1, k), lambda x: F.struct(x["tag"].alias("tag"), (-x["less"]).alias("rate")))
+
+
 def merged(text: DataFrame, visual: DataFrame, on: list, weight: float = 0.6, bounds: dict = BOUNDS) -> DataFrame:
     """Two proposals by key: one side only is taken as it is, visual keys lean to the second, others are
     averaged. on ends with key; values are in `value`."""

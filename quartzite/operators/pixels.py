@@ -87,9 +87,9 @@ def matched(pixels: DataFrame, reference: DataFrame, blend: float) -> DataFrame:
     ref = cdf(reference.groupBy("v").agg(F.count("*").alias("n")).withColumn("all", F.lit(1)), ["all"])
     curve = ref.agg(F.array_sort(F.collect_list(F.struct("q", "v"))).alias("curve"))
     own = cdf(histogram(pixels), ["image_id"]).crossJoin(F.broadcast(curve))
-    above = F.filter("curve", lambda p: p["q"] >= F.col("q") - 1e-12)
-    below = F.filter("curve", lambda p: p["q"] < F.col("q") - 1e-12)
-    hi, lo = F.try_element_at(above, F.lit(1)), F.try_element_at(below, F.lit(-1))
+    own = own.withColumn("under", F.size(F.filter("curve", lambda p: p["q"] < F.col("q") - 1e-12)))
+    own = own.select("image_id", "v", "q", F.get("curve", F.col("under")).alias("hi"), F.get("curve", F.col("under") - 1).alias("lo"))
+    hi, lo = F.col("hi"), F.col("lo")
     value = F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (F.col("q") - lo["q"]) / (hi["q"] - lo["q"]))
     table = own.select("image_id", "v", ((1 - blend) * F.col("v") + blend * value).alias("new"))
     return pixels.join(table, ["image_id", "v"]).select("image_id", "y", "x", F.round("new", 6).alias("v"))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, squared_distance, wasserstein_bins, emd_profile
-from .captions import hash_order
+from ..functions.arrays import emd_profile, wasserstein_bins
 
 
 def profile_mean(rows: DataFrame, column: str) -> DataFrame:
@@ -60,44 +59,6 @@ def frechet(a: tuple, b: tuple) -> float | None:
     return float(((a[1] - b[1]) ** 2).sum() + np.trace(a[2]) + np.trace(b[2]) - 2 * root)
 
 
-def bounded(rows: DataFrame, key: str, most: int, seed: str) -> DataFrame:
-    """At most `most` rows by hash order; pairwise statistics run on these only."""
-    return rows.orderBy(hash_order(F.col(key), seed), key).limit(most)
-
-
-def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, x, j, y) of two bounded samples."""
-    left, right = a.select(F.col("item").alias("i"), F.col("x").alias("x")), b.select(F.col("item").alias("j"), F.col("x").alias("y"))
-    return left.crossJoin(F.broadcast(right))
-
-
-def kernel_distance(a: DataFrame, b: DataFrame, most: int = 200, seed: str = "kid") -> DataFrame:
-    """Unbiased squared MMD with (x.y / d + 1) cubed, over samples of at most `most` rows."""
-    a, b = bounded(a, "item", most, seed), bounded(b, "item", most, seed)
-    kernel: Column = F.pow(dot(F.col("x"), F.col("y")) / F.size("x") + 1, F.lit(3.0))
-    mean = lambda p: p.agg(F.avg(kernel).alias("k"))
-    own = lambda s: mean(pairs(s, s).filter("i <> j"))
-    xx, yy, xy = own(a).withColumnRenamed("k", "xx"), own(b).withColumnRenamed("k", "yy"), mean(pairs(a, b)).withColumnRenamed("k", "xy")
-    return xx.crossJoin(yy).crossJoin(xy).select(F.round(F.col("xx") + F.col("yy") - 2 * F.col("xy"), 9).alias("kid"))
-
-
-def precision_recall(real: DataFrame, made: DataFrame, ks: tuple = (1, 3, 5, 11, 21), most: int = 200, seed: str = "prc") -> DataFrame:
-    """k, precision, recall: the share of one sample inside the k-nearest-neighbour balls of the other."""
-    real, made = bounded(real, "item", most, seed), bounded(made, "item", most, seed)
-    gap = F.sqrt(squared_distance(F.col("x"), F.col("y"))).alias("gap")
-
-    def radii(s: DataFrame) -> DataFrame:
-        near = pairs(s, s).filter("i <> j").select("i", gap).withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("gap")))
-        return near.filter(F.col("k").isin(*ks)).select(F.col("i").alias("j"), "k", F.col("gap").alias("radius"))
-
-    def covered(points: DataFrame, balls: DataFrame, name: str) -> DataFrame:
-        inside = pairs(points, balls).select("i", "j", gap).join(F.broadcast(radii(balls)), "j").filter("gap <= radius").select("k", "i").distinct().groupBy("k").agg(F.count("*").alias("n"))
-        return inside.crossJoin(points.agg(F.count("*").alias("of"))).select("k", F.round(F.col("n") / F.col("of"), 6).alias(name))
-
-    wanted = real.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    return wanted.join(covered(made, real, "precision"), "k", "left").join(covered(real, made, "recall"), "k", "left").na.fill(0.0)
-
-
 def kernel_moments(rows: DataFrame) -> tuple[int, int, list, float]:
     """(n, d, tensors, own): sums of x, of x xT and of the third powers of x over all rows, and of the kernel of
     each row with itself. Tasks add up; what comes back grows with d cubed and not with the rows."""
@@ -123,8 +84,8 @@ def kernel_moments(rows: DataFrame) -> tuple[int, int, list, float]:
     return int(round(v[0])), d, [v[3 : 3 + d], v[3 + d : 3 + d + d * d], v[3 + d + d * d :]], float(v[2])
 
 
-def kernel_distance_all(a: DataFrame, b: DataFrame) -> float | None:
-    """The same squared MMD over all rows: the kernel's sum over pairs is one of products of moments of order
+def kernel_distance(a: DataFrame, b: DataFrame) -> float | None:
+    """Unbiased squared MMD with (x.y / d + 1) cubed, over all rows: the kernel's sum over pairs is one of products of moments of order
     0 to 3. None if a side has fewer than two rows. Rows are told apart as rows, not by item."""
     (n, d, ta, own_a), (m, _, tb, own_b) = kernel_moments(a), kernel_moments(b)
     if n < 2 or m < 2:
@@ -152,8 +113,9 @@ def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(((x[lo : lo + 16, None] - y[None]) ** 2).sum(2)) for lo in range(0, len(x), 16)])
 
 
-def precision_recall_all(real: DataFrame, made: DataFrame, ks: tuple = (1, 3, 5, 11, 21), shard_rows: int = 2048) -> DataFrame:
-    """k, precision, recall over all rows, by blocks of points and shards of the other side. The least
+def precision_recall(real: DataFrame, made: DataFrame, ks: tuple = (1, 3, 5, 11, 21), shard_rows: int = 2048) -> DataFrame:
+    """k, precision, recall: the share of each side inside the k-nearest-neighbour balls of the other, over all
+    rows, by blocks of points and shards of the other side. The least
     distances of a point in each shard are merged to its radii."""
     most = max(ks)
     vectors = lambda f: np.stack(f.x.to_numpy()).astype(float)

@@ -29,10 +29,12 @@ def batch_summary(rows: DataFrame) -> DataFrame:
 
 
 def violation_rates(rows: DataFrame) -> DataFrame:
-    """run_name, tag, n, rate of the run's rows."""
-    totals = rows.groupBy("run_name").agg(F.count("*").alias("total"))
-    tags = rows.select("run_name", F.explode("tags").alias("tag")).groupBy("run_name", "tag").agg(F.count("*").alias("n"))
-    return tags.join(totals, "run_name").select("run_name", "tag", "n", F.round(F.col("n") / F.col("total"), 4).alias("rate"))
+    """run_name, tag, n, rate of the run's rows. One pass: each row counts once under a null tag, which makes the
+    run's total."""
+    marked = rows.select("run_name", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tags")).alias("tag"))
+    counts = marked.groupBy("run_name", "tag").agg(F.count("*").alias("n"))  # a row per run and tag
+    total = F.max(F.when(F.col("tag").isNull(), F.col("n"))).over(Window.partitionBy("run_name"))
+    return counts.withColumn("total", total).filter("tag is not null").select("run_name", "tag", "n", F.round(F.col("n") / F.col("total"), 4).alias("rate"))
 
 
 def metrics_by_tier(rows: DataFrame) -> DataFrame:
@@ -105,8 +107,9 @@ def report(rows: DataFrame) -> DataFrame:
     tags = F.when(F.size("tags") > 0, F.array_join("tags", "|")).otherwise("pass")
     return rows.select("item", text("ok").alias("ok"), text("tier").alias("tier"), text("total_score").alias("total_score"), text("modality_p").alias("modality_p"), F.to_json("funnel_veto").alias("funnel_veto"), F.to_json("soft_reasons").alias("soft_reasons"), tags.alias("tags"))
 
+
 # The order of tags in comparison tables where rates tie.
-KNOWN_TAGS = ["AREA_BAD", "SHAPE_ODD", "NO_PECTORAL", "CONTOUR_FRACTURED", "LOW_CONTRAST", "OVEREXPOSED", "LOW_DR", "OVER_STRETCHED", "BLOWOUT", "DEAD_DARK", "PSD_OFF", "TOO_UNIFORM", "TOO_NOISY", "GRAD_OFF", "ARTIFACT_BUBBLES", "EDGE_VOIDS", "BANDING", "HIST_OFF", "DENSITY_MISMATCH"]
+KNOWN_TAGS = ["AREA_BAD", "SHAPE_ODD", "BLOWOUT", "DEAD_DARK", "ARTIFACT_BUBBLES", "EDGE_VOIDS", "BANDING", "NO_PECTORAL", "LOW_CONTRAST", "OVEREXPOSED", "LOW_DR", "OVER_STRETCHED", "TEXTURE_UNNATURAL", "TOO_UNIFORM", "TOO_NOISY", "HIST_OFF_REAL", "DENSITY_MISMATCH", "AREA_BORDER", "read_failed"]
 SUMMARY_SCHEMA = "count long, total_images long, ok_count long, pass_count long, pass_rate double, mean_total_score double, mean_brisque double, violation_rates map<string,double>, group_means map<string,double>, group_mean_scores map<string,double>"
 
 
@@ -118,9 +121,11 @@ def write_summaries(summary: DataFrame, rates: DataFrame, path: str) -> None:
     rows.withColumn("run", F.col("run_name")).drop("run_name").write.partitionBy("run").json(path)
 
 
-def scan_summaries(spark, path: str) -> DataFrame:
-    """Summaries found by a glob; the run is named by its folder; older names of fields are taken too."""
-    rows = spark.read.option("multiLine", True).schema(SUMMARY_SCHEMA).json(f"{path}/run=*/*.json")
+def scan_summaries(spark, *paths: str) -> DataFrame:
+    """Summaries found by a glob; the run is named by its folder; older names of fields are taken too. A file that is
+    no JSON object of these fields is no run."""
+    read = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_unreadable")
+    rows = read.schema(f"{SUMMARY_SCHEMA}, _unreadable string").json([f"{p}/run=*/*" for p in paths]).filter("_unreadable is null")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/[^/]*$", 1)
     groups = F.coalesce("group_means", "group_mean_scores")
     return rows.select(
@@ -175,3 +180,14 @@ def markdown(runs: DataFrame, tops: DataFrame) -> DataFrame:
     rows = runs.join(tops, "run_name", "left")
     cells = [F.col("run_name"), F.col("total_images").cast("string"), percent(F.col("pass_rate")), F.format_string("%.1f", F.round("mean_total_score", 1)), *[two(f"group_{g}") for g in "ABCDEF"], F.coalesce("top", F.lit("-"))]
     return rows.select("run_name", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+#: Fields of the run table, besides a rate per tag.
+RUN_FIELDS = ["total_images", "pass_count", "pass_rate", "mean_total_score", *(f"group_{g}" for g in "ABCDEF")]
+
+
+def run_table(runs: DataFrame, rates: DataFrame, tags: list) -> DataFrame:
+    """A row per run: its fields and the rates of the given tags, 0 where it has none. tags: a few names."""
+    wide = rates.groupBy("run_name").pivot("tag", tags).agg(F.round(F.max("rate"), 4))
+    joined = runs.join(wide, "run_name", "left")
+    return joined.select("run_name", *RUN_FIELDS, *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"rate_{t}") for t in tags])

@@ -40,6 +40,12 @@ def metrics(rows: DataFrame) -> DataFrame:
     return counts.withColumns({"veto_recall": rate("bad_hits", F.col("n_bad")), "false_kill_rate": rate("false_kills", F.col("n_good"))})
 
 
+def misses(rows: DataFrame) -> DataFrame:
+    """(label, image): bad ones that were not stopped and good ones that were, a row each."""
+    wrong = judged(rows).filter(((F.col("label") == "bad") & ~F.col("stopped")) | ((F.col("label") == "good") & F.col("stopped")))
+    return wrong.select("label", base_name(F.col("image")).alias("image"))
+
+
 def by_category(rows: DataFrame) -> DataFrame:
     bad = judged(rows).filter("label = 'bad' and category <> ''")
     return bad.groupBy("category").agg(F.count_if("stopped").alias("hit"), F.count_if(~F.col("stopped")).alias("miss"))

@@ -111,10 +111,7 @@ def bucket_to_target(spark, sf_dir):
 
 @query("eval_for_batch", "with runs as (select distinct source || '_' || lang || '_eval' as run from documents), b as (select distinct source || '_' || lang as batch from documents) select batch, max(run) as run from b left join runs on contains(run, batch) group by batch")
 def eval_for_batch(spark, sf_dir):
-    """The last run, by name, whose name contains the batch's. One row per run and batch: small by nature, and
-    a join on contains has no key, so the runs are broadcast only if there are few."""
+    """The last run, by name, whose name contains the batch's."""
     names = load(spark, sf_dir, "documents").select(F.concat_ws("_", "source", "lang").alias("batch")).distinct()
     runs = names.select(F.concat("batch", F.lit("_eval")).alias("run"))
-    if runs.count() <= 100_000:
-        runs = F.broadcast(runs)
-    return names.join(runs, F.contains("run", "batch"), "left").groupBy("batch").agg(F.max("run").alias("run"))
+    return op.last_containing(names, "batch", runs, "run")

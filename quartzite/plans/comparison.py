@@ -96,6 +96,32 @@ def sink_run_table(spark, sf_dir):
     return spark.read.csv(path, schema="run_name string, line string", header=True)
 
 
+FIELDS = " union all ".join(f"select run_name, '{f}' as field, cast({'count' if f == 'total_images' else 'ok_count' if f == 'pass_count' else f} as double) as value from summary" for f in runs.RUN_FIELDS)
+
+
+@query("sink_run_csv", f"{ALL}, w as (select tag, round(sum(rate), 4) as weight from rates group by tag), f as (select tag from w order by weight desc, coalesce(list_position({KNOWN}, tag), 1000), tag limit 6) {FIELDS} union all select summary.run_name, 'rate_' || f.tag, coalesce(rate, 0) from summary cross join f left join rates on rates.run_name = summary.run_name and rates.tag = f.tag", B)
+def sink_run_csv(spark, sf_dir):
+    """The run table as CSV with a column per frequent tag, read again, a row per run and field."""
+    table, rates = scanned(spark, sf_dir)
+    tags = [r["tag"] for r in runs.top_tags(rates, 6).orderBy("place").collect()]  # six names
+    path = scratch_path(spark, "run-table")
+    wide = runs.run_table(table, rates, tags)
+    wide.write.csv(path, header=True)
+    back = spark.read.csv(path, schema=wide.schema, header=True)
+    return back.select("run_name", F.explode(F.create_map(*[x for c in wide.columns[1:] for x in (F.lit(c), F.col(f"`{c}`").cast("double"))])).alias("field", "value"))
+
+
+@query("scan_runs_with_unreadable", f"{ALL} select run_name, count as total_images from summary", B)
+def scan_runs_with_unreadable(spark, sf_dir):
+    """Two files that are no summaries lie among the runs; they are no runs."""
+    summary, rates = summaries(spark, sf_dir)
+    path = scratch_path(spark, "runs")
+    runs.write_summaries(summary, rates, path)
+    broken = spark.createDataFrame([("broken", '{"count": 5, "pass_'), ("text", "not json at all")], "run string, value string")
+    broken.write.partitionBy("run").mode("append").format("text").save(f"{path}-broken")
+    return runs.scan_summaries(spark, path, f"{path}-broken").select("run_name", "total_images")
+
+
 T = "truth"
 LABEL = "j as (select *, case when lower(image) like 'good!_%' escape '!' then 'good' when lower(image) like 'bad!_%' escape '!' then 'bad' end as label, not ok or tier >= 2 as stopped, case when not image like 'bad!_%' escape '!' then '' else split_part(substr(image, 5), '_', 1) end as category from truth)"
 
@@ -115,6 +141,11 @@ def validation_metrics(spark, sf_dir):
     return validation.metrics(load(spark, sf_dir, T))
 
 
+@query("validation_misses", f"with {LABEL} select label, image from j where (label = 'bad' and not stopped) or (label = 'good' and stopped)", T)
+def validation_misses(spark, sf_dir):
+    return validation.misses(load(spark, sf_dir, T))
+
+
 @query("validation_by_category", f"with {LABEL} select category, count(*) filter (where stopped) as hit, count(*) filter (where not stopped) as miss from j where label = 'bad' group by 1", T)
 def validation_by_category(spark, sf_dir):
     return validation.by_category(load(spark, sf_dir, T))
@@ -177,10 +208,17 @@ E = "history"
 LAST = "r as (select *, row_number() over (partition by line order by recorded_at desc, event_id desc) as back from history), l as (select line, event_id, score, cast(row_number() over (partition by line order by recorded_at, event_id) as int) as index from r where back <= 5)"
 
 
-@query("history_last_n", f"with {LAST} select line, event_id, index, round(coalesce(score, 0), 2) as score from l", E)
+TAGS = [f"TAG_{i}" for i in range(9)]
+TOP6 = "array_to_string([x.t for x in list_sort([" + ", ".join(f"struct_pack(r := -(event_id * {i + 3} % 17) / 16.0::double, t := '{t}')" for i, t in enumerate(TAGS)) + "])[1:6]], '|')"
+
+
+@query("history_last_n", f"with {LAST} select line, event_id, index, round(coalesce(score, 0), 2) as score, {TOP6} as top6 from l", E)
 def history_last_n(spark, sf_dir):
-    rows = params.latest(load(spark, sf_dir, E), ["line"], "recorded_at", "event_id", 5)
-    return rows.select("line", "event_id", "index", F.round(F.coalesce("score", F.lit(0)), 2).alias("score"))
+    """The latest entries with their six most frequent violations, whose rates are made from the entry's number."""
+    rates = F.create_map(*[x for i, t in enumerate(TAGS) for x in (F.lit(t), F.col("event_id") * (i + 3) % 17 / 16.0)])
+    rows = params.latest(load(spark, sf_dir, E).withColumn("violation_rates", rates), ["line"], "recorded_at", "event_id", 5)
+    top = F.transform(params.top_rates(F.col("violation_rates"), 6), lambda x: x["tag"])
+    return rows.select("line", "event_id", "index", F.round(F.coalesce("score", F.lit(0)), 2).alias("score"), F.array_join(top, "|").alias("top6"))
 
 
 @query("latest_runs", "select line, max(recorded_at) as last_at, count(*) as n from history group by line order by last_at desc, line limit 20", E)
@@ -206,6 +244,15 @@ def clamp_parameters(spark, sf_dir):
     return params.clamped(rows.select("event_id", F.explode("m").alias("key", "value"))).select("event_id", "key", F.col("value").cast("double").alias("value"))
 
 
+NOTES = "repeat(concat('note ', event_id, ' '), event_id % 400)"
+
+
+@query("clamp_notes", f"select event_id, left({NOTES}, 2000) as notes from history where event_id % 400 > 0", E)
+def clamp_notes(spark, sf_dir):
+    rows = load(spark, sf_dir, E).filter("event_id % 400 > 0").selectExpr("event_id", "'notes_zh' as key", f"{NOTES} as value")
+    return params.texts(rows).select("event_id", F.col("value").alias("notes"))
+
+
 SIDES = "t as (select event_id, 'gabor_alpha' as key, event_id % 10 / 10.0::double as value from history where event_id % 3 > 0 union all select event_id, 'strength', event_id % 7 / 8.0::double from history), v as (select event_id, 'gabor_alpha' as key, event_id % 20 / 10.0::double as value from history where event_id % 4 > 0 union all select event_id, 'strength', event_id % 5 / 4.0::double from history where event_id % 2 = 0)"
 
 

@@ -30,22 +30,25 @@ def items(spark, sf_dir):
     return load(spark, sf_dir, "item_metrics").selectExpr("*", *[f"{e} as {n}" for n, e in EXTRAS.items()])
 
 
-def reviewed(spark, sf_dir, calibrate: bool = True):
+def reviewed(spark, sf_dir, calibrate: bool = True, **given):
     """Every item graded, totalled and tiered. Thresholds are settled first, so that grading reads columns of
-    one row and not the expressions that made them."""
+    one row and not the expressions that made them. given: limits of its own."""
     rows = items(spark, sf_dir)
     base = None
     if calibrate:
         real = rows.filter("is_real")
         base = stored(op.baseline_row(op.scalar_stats(real), op.density_prior(real)), "baseline")
-    thresholds = stored(op.calibrated(base, spark), "thresholds")
+    thresholds = stored(op.calibrated(base, spark, **given), "thresholds")
     return op.tiered(op.funnel(op.totalled(op.graded(rows, thresholds))))
 
 
-def review_table(spark, sf_dir):
-    """The reviewed items as a written table, for queries that filter on verdicts: pushed down, such a
-    filter would take the whole chain of grades with it."""
-    return stored(reviewed(spark, sf_dir).drop("t", "stats", "prior"), "review")
+VERDICT = ("run_name", "item", "ok", "tier", "total_score", "semantic_score", "final_rank_score", "ps_slope", "brisque", "group_veto", "tags", *(f"group_{g}" for g in "ABCDEF"))
+
+
+def review_table(spark, sf_dir, *columns: str):
+    """The reviewed items as a written table of the columns that a query needs, for queries that filter on
+    verdicts: pushed down, such a filter would take the whole chain of grades with it."""
+    return stored(reviewed(spark, sf_dir).select(*(columns or VERDICT)), "review")
 
 
 ITEMS = "items as (select *, " + ", ".join(f"{plain(e)} as {n}" for n, e in EXTRAS.items()) + " from item_metrics)"
@@ -92,7 +95,7 @@ def _grade_sql() -> dict[str, tuple[str, str]]:
     return {
         "A1": ("case when mask_ratio between soft_mask_lo and soft_mask_hi then 1 when mask_ratio between min_mask and max_mask then 0.6::double else 0 end", "case when mask_ratio between soft_mask_lo and soft_mask_hi then null when mask_ratio between min_mask and max_mask then 'AREA_BORDER' else 'AREA_BAD' end"),
         "A2": (f"case when circularity between soft_circ_lo and soft_circ_hi then 1 else {_clip(f'1 - abs(circularity - {mid}) * 3')} end", "case when not circularity between soft_circ_lo and soft_circ_hi then 'SHAPE_ODD' end"),
-        "A3": ("case when pectoral_found then 1 else 0.7::double end", "null::varchar"),
+        "A3": ("case when pectoral_found then 1 when require_pectoral > 0 then 0 else 0.7::double end", "case when not pectoral_found and require_pectoral > 0 then 'NO_PECTORAL' end"),
         "A4": (f"({_clip('1 - contour_concavity / greatest(0.001::double, max_concavity)')} + {_clip('1 - greatest(0::double, contour_perim_ratio - 1) / greatest(0.001::double, greatest(1.01::double, max_perim) - 1)')}) / 2", "case when contour_concavity > max_concavity or contour_perim_ratio > max_perim then 'CONTOUR_FRACTURED' end"),
         "A5": ("vert_struct_score", "case when vert_struct_score < 0.25::double then 'VERTICAL_SPINE' end"),
         "A6": (f"case when anatomy_chaos >= chaos_hard then 0 else {_clip('1 - anatomy_chaos / chaos_hard')} end", "case when anatomy_chaos >= chaos_hard then 'ANATOMY_NON_MAMMO' end"),
@@ -187,6 +190,16 @@ def grade_all(spark, sf_dir):
     return reviewed(spark, sf_dir).select("item", *op.GRADES, F.array_join("tags", "|").alias("tags"))
 
 
+#: The chain with limits of its own: pectorals required, groups failing under 0.6.
+STRICT = REVIEWED.replace(f"{op.DEFAULTS['require_pectoral']}::double as require_pectoral", "1.0::double as require_pectoral").replace(f"{op.DEFAULTS['veto_group']}::double as veto_group", "0.6::double as veto_group")
+
+
+@query("grade_required_pectoral", f"with {STRICT} select item, A3, list_contains(tags, 'NO_PECTORAL') as tagged, ok from reviewed", B)
+def grade_required_pectoral(spark, sf_dir):
+    rows = reviewed(spark, sf_dir, require_pectoral=1.0, veto_group=0.6)
+    return rows.select("item", "A3", F.array_contains("tags", "NO_PECTORAL").alias("tagged"), "ok")
+
+
 @query("score_total", f"with {REVIEWED} select item, group_A, group_B, group_C, group_D, group_E, group_F, total_score, array_to_string(group_veto, ',') as group_veto, array_to_string(legacy_reasons, '|') as legacy_reasons, stat_ok as ok from reviewed", B)
 def score_total(spark, sf_dir):
     rows = items(spark, sf_dir)
@@ -220,9 +233,10 @@ def violation_rates(spark, sf_dir):
     return runs.violation_rates(reviewed(spark, sf_dir))
 
 
-@query("veto_by_group", f"with {REVIEWED}, v as (select run_name, unnest(group_veto) as veto from reviewed) select run_name, veto, count(*) as n from v group by 1, 2", B)
+@query("veto_by_group", f"with {STRICT}, v as (select run_name, unnest(group_veto) as veto from reviewed) select run_name, veto, count(*) as n from v group by 1, 2", B)
 def veto_by_group(spark, sf_dir):
-    return reviewed(spark, sf_dir).select("run_name", F.explode("group_veto").alias("veto")).groupBy("run_name", "veto").agg(F.count("*").alias("n"))
+    """With the stricter limit, under which groups of these items fail."""
+    return reviewed(spark, sf_dir, require_pectoral=1.0, veto_group=0.6).select("run_name", F.explode("group_veto").alias("veto")).groupBy("run_name", "veto").agg(F.count("*").alias("n"))
 
 
 @query("tier_hist", f"with {REVIEWED} select run_name, tier, count(*) as n from reviewed group by 1, 2", B)
@@ -237,7 +251,7 @@ def run_metrics_by_tier(spark, sf_dir):
 
 @query("topk_ranked", f"with {REVIEWED}, r as (select run_name, item, tier, final_rank_score, total_score, cast(row_number() over (partition by run_name order by tier, final_rank_score desc, total_score desc, item) as int) as rank from reviewed where ok) select * from r where rank <= 30", B)
 def topk_ranked(spark, sf_dir):
-    return runs.top_ranked(review_table(spark, sf_dir).filter("ok"), 30)
+    return runs.top_ranked(review_table(spark, sf_dir, "run_name", "item", "ok", "tier", "final_rank_score", "total_score").filter("ok"), 30)
 
 
 @query("preview_rank", f"with {REVIEWED}, r as (select run_name, item, ok, tier, total_score, cast(row_number() over (partition by run_name order by ok desc, tier, total_score desc, item) as int) as rank from reviewed) select * from r where rank <= 12", B)

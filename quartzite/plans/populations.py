@@ -91,40 +91,38 @@ def spatial_frechet(spark, sf_dir):
     return spark.createDataFrame([(a[0], b[0], op.frechet(a, b))], "n_real long, n_made long, distance double")
 
 
-SAMPLE = "s as (select item, is_real, [cast(v as double) for v in embedding] as x, row_number() over (partition by is_real order by md5('{seed}|' || item), item) as r from profiles), a as (select * from s where is_real and r <= 200), b as (select * from s where not is_real and r <= 200)"
+SIDES = "s as (select item, is_real, [cast(v as double) for v in embedding] as x from profiles), a as (select * from s where is_real), b as (select * from s where not is_real)"
 K = "power(list_inner_product({p}.x, {q}.x) / 64 + 1, 3)"
+KID = f"with {SIDES} select round((select avg({K.format(p='p', q='q')}) from a p join a q on p.item <> q.item) + (select avg({K.format(p='p', q='q')}) from b p join b q on p.item <> q.item) - 2 * (select avg({K.format(p='p', q='q')}) from a p cross join b q), 9) as kid"
 
 
-@query("kernel_distance", f"with {SAMPLE.format(seed='kid')} select round((select avg({K.format(p='p', q='q')}) from a p join a q on p.item <> q.item) + (select avg({K.format(p='p', q='q')}) from b p join b q on p.item <> q.item) - 2 * (select avg({K.format(p='p', q='q')}) from a p cross join b q), 9) as kid", D)
+@query("kernel_distance", KID, D)
 def kernel_distance(spark, sf_dir):
-    return op.kernel_distance(*populations(spark, sf_dir))
+    return spark.createDataFrame([(op.kernel_distance(*populations(spark, sf_dir)),)], "kid double").select(F.round("kid", 9).alias("kid"))
+
+
+@query("kernel_distance_all", KID, D)
+def kernel_distance_all(spark, sf_dir):
+    """The same under its former name, from when kernel_distance had a bound."""
+    return kernel_distance(spark, sf_dir)
 
 
 BALLS = "ra as (select p.item, list_distance(p.x, q.x) as gap, row_number() over (partition by p.item order by list_distance(p.x, q.x)) as k from a p join a q on p.item <> q.item), rb as (select p.item, list_distance(p.x, q.x) as gap, row_number() over (partition by p.item order by list_distance(p.x, q.x)) as k from b p join b q on p.item <> q.item)"
+PRECISION = f"""with {SIDES}, {BALLS}, ks as (select unnest([1, 3, 5, 11, 21]) as k),
+pr as (select ra.k, count(distinct b.item) as n from b join a on true join ra on ra.item = a.item and list_distance(a.x, b.x) <= ra.gap and ra.k in (1, 3, 5, 11, 21) group by 1),
+re as (select rb.k, count(distinct a.item) as n from a join b on true join rb on rb.item = b.item and list_distance(a.x, b.x) <= rb.gap and rb.k in (1, 3, 5, 11, 21) group by 1)
+select cast(ks.k as int) as k, round(coalesce(pr.n, 0) / (select count(*) from b), 6) as precision, round(coalesce(re.n, 0) / (select count(*) from a), 6) as recall from ks left join pr using (k) left join re using (k)"""
 
 
-@query(
-    "manifold_precision_recall",
-    f"""with {SAMPLE.format(seed='prc')}, {BALLS}, ks as (select unnest([1, 3, 5, 11, 21]) as k),
-pr as (select ra.k, count(distinct b.item) as n from b join a on true join ra on ra.item = a.item and list_distance(a.x, b.x) <= ra.gap group by 1),
-re as (select rb.k, count(distinct a.item) as n from a join b on true join rb on rb.item = b.item and list_distance(a.x, b.x) <= rb.gap group by 1)
-select cast(ks.k as int) as k, round(coalesce(pr.n, 0) / (select count(*) from b), 6) as precision, round(coalesce(re.n, 0) / (select count(*) from a), 6) as recall from ks left join pr using (k) left join re using (k)""",
-    D,
-)
+@query("manifold_precision_recall", PRECISION, D)
 def manifold_precision_recall(spark, sf_dir):
     return op.precision_recall(*populations(spark, sf_dir))
 
 
-@query("kernel_distance_all")
-def kernel_distance_all(spark, sf_dir):
-    """kernel_distance over all vectors; its SQL holds the other to 200 a side."""
-    return spark.createDataFrame([(op.kernel_distance_all(*populations(spark, sf_dir)),)], "kid double").select(F.round("kid", 9).alias("kid"))
-
-
-@query("manifold_precision_recall_all")
+@query("manifold_precision_recall_all", PRECISION, D)
 def manifold_precision_recall_all(spark, sf_dir):
-    """manifold_precision_recall over all vectors."""
-    return op.precision_recall_all(*populations(spark, sf_dir))
+    """The same under its former name, from when manifold_precision_recall had a bound."""
+    return manifold_precision_recall(spark, sf_dir)
 
 
 @query("radiomics_mahalanobis")

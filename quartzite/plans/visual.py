@@ -65,12 +65,11 @@ def label_verdict(spark, sf_dir):
 VERDICTS = f"{SCORES}, v as (select image_id, case when score <= 0.2::double then 'certain_clean' when score >= 0.65::double then 'certain_labeled' else 'uncertain' end as verdict from sc)"
 
 
-@query("label_action_counts", f"with {VERDICTS} select case verdict when 'certain_clean' then 'certain_clean' when 'certain_labeled' then 'certain_labeled_strip' else 'fallback_strip_uncertain' end as action, count(*) as n from v group by 1", I)
+@query("label_action_counts", f"with {VERDICTS} select case when image_id % 19 = 0 then 'unreadable' when verdict = 'certain_clean' then 'certain_clean' when verdict = 'certain_labeled' then 'certain_labeled_strip' else 'fallback_strip_uncertain' end as action, count(*) as n from v group by 1", I)
 def label_action_counts(spark, sf_dir):
     name, _ = comp.verdict(F.col("score"))
-    rows = comp.label_scores(load(spark, sf_dir, I)).select(name.alias("verdict"))
-    action = F.when(F.col("verdict") == "certain_clean", "certain_clean").when(F.col("verdict") == "certain_labeled", "certain_labeled_strip").otherwise("fallback_strip_uncertain")
-    return rows.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+    rows = comp.label_scores(load(spark, sf_dir, I))
+    return rows.groupBy(comp.label_action(name, F.col("image_id") % 19 != 0).alias("action")).agg(F.count("*").alias("n"))
 
 
 DRAWS = f"{VERDICTS}, d as (select *, image_id % 300 as slot, row_number() over (partition by image_id % 300 order by md5('42|' || image_id), image_id) as draw from v)"
@@ -118,6 +117,11 @@ def text_boxes(spark, sf_dir):
     return comp.text_boxes(load(spark, sf_dir, I), most=0.3)
 
 
+@query("text_box_share", "with m as (select *, max(area) over (partition by image_id) as biggest from components), b as (select distinct image_id from m where area >= 12 and area <= biggest * 0.3::double and not (area > 200 and greatest(w, h) / greatest(1, least(w, h)) < 2)), c as (select (select count(distinct image_id) from components) as images, (select count(*) from b) as with_boxes) select *, round(with_boxes / images, 6) as share from c", I)
+def text_box_share(spark, sf_dir):
+    return comp.share_with_boxes(load(spark, sf_dir, I), most=0.3)
+
+
 BOX = "case image_id % 3 when 0 then concat('found [{\"x1\": ', x, ', \"y1\": ', y, ', \"x2\": ', x + w * 9 + 101, ', \"y2\": ', y + h, '}] ok') when 1 then concat('[{\"left\": ', x % 90, ', \"top\": ', y % 80, ', \"right\": ', x % 90 + 8, ', \"bottom\": ', y % 80 + 3, '}]') else 'none' end"
 
 

@@ -293,3 +293,53 @@ def test_exact_percentiles_equal_numpy(spark):
         assert got[k] == pytest.approx(np.percentile(v, [100 * q for q in points.values()]).tolist(), abs=1e-12), k
     coarse = exact_percentiles(rows.filter("g = 'many'"), "g", "x", points, accuracy=100).first()
     assert coarse["p95"] == pytest.approx(np.percentile(groups["many"], 95), abs=1e-12)
+
+
+def test_places_in_a_stratum_that_spans_ranges(spark):
+    """One stratum holds most rows, one is null, and keys repeat."""
+    rows = spark.createDataFrame([(i % 40, "hot" if i % 5 else None if i % 3 else "cold", i) for i in range(300)], "key int, s string, i int").repartition(7)
+    got = captions.numbered(rows, ["s"], "key", F.col("key")).toPandas()
+    assert len(got) == 300
+    for _, g in got.groupby("s", dropna=False):
+        assert sorted(g.k) == list(range(1, len(g) + 1)) and (g.n == len(g)).all() and g.sort_values("k").key.is_monotonic_increasing
+    assert captions.numbered(rows.limit(0), ["s"], "key", F.col("key")).count() == 0
+
+
+def test_components_in_crowds_and_alone(spark):
+    r = np.random.default_rng(6)
+    points = [(1, int(x), int(y)) for x, y in r.integers(0, 400, (60, 2))] + [(2, 5, 5)] * 500 + [(2, 300, 300), (3, 10, 10), (4, 0, 0), (4, 60, 0), (5, 0, 0), (5, 61, 0)]
+    rows = spark.createDataFrame([(i, k, 10, x, y, 0, 0) for k, (i, x, y) in enumerate(points)], "image_id int, comp_id int, area int, x int, y int, w int, h int")
+
+    def near(i, far):
+        p = np.array([(x, y) for j, x, y in points if j == i], float)
+        return (((p[:, None] - p[None]) ** 2).sum(2) <= far * far).sum(1)
+
+    assert {x["image_id"]: x["isolated"] for x in components.isolated(rows).collect()} == {i: int((near(i, 60) == 1).sum()) for i in range(1, 6)}
+    for side, radius in ((100, 28), (1000, 55)):
+        assert {x["image_id"]: x["clustered"] for x in components.clusters(rows, F.lit(side)).collect()} == {i: int(near(i, radius).max() >= 4) for i in range(1, 6)}
+
+
+def test_runs_that_contain_a_name(spark):
+    names = spark.createDataFrame([("a",), ("ab",), ("zz",), ("abcd",), (None,)], "name string")
+    runs_ = spark.createDataFrame([("xab",), ("abc",), ("b",), (None,)], "run string")
+    assert {r["name"]: r["run"] for r in captions.last_containing(names, "name", runs_, "run").collect()} == {"a": "xab", "ab": "xab", "zz": None, "abcd": None, None: None}
+
+
+def test_required_pectoral_and_stricter_groups(spark):
+    t = grading.calibrated(None, spark, require_pectoral=1.0, veto_group=0.6)
+    assert t.first()["t"]["require_pectoral"] == 1.0 and t.first()["t"]["veto_group"] == 0.6
+    rows = spark.createDataFrame([(True,), (False,)], "pectoral_found boolean").crossJoin(t)
+    score, tag = grading.grade_columns()["A3"]
+    assert [tuple(r) for r in rows.select(score, tag).collect()] == [(1.0, None), (0.0, "NO_PECTORAL")]
+
+
+def test_percentiles_by_either_way(spark):
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(r.normal(size=3000), r.integers(0, 5, 3000))], "mask_ratio double, circularity double")
+    a, b = (grading.scalar_stats(rows, ["mask_ratio", "circularity"], large=x).orderBy("metric").collect() for x in (False, True))
+    assert a == b and a[1]["p95"] == pytest.approx(np.percentile([x["mask_ratio"] for x in rows.collect()], 95), abs=1e-8)
+
+
+def test_text_parameters(spark):
+    rows = spark.createDataFrame([("notes_zh", "x" * 3000), ("lora_path", "  a/b "), ("strength", "1"), ("notes_zh", None)], "key string, value string")
+    assert [(r["key"], r["value"]) for r in params.texts(rows).collect()] == [("notes_zh", "x" * 2000), ("lora_path", "a/b")]
