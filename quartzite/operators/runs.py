@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import artifact_burden, source_quality_score
+from ..sources.scratch import stored
 
 REPORT_SCHEMA = "item string, ok string, tier string, total_score string, modality_p string, funnel_veto string, soft_reasons string, tags string"
 
@@ -89,7 +90,7 @@ def source_pool(rows: DataFrame, n: int) -> DataFrame:
 
 def with_fallback(rows: DataFrame, n: int) -> DataFrame:
     """All clean ones, and of the others as many as are missing up to n."""
-    pool = pooled(rows)
+    pool = stored(pooled(rows), "pool")
     clean = pool.filter("priority = 0")
     missing = max(0, n - clean.count())
     others = pool.filter("priority = 1").orderBy(F.desc("score"), "item").limit(missing)

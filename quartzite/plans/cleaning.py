@@ -156,9 +156,9 @@ union all select 'skipped', count(*) from catalog where row_ord not in (select r
 def source_mask_join(spark, sf_dir):
     files, masks = listing(spark, sf_dir)
     found = files.join(masks, "row_ord")
-    rows = load(spark, sf_dir, "catalog").select("row_ord")
-    matched = rows.join(found, "row_ord").agg(F.count("*").alias("n")).select(F.lit("matched").alias("outcome"), "n")
-    return matched.union(rows.join(found, "row_ord", "left_anti").agg(F.count("*").alias("n")).select(F.lit("skipped"), "n"))
+    rows = load(spark, sf_dir, "catalog").select("row_ord").join(found.select("row_ord", F.lit(True).alias("hit")), "row_ord", "left")
+    counts = rows.agg(F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("skipped"))
+    return counts.selectExpr("stack(2, 'matched', matched, 'skipped', skipped) as (outcome, n)")
 
 
 NAMES = r"""names as (select url as key, page_id, regexp_extract(url, '[^/]*$') as name, regexp_replace(regexp_extract(url, '[^/]*$'), '^(.+)\.[^.]*$', '\1') as stem from urls),
@@ -228,9 +228,10 @@ def scan_jsonl_lenient(spark, sf_dir):
 
 @query("scan_source_map", "select cast(event_id as varchar) as generated, line as source from history", "history")
 def scan_source_map(spark, sf_dir):
-    """A JSON object per source tag, generated name to source."""
-    pairs = load(spark, sf_dir, "history").select(F.to_json(F.create_map(F.col("event_id").cast("string"), F.col("line"))).alias("json"))
-    return readers.source_map(pairs, "json")
+    """JSON objects of up to 64 entries, generated name to source."""
+    entry = F.struct(F.col("event_id").cast("string").alias("key"), F.col("line").alias("value"))
+    batches = load(spark, sf_dir, "history").groupBy(F.floor(F.col("event_id") / 64)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("json"))
+    return readers.source_map(batches.select("json"), "json")
 
 
 @query("gen_source_pairs", "select cast(h.event_id as varchar) as generated, coalesce(m.line, cast(h.event_id as varchar)) as source from history h left join (select event_id, line from history where event_id % 4 > 0) m using (event_id)", "history")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import components as comp
 from ..operators import images, pixels, validation
 from ..sources.adapters import load
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, stored
 from ..streaming.ingest import ingest
 from .registry import query
 
@@ -246,7 +246,7 @@ def mask_outcome_counts(spark, sf_dir):
 
 @query("sink_mask_meta", f"with {STATUS} select case when status = 'ok' then 'meta' else 'skipped' end as log, status, count(*) as n from st where status <> 'pre_existing' group by 1, 2", TI)
 def sink_mask_meta(spark, sf_dir):
-    rows = statuses(spark, sf_dir)
+    rows = stored(statuses(spark, sf_dir), "statuses")
     path = scratch_path(spark, "masks")
     rows.filter("status = 'ok'").write.json(f"{path}/meta")
     rows.filter("status in ('read_failed', 'mask_ratio_out_of_range')").write.json(f"{path}/skipped")
