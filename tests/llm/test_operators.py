@@ -312,19 +312,84 @@ def test_line_dedup_edges(spark):
     assert linededup.drop_spread_lines(empty_docs(spark), 3).count() == 0
 
 
-@pytest.mark.parametrize("make", [edge_docs, empty_docs])
-def test_text_operators_on_edge_rows(spark, make):
-    docs = make(spark)
-    n = docs.count()
-    assert simhash.near_duplicates(docs).count() == n
-    assert pii.digest(pii.find_personal_data(docs)).count() == n
-    assert bpe.encoded(docs, q.vocabulary(q.BYTE_BPE)).count() == n
-    assert tokenfile.token_files(docs, q.vocabulary(q.WORD_BPE)).count() == n
+def by_row(frame, *columns):
+    return sorted((tuple(None if pd.isna(v) else v for v in r) for r in frame[list(columns)].itertuples(index=False)), key=str)
+
+
+def test_text_operators_on_edge_rows(spark):
+    """Null, empty, very long and repeated texts, a null id, clashing columns: every row comes out with its values."""
+    import hashlib
+
+    docs = edge_docs(spark)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert by_row(pii.digest(pii.find_personal_data(docs)).toPandas(), "doc_id", "n_email", "n_card", "base_sha256", "spans") == sorted(((i, 0, 0, sha(""), "") for i, _ in rows), key=str)
+    encoding, _, _ = bpe.codec(q.vocabulary(q.BYTE_BPE))
+    ids = [(i, t, encoding.encode_ordinary(t)) for i, t in rows]
+    got = bpe.encoded(docs, q.vocabulary(q.BYTE_BPE)).toPandas()
+    assert by_row(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(((i, len(x), sha(",".join(map(str, x))), sha(t)) for i, t, x in ids), key=str)
+    coder = tokenfile.WordTokenizer(q.vocabulary(q.WORD_BPE))
+    crc = lambda t: zlib.crc32(np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes())
+    assert by_row(tokenfile.token_files(docs, q.vocabulary(q.WORD_BPE)).toPandas(), "doc_id", "ids_crc32") == sorted(((i, crc(t)) for i, t in rows), key=str)
+    got = simhash.near_duplicates(docs).toPandas()
+    fp = lambda t: np.array([simhash.fingerprint(t.encode())], np.uint64).view(np.int64)[0]
+    assert by_row(got, "doc_id", "fp") == sorted(((i, fp(t)) for i, t in rows), key=str)
     model = langid.train(docs)
     found = langid.predict(docs, model, "doc_id", "part").toPandas()
-    assert len(found) == n and (found.lang_pred[found.doc_id.isin([1, 2, 7])] == "und").all()
+    want = {1: "und", 2: "und", 7: "und"}
+    assert len(found) == len(rows) and (found.part == 3).all()
+    for r in found.itertuples():
+        assert 0 <= r.score <= 1 and r.lang_pred == want.get(r.doc_id, r.lang_pred) and r.lang_pred in ("und", "en", "fr")
+    pages = docs.select("doc_id", "source", "text", "part").toDF("page_id", "url", "html", "text")
+    got = pagetext.extracted(pages).toPandas()
+    plain = lambda t: " ".join(t.split())
+    assert by_row(got, "page_id", "text", "n_chars") == sorted(((i, plain(t), len(plain(t))) for i, t in rows), key=str)
+
+
+def test_text_operators_on_an_empty_table(spark):
+    docs = empty_docs(spark)
     pages = docs.select("doc_id", "source", "text").toDF("page_id", "url", "html")
-    assert pagetext.extracted(pages).count() == n
+    for out in (simhash.near_duplicates(docs), pii.digest(pii.find_personal_data(docs)), bpe.encoded(docs, q.vocabulary(q.BYTE_BPE)), tokenfile.token_files(docs, q.vocabulary(q.WORD_BPE)), langid.predict(docs, langid.train(docs), "doc_id"), pagetext.extracted(pages)):
+        assert out.count() == 0
+
+
+def test_emoji_have_no_language(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(40)] + [(50, "😀", "en"), (51, "12 👍", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.train(docs), "doc_id").collect()}
+    assert got[50] == got[51] == ("und", 0.0) and got[0][0] == "en"
+
+
+def test_training_equals_a_plain_version(spark):
+    """Document frequencies, FTRL on the one shard, and temperature against loops over the same rows."""
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs, shard_rows=10_000)
+    d = documents()
+    d["r"] = [zlib.crc32(str(i).encode()) % 4 for i in d.doc_id]
+    use = d[d.text.notna() & d.lang.notna() & (d.r != 2)]
+    count = np.zeros(langid.BUCKETS, int)
+    for t in use.text:
+        count[langid.grams(t)[0]] += 1
+    idf = np.log((1 + len(use)) / (1 + count)) + 1
+    assert np.allclose(model.idf, idf) and model.langs == sorted(use.lang.unique())
+    fit = use[use.r != 3]
+    h = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) as h").collect()}
+    rows = sorted((h[r.doc_id], r.text, model.langs.index(r.lang)) for r in fit.itertuples())
+    z, n = np.zeros((len(model.langs), langid.BUCKETS + 1)), np.zeros((len(model.langs), langid.BUCKETS + 1))
+    weight = lambda z, n: 0.0 if abs(z) <= 1e-4 else -(z - np.sign(z) * 1e-4) / ((1 + np.sqrt(n)) / 0.5 + 1e-3)
+    for _ in range(3):
+        for _, t, y in rows:
+            at, v = langid.tf_idf(t, idf)
+            at, v = np.append(at, langid.BUCKETS), np.append(v, 1.0)
+            w = np.vectorize(weight)(z[:, at], n[:, at])
+            p = np.exp(w @ v)
+            p /= p.sum()
+            g = (p - (np.arange(len(p)) == y))[:, None] * v
+            z[:, at] += g - (np.sqrt(n[:, at] + g * g) - np.sqrt(n[:, at])) / 0.5 * w
+            n[:, at] += g * g
+    assert np.allclose(model.weights, np.vectorize(weight)(z, n), atol=1e-9)
+    held = [(model.logits(t), model.langs.index(x)) for t, x, r in zip(use.text, use.lang, use.r) if r == 3]
+    loss = lambda t: np.mean([np.log(np.exp((s - s.max()) / t).sum()) - (s[y] - s.max()) / t for s, y in held if s is not None])
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.05, 5, 81))) + 1e-12
 
 
 def test_null_and_equal_fingerprints_link(spark):
@@ -334,6 +399,71 @@ def test_null_and_equal_fingerprints_link(spark):
     assert (got[got.doc_id == 3].component_id == 3).all()
 
 
+def test_pipeline_stages_on_edge_rows(spark):
+    """Each stage on nulls, empty, long and repeated rows, clashing columns, and on an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, ids = edge_docs(spark), lambda out: sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=str)
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars", "__at", "h1", "part")
+    assert ids(corpus_pipeline.language(spark, unlabelled, SF)) == sorted([3, 3, 4, 6, None], key=str)  # nothing to learn: all with a letter
+    kept = ids(corpus_pipeline.language(spark, docs, SF))
+    assert set(kept) <= {3, 4, 6, None} and kept.count(3) in (0, 2)
+    assert ids(corpus_pipeline.lines(spark, docs, SF)) == ids(docs)
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    assert set(ids(mixed)) <= {3, 4, 6, 7, None} and mixed.columns == docs.columns
+    assert ids(corpus_pipeline.tokens(spark, docs, SF)) == ids(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty_docs(spark), SF)
+        assert out.count() == 0 and (name == "tokens" or out.columns == docs.columns)
+
+
+def test_pipeline_equals_its_stages_in_plain_python(spark):
+    """Language, lines, near-duplicates, mixture and tokens of the smallest tables, each stage against loops."""
+    import hashlib
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from quartzite.llm import nearcopies
+
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs)
+    kept = [d for d in documents().sort_values("doc_id").itertuples() if (p := model.predict(d.text))[0] != "und" and p[1] >= corpus_pipeline.MIN_SCORE]
+    bare = lambda x: x.strip(" \r") if "\r" in x else x.strip(" ")
+    seen: dict = {}
+    for d in kept:
+        for i, x in enumerate(d.text.split("\n")):
+            if bare(x):
+                seen.setdefault(bare(x), []).append((d.doc_id, i, d.source, d.text))
+    spread = {}
+    for x, places in seen.items():
+        sites, long = {p[2] for p in places}, len(x.split()) >= 50 and len({p[3] for p in places}) > 1
+        if len(sites) >= (2 if long else 5):
+            spread[x] = min(places)[:2]
+    texts = {d.doc_id: "\n".join(x for i, x in enumerate(d.text.split("\n")) if bare(x) not in spread or spread[bare(x)] == (d.doc_id, i)) for d in kept}
+    sets = {i: nearcopies.shingles(t.encode(), 5) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids:
+            if a < b and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and nearcopies.jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    left = {i: t for i, t in texts.items() if find(i) == i}
+    frame = docs.drop("text").join(spark.createDataFrame(list(left.items()), "doc_id long, text string"), "doc_id").select(*docs.columns)
+    want: dict = {}
+    for r in mixing.whole_documents(frame, mixing.mixed(frame)[1]).collect():  # op2's own tests check its sums
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + 1
+    encoding, _, _ = bpe.codec(q.vocabulary(q.BYTE_BPE))
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert got.doc_id.value_counts().to_dict() == want
+    for r in got.itertuples():
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, encoding.encode_ordinary(left[r.doc_id]))).encode()).hexdigest()
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, "/root/testdata/sf0.01", "documents")
