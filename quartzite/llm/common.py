@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path, shared_dir, stored
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,31 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Unset: a temporary one, but only where driver and
-    executors are one process; elsewhere it is an error, since other machines could not read it."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quartzite.shared.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='quartzite-')}"
-    spark.conf.set("quartzite.shared.dir", made)
-    return made
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back. Cuts lineage (a lost executor costs
-    only its running tasks) and lets Catalyst know the table's true size, by which it picks broadcast
-    or shuffled joins itself."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A new path in the shared folder, and a table written there and read back; scratch.clear() deletes them.
+new_path, settled = scratch_path, stored
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -34,13 +34,19 @@ def lines_of(text: Column) -> Column:
 
 
 def bare(line: Column) -> Column:
-    """A line without outer spaces and carriage returns."""
-    return F.trim(line, F.lit(" \r"))
+    """A line without outer spaces and carriage returns; few lines have one, and plain trimming is quicker."""
+    return F.when(F.contains(line, F.lit("\r")), F.trim(line, F.lit(" \r"))).otherwise(F.trim(line))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, site, pos, h1, h2, long), one row per line that is not blank."""
-    hashed = F.transform(lines_of(F.col("text")), lambda x: F.when(bare(x) != "", F.struct(F.xxhash64(bare(x)).alias("h1"), F.xxhash64(F.lit("second"), bare(x)).alias("h2"), (n_words(x) >= LONG_LINE).alias("long"))))
+def line_rows(docs: DataFrame, with_long: bool = True) -> DataFrame:
+    """(doc_id, tag, site, pos, h1, h2, long), one row per line that is not blank. long: whether it has LONG_LINE
+    words, which are counted only where it has the characters for them (with_long; else false)."""
+
+    def hashes(x: Column) -> Column:
+        long = F.when(F.length(x) >= 2 * LONG_LINE - 1, n_words(x) >= LONG_LINE).otherwise(False) if with_long else F.lit(False)
+        return F.when(x != "", F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"), long.alias("long")))
+
+    hashed = F.transform(F.transform(lines_of(F.col("text")), bare), hashes)
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("source"), F.lit("\0none")).alias("site"), F.posexplode(hashed).alias("pos", "h"))
     return rows.filter("h is not null").select("doc_id", "tag", "site", "pos", "h.h1", "h.h2", "h.long")
 
@@ -49,9 +55,14 @@ def spread_lines(rows: DataFrame, min_sites: int, long_sites: int | None = None,
     """(h1, h2, first) of the lines on at least min_sites sites, and of the long ones in several texts on at
     least long_sites. Sites are hashed for the sketch, which does not count an empty string."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("pos"), F.col("tag"))
-    counted = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg(F.xxhash64("site"), lg_k).alias("sketch"), F.min(place).alias("first"), F.max(F.col("long") & F.lit(long_sites is not None)).alias("long"), F.min("tag").alias("low"), F.max("tag").alias("high"))
-    need = F.when(F.col("long") & (F.col("low") != F.col("high")), F.least(F.lit(long_sites), F.lit(min_sites))).otherwise(F.lit(min_sites))
-    counted = counted.withColumns({"sites": F.hll_sketch_estimate("sketch"), "need": need}).drop("sketch", "long", "low", "high")
+    sketch = F.hll_sketch_agg(F.xxhash64("site"), lg_k).alias("sketch")
+    if long_sites is None:
+        counted = rows.groupBy("h1", "h2").agg(sketch, F.min(place).alias("first"))
+        need = F.lit(min_sites)
+    else:
+        counted = rows.groupBy("h1", "h2").agg(sketch, F.min(place).alias("first"), F.max("long").alias("long"), F.min("tag").alias("low"), F.max("tag").alias("high"))
+        need = F.when(F.col("long") & (F.col("low") != F.col("high")), F.lit(min(long_sites, min_sites))).otherwise(F.lit(min_sites))
+    counted = counted.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"), need.alias("need"))
     counted = settled(counted.filter(F.col("sites") >= F.col("need") * (1 - near)), "lines-spread")
     over = F.col("sites") > F.col("need") * (1 + near)
     close = counted.filter(~over)
@@ -62,7 +73,7 @@ def spread_lines(rows: DataFrame, min_sites: int, long_sites: int | None = None,
 
 def cleaned(docs: DataFrame, min_sites: int, long_sites: int | None = None) -> DataFrame:
     """(d, text, n_lines, n_dropped): d is the row but for its text, packed so that none of its columns can clash."""
-    rows = line_rows(docs)
+    rows = line_rows(docs, long_sites is not None)
     spread = settled(spread_lines(rows, min_sites, long_sites), "lines-boilerplate")
     here = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("pos"), F.col("tag"))
     gone = rows.join(spread, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first")))
@@ -76,7 +87,7 @@ def cleaned(docs: DataFrame, min_sites: int, long_sites: int | None = None) -> D
     return joined.select(
         "d",
         F.array_join(kept, "\n").alias("text"),
-        F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: bare(x) != ""))).cast("long").alias("n_lines"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter(F.transform("lines", bare), lambda x: x != ""))).cast("long").alias("n_lines"),
         F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long").alias("n_dropped"),
     )
 

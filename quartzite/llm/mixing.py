@@ -8,7 +8,7 @@ looked at row by row. A source has a range for every few thousand documents, so
 sorted in one task.
 
 Nulls: a null text has size 0, a null source is a source of its own that comes last, a null doc_id is
-hashed as an empty string. Repeated rows count each for itself. Empty tables give empty results. Sizes of 0
+hashed as an empty string, with its text. Repeated rows count each for itself. Empty tables give empty results. Sizes of 0
 are never taken. Other columns are ignored (or kept, where documents are returned).
 """
 
@@ -23,8 +23,9 @@ RANGE_ROWS = 4_000
 SEED = "mix"
 
 
-def mix_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def mix_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A hash of id and text, so that rows without an id, or with one id, are spread too."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -47,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float =
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, key), as narrow as can be."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("key"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
 
 
 def with_range(rows: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def whole_documents(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataF
     one at the cut is taken if at least half of it is covered. The plan is settled, which tells Catalyst
     its size: small, it is broadcast, and the texts are not shuffled."""
     plan = settled(plan, "mix-plan")
-    packed = docs.select(F.struct(*docs.columns).alias("d"), mix_key(F.col("doc_id"), seed).alias("key"), n_words(F.col("text")).alias("size"))
+    packed = docs.select(F.struct(*docs.columns).alias("d"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"), n_words(F.col("text")).alias("size"))
     joined = with_range(packed.join(plan, F.col("d.source").eqNullSafe(F.col("of"))))
     in_last = (F.col("part") < F.col("cut_part")) | ((F.col("part") == F.col("cut_part")) & (F.col("key") <= F.coalesce("last_key", F.lit(""))))
     times = F.when(F.col("size") > 0, F.col("epochs") + F.when(in_last, 1).otherwise(0)).otherwise(0).cast("int")

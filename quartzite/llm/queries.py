@@ -79,7 +79,7 @@ ranked as (select *, cast(row_number() over (partition by query_id order by scor
 select query_id, rank, vec_id, score from ranked where rank <= 10""",
     "op2_mix_sources": r"""
 with rows as (
-  select doc_id, source, md5(concat('mix:', coalesce(cast(doc_id as varchar), ''))) as key,
+  select doc_id, source, md5(concat('mix:', coalesce(cast(doc_id as varchar), ''), ':', md5(coalesce(text, '')))) as key,
     cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
 sizes as (select source, cast(sum(size) as bigint) as source_size from rows group by source),
 ranked as (
