@@ -19,6 +19,12 @@ FINDING_DENSITY = {"1": "almost entirely fatty tissue", "2": "scattered fibrogla
 FINDING_VIEW = {"MLO": "mediolateral oblique", "CC": "craniocaudal", "LM": "lateromedial", "ML": "mediolateral"}
 FIXED_DENSITY = DENSITY_TEXT | {"fatty": "predominantly fatty breast tissue"}
 PROMPT_ANATOMY = "triangular pectoralis muscle, clear inframammary fold, directional fibroglandular strands toward nipple"
+VIEW_EXTRA = {"MLO": "pectoral muscle", "other": "compressed breast tissue"}
+FIXED_OPENING = "mammography, mediolateral oblique view, "
+FINDING_FORM = "a mammography X-ray image of the %s breast, %s view, %s, %s, grayscale medical imaging, diagnostic quality"
+FINDING_PARTS = {"malignant": "malignant lesion", "benign": "benign finding", "mass": "breast mass", "calc": "microcalcifications", "none": "no significant abnormality"}
+PROMPT_VIEW = {"MLO": "MLO view", "CC": "CC view"}
+PROMPT_FORM = "medical grayscale mammogram, %s, fine ligament texture, FFDM, no text, no labels"
 
 
 def phrase(values: dict, key: Column, default: str) -> Column:
@@ -28,15 +34,14 @@ def phrase(values: dict, key: Column, default: str) -> Column:
 def structured(view: Column, side: Column, density: Column) -> Column:
     """The phrases in order, with one more for the view at the sixth place."""
     pieces = F.array(F.lit("mammography"), phrase(VIEW_TEXT, F.upper(view), "mammogram view"), phrase(SIDE_TEXT, F.upper(side), "breast"), phrase(DENSITY_TEXT, density, "fibroglandular density"), *[F.lit(x) for x in ANATOMY + TEXT_FREE + CLOSING])
-    extra = F.when(F.upper(view) == "MLO", "pectoral muscle").otherwise("compressed breast tissue")
+    extra = phrase(VIEW_EXTRA, F.upper(view), VIEW_EXTRA["other"])
     return F.array_join(F.array_insert(pieces, 6, extra), ", ")
 
 
 def fixed_view(side: Column, density: Column) -> Column:
     """The caption of a set that holds oblique views only."""
-    opening = "mammography, mediolateral oblique view, "
     closing = ", " + ", ".join(["skin line", "pectoral muscle", *ANATOMY[1:], *TEXT_FREE, *CLOSING])
-    return F.concat(F.lit(opening), phrase(SIDE_TEXT, F.upper(side), "breast"), F.lit(", "), phrase(FIXED_DENSITY, density, "breast tissue"), F.lit(closing))
+    return F.concat(F.lit(FIXED_OPENING), phrase(SIDE_TEXT, F.upper(side), "breast"), F.lit(", "), phrase(FIXED_DENSITY, density, "breast tissue"), F.lit(closing))
 
 
 def findings(side: Column, view: Column, density: Column, pathology: Column, abnormality: Column) -> Column:
@@ -44,17 +49,18 @@ def findings(side: Column, view: Column, density: Column, pathology: Column, abn
     view_text = phrase(FINDING_VIEW, F.element_at(F.split(F.upper(view), "_"), 1), "mammogram")
     what = F.lower(F.coalesce(pathology, F.lit("")))
     kind = F.lower(F.coalesce(abnormality, F.lit("")))
-    parts = F.array_compact(F.array(F.when(what.contains("malignant"), "malignant lesion").when(what.contains("benign"), "benign finding"), F.when(kind.contains("mass"), "breast mass").when(kind.contains("calc"), "microcalcifications")))
-    found = F.when(F.size(parts) == 0, "no significant abnormality").otherwise(F.array_join(parts, ", "))
-    return F.concat(F.lit("a mammography X-ray image of the "), side_text, F.lit(" breast, "), view_text, F.lit(" view, "), phrase(FINDING_DENSITY, density, "fibroglandular density"), F.lit(", "), found, F.lit(", grayscale medical imaging, diagnostic quality"))
+    first = lambda text, *names: F.coalesce(*[F.when(text.contains(n), FINDING_PARTS[n]) for n in names])
+    parts = F.array_compact(F.array(first(what, "malignant", "benign"), first(kind, "mass", "calc")))
+    found = F.when(F.size(parts) == 0, FINDING_PARTS["none"]).otherwise(F.array_join(parts, ", "))
+    return F.format_string(FINDING_FORM, side_text, view_text, phrase(FINDING_DENSITY, density, "fibroglandular density"), found)
 
 
 def prompt(view: Column, density: Column, base: Column) -> Column:
     """The prompt in the words of the captions; an unknown density keeps the base prompt."""
-    view_part = F.when(F.upper(view) == "MLO", "MLO view").when(F.upper(view) == "CC", "CC view")
+    view_part = F.try_element_at(F.create_map(*[F.lit(x) for kv in PROMPT_VIEW.items() for x in kv]), F.upper(view))
     anatomy = F.when(F.upper(view) == "MLO", PROMPT_ANATOMY)
     parts = F.concat_ws(" ", view_part, F.concat(density, F.lit(" density")), anatomy)
-    return F.when(F.lower(density).isin(*DENSITY_TEXT), F.concat(F.lit("medical grayscale mammogram, "), parts, F.lit(", fine ligament texture, FFDM, no text, no labels"))).otherwise(base)
+    return F.when(F.lower(density).isin(*DENSITY_TEXT), F.format_string(PROMPT_FORM, parts)).otherwise(base)
 
 
 def hash_order(key: Column, seed: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names of the four density classes.
+# Names of the four density classes, the form of a series' name, and the part of a path before the
+# image's own.
 DENSITY_NAMES = {"1": "fatty", "2": "scattered", "3": "heterogeneous", "4": "dense"}
 SERIES_ID = r"(?i)(P_\d+)_(LEFT|RIGHT)_(CC|MLO)"
 JPEG_MARK = "CBIS-DDSM/jpeg/"

@@ -121,6 +121,11 @@ def strata_counts(spark, sf_dir):
     return op.strata_summary(op.strata_counts(checked(spark, sf_dir).filter(F.size("reasons") == 0)))
 
 
+@query("strata_table", f"{FULL} select view, density, count(*) as n from checked where len(reasons) = 0 group by 1, 2", "catalog case_desc")
+def strata_table(spark, sf_dir):
+    return op.strata_counts(checked(spark, sf_dir).filter(F.size("reasons") == 0))
+
+
 @query("sink_clean_split", f"{FULL} select case when len(reasons) = 0 then 'kept' else 'rejected' end as side, case when len(reasons) = 0 then view end as view, case when len(reasons) = 0 then density end as density, count(*) as n from checked group by 1, 2, 3", "catalog case_desc")
 def sink_clean_split(spark, sf_dir):
     """Both outputs from one settled status table; kept rows laid out by view and density."""
