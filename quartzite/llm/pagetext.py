@@ -39,11 +39,11 @@ GAP = frozenset("br td th".split())
 HOLDS = frozenset("div section aside ul ol dl table details fieldset figure".split())
 GROUPS = frozenset("ul ol dl".split())
 #: Names in class, id or role of what is not the article, wherever they stand.
-MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup promo promoted sidebar sponsor sponsored subscribe toolbar".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup promo promoted side-bar sidebar sponsor sponsored subscribe toolbar".split())
 #: Names that mean it only on elements that hold other blocks, since they can also describe a paragraph.
 HOLDER_MARKS = frozenset("alert announcement dialog disclaimer login privacy promotion related replies reply search share sharing signup skip social subscription toast toc widget".split())
 #: Parts that say nothing in a compound with one of these.
-NEUTRAL = frozenset("area article articles bar block bottom box btn button buttons container form global group holder icons inner item items left link links list main message outer page panel post posts primary right row secondary section site slot stories text this top unit widgets wrap wrapper".split())
+NEUTRAL = frozenset("area article articles bar block body bottom box btn button buttons container content count form global group header holder icons inner item items latest left legal link links list main message new outer overlay page panel post posts primary reader readers right row secondary section site slot stories text this thread title top unit user users visitor warning widgets wrap wrapper".split())
 HEADER_MARKS = frozenset("header topbar".split())
 #: Names that mark the article.
 ARTICLE_MARKS = frozenset("article articlebody content entry main post story".split())

@@ -253,6 +253,7 @@ def test_page_without_article():
         ("<p>Intro</p><p>" + "word " * 60 + "</p><ul><li>milk</li><li>eggs</li><li>flour</li><li>salt</li></ul>", "Intro|" + ("word " * 60).strip() + "|milk|eggs|flour|salt"),
         ("<p>" + "word " * 60 + "</p><p>see also</p>", ("word " * 60).strip() + "|see also"),
         ("<article>tiny</article><div>" + "<p>" + "word " * 60 + "</p></div>", "tiny|" + ("word " * 60).strip()),
+        ("<article><p>A.</p><div class='reader-comments'><p>Nice.</p></div><div id='cookie-consent'>c</div><section class='sponsored-content'>s</section><div class='side-bar'>b</div><div class='new-products'>kept</div></article>", "A.|kept"),
         ("<article><p>A.</p><aside>x</aside><div role='complementary'>y</div><p>a&nbsp;&amp; b</p></article>", "A.|a & b"),
     ],
 )
