@@ -343,3 +343,15 @@ def test_percentiles_by_either_way(spark):
 def test_text_parameters(spark):
     rows = spark.createDataFrame([("notes_zh", "x" * 3000), ("lora_path", "  a/b "), ("strength", "1"), ("notes_zh", None)], "key string, value string")
     assert [(r["key"], r["value"]) for r in params.texts(rows).collect()] == [("notes_zh", "x" * 2000), ("lora_path", "a/b")]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from quartzite.sources import scratch
+
+    scratch.clear(spark)
+    rows = scratch.stored(spark.range(5).toDF("id"), "scratch")
+    assert rows.count() == 5
+    folder = Path(scratch._given[-1].removeprefix("file:"))
+    assert folder.exists() and scratch.clear(spark) == 1 and not folder.exists() and scratch.clear(spark) == 0
