@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-import pandas as pd
+import numpy as np
 import pytest
 
 from quartzite.llm import nearcopies
@@ -86,3 +86,15 @@ def test_stage_on_edge_rows(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").columns == docs.columns
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_bitmaps_bound_the_similarity_from_above():
+    r = random.Random(2)
+    sets = [{b"%d" % r.randrange(60 + 40 * k) for _ in range(r.randrange(120))} for k in range(40)] + [set()]
+    hashes = [nearcopies.hashes_of(s) for s in sets]
+    bits = np.array([np.frombuffer(nearcopies.bitmap(h), np.uint64) for h in hashes])
+    for i, a in enumerate(sets):
+        bound = nearcopies.most_alike(np.array([len(a)] * len(sets)), np.array([len(b) for b in sets]), bits[[i] * len(sets)], bits)
+        real = np.array([nearcopies.jaccard(a, b) for b in sets])
+        assert (bound >= real - 1e-12).all() and bound[i] == 1.0
+        assert (bound <= real + 0.15).all()
