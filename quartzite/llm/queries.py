@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, langid, linededup, mixing, pagetext, pii, simhash, tokenfile, topk_search
+from . import bpe, filteraudit, hnsw, langid, linededup, mixing, pagetext, periodic, pii, simhash, tokenfile, topk_search
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -65,7 +65,15 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_hnsw_search, op4_personal_data, op5_byte_bpe, op6_simhash_dedup, op7_line_dedup, op8_language_id, op9_token_files, op10_page_text)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True, with_runs=False)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_hnsw_search, op4_personal_data, op5_byte_bpe, op6_simhash_dedup, op7_line_dedup, op8_language_id, op9_token_files, op10_page_text, op12_periodic_runs, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op1_exact_topk": """
@@ -109,4 +117,31 @@ marked as (
   from lines l left join spread s on trim(l.line, ' ' || chr(13)) = s.line)
 select doc_id, cast(count(*) filter (where trim(line, ' ' || chr(13)) <> '') as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
   coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text from marked group by doc_id""",
+    "op13_filter_audit": r"""
+with docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
+marks as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+flagged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    cast(len(words) < 200 as int) + 2 * cast(100 * len(list_distinct(words)) < 50 * len(words) as int)
+    + 4 * cast(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) as int)
+    + 8 * cast(regexp_matches(text, '[#$%&*|]') as int) + 16 * cast(coalesce(doc_id > min(doc_id) over (partition by text), false) as int) as failed
+  from docs left join marks using (doc_id)),
+letters as (select unnest([0, 1, 2, 3, 4]) as i),
+orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps as (
+  select array_to_string([substr('ABCDE', x + 1, 1) for x in o], '') as filter_order, cast(s as int) as step, cast(1 << o[s] as int) as bit,
+    cast(coalesce(list_sum([1 << x for x in o[:s - 1]]), 0) as int) as before from orders, unnest([1, 2, 3, 4, 5]) as t(s)),
+counts as (select part, failed, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from flagged group by 1, 2)
+select part, filter_order, step,
+  cast(coalesce(sum(n) filter (where failed & (before | bit) = 0), 0) as bigint) as kept,
+  cast(coalesce(sum(n) filter (where failed & bit > 0 and failed & before = 0), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter (where failed & bit > 0 and failed & before > 0), 0) as bigint) as redundant,
+  cast(coalesce(sum(n) filter (where failed = bit), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(good) filter (where failed & bit > 0 and failed & before = 0), 0) as bigint) as good_lost,
+  cast(coalesce(sum(toxic) filter (where failed & bit > 0 and failed & before = 0), 0) as bigint) as toxic_lost,
+  cast(coalesce(sum(n * (120 // nullif(bit_count(failed), 0))) filter (where failed & bit > 0), 0) as bigint) as shapley
+from counts cross join steps group by part, filter_order, step""",
 }
