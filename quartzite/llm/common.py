@@ -61,3 +61,17 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.filter(finite).dropDuplicates(["vec_id", "vec"])
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """rows joined with `few`, which has one row per key and, as n, how many of `rows` have that key. Of keys with more
+    than one in `share` of all rows there are fewer than `share`, so their rows of `few` are broadcast and no task
+    gets such a key whole; the others are joined by key. Rows without a match go. Write both tables first: they are
+    read twice."""
+    total = few.agg(F.sum(n)).first()[0] or 0
+    values = [c for c in few.columns if c not in (*keys, n)]
+    hot = few.filter(F.col(n) * share > total).select(*keys, F.struct(*values).alias("hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    wide = marked.filter("hot is not null").select(*rows.columns, *[F.col("hot")[c].alias(c) for c in values])
+    rest = few.filter(F.col(n) * share <= total).select(*keys, *values)
+    return wide.unionByName(marked.filter("hot is null").drop("hot").join(rest, keys).select(*rows.columns, *values))

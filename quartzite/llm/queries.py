@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filteraudit, hnsw, langid, linededup, mixing, pagetext, periodic, pii, simhash, tokenfile, topk_search
+from . import bpe, embeddup, filteraudit, hnsw, langid, linededup, mixing, pagetext, periodic, pii, simhash, tokenfile, topk_search
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True, with_runs=False)
 
@@ -73,7 +77,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_hnsw_search, op4_personal_data, op5_byte_bpe, op6_simhash_dedup, op7_line_dedup, op8_language_id, op9_token_files, op10_page_text, op12_periodic_runs, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_hnsw_search, op4_personal_data, op5_byte_bpe, op6_simhash_dedup, op7_line_dedup, op8_language_id, op9_token_files, op10_page_text, op11_embedding_dedup, op12_periodic_runs, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op1_exact_topk": """
