@@ -4,7 +4,8 @@ Equal vectors are one node. Nodes are dealt into shards by a hash, apart by numb
 row of an index table, with the graph of `hnsw`. Every node is a query to every shard: of two shards one searches
 the other, in a circle, so that each is searched by half of them, and a shard's queries travel as one packed
 row. A search is by range: where half of a beam's finds are links, the beam was too narrow for that query and is
-widened fourfold, at last to the whole shard, so a crowd of near copies loses no link to the width.
+widened eightfold, at last to the whole shard (one product with all of it costs less than a walk that keeps a
+sixteenth of it), so a crowd of near copies loses no link to the width.
 
 The width to begin with is found by audits: a sample of nodes, a fixed number, is held against all vectors by plain
 products, and the beam is doubled until the graphs find the wanted part of the sample's links.
@@ -34,6 +35,9 @@ from .simhash import components
 #: ids, times (rows with that vector): int64; unit: float64, rows of d.
 INDEX = "d int, shard int, n int, ids binary, times binary, unit binary, levels array<binary>, links array<binary>"
 
+#: A beam of this part of a shard is not walked: the whole shard is compared.
+SCAN = 16
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
@@ -85,11 +89,11 @@ class Shard:
         self.up = lifted(self.x)
         self.label, self.linked = np.arange(self.n), np.zeros(self.n, np.int64)
 
-    def within(self, q: np.ndarray, least: float, ef: int, widen: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(query position, node position) of what is found at a cosine of `least` or more."""
         rows, found, ask = [], [], np.arange(len(q))
         while len(ask):
-            if 4 * ef >= self.n:
+            if SCAN * ef >= self.n:
                 r, at = np.nonzero(q[ask] @ self.x.T >= least - 1e-9)
             else:
                 near = search(q[ask], self.up, self.levels, self.links, ef)
@@ -97,10 +101,10 @@ class Shard:
                 at = near[r, c]
             close = np.einsum("bd,bd->b", q[ask[r]], self.x[at]) >= least
             r, at = r[close], at[close]
-            crowded = np.bincount(r, minlength=len(ask)) * 2 >= ef if widen and 4 * ef < self.n else np.zeros(len(ask), bool)
+            crowded = np.bincount(r, minlength=len(ask)) * 2 >= ef if SCAN * ef < self.n else np.zeros(len(ask), bool)
             rows.append(ask[r[~crowded[r]]])
             found.append(at[~crowded[r]])
-            ask, ef = ask[crowded], ef * 4
+            ask, ef = ask[crowded], ef * 8
         return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *found])
 
     def meet(self, other: dict, least: float, ef: int) -> pa.RecordBatch:
@@ -198,7 +202,7 @@ def audited_recall(index: DataFrame, sample: list[Row], least: float, ef: int) -
 
 
 def audited_width(index: DataFrame, nodes: DataFrame, least: float, ef: int, wanted: float, audited: int) -> int:
-    """The first beam width, doubled from `ef`, with which the audit finds the wanted part. It ends: a beam of a quarter
+    """The first beam width, doubled from `ef`, with which the audit finds the wanted part. It ends: a beam of 1 / SCAN
     of a shard looks at the whole shard."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(audited).select("node", "vec").collect()
     while audited_recall(index, sample, least, ef) < wanted:
