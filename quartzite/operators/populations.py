@@ -1,10 +1,10 @@
-"""Comparing two populations of vectors: moments, Frechet and kernel distance, precision and recall."""
+"""Comparing two populations of vectors: moments, Frechet and kernel distance."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import emd_profile, wasserstein_bins
@@ -97,56 +97,6 @@ def kernel_distance(a: DataFrame, b: DataFrame) -> float | None:
     return (total(ta, ta, n * n) - own_a) / (n * (n - 1)) + (total(tb, tb, m * m) - own_b) / (m * (m - 1)) - 2 * total(ta, tb, n * m) / (n * m)
 
 
-def in_shards(points: DataFrame, balls: DataFrame, result: str, work, shard_rows: int) -> DataFrame:
-    """work(points, balls) for each block of points and shard of balls, each of about shard_rows rows."""
-    cut = lambda rows, n, name: rows.withColumn(name, F.pmod(F.xxhash64("item"), F.lit(n)))
-    p, b = -(-max(1, points.count()) // shard_rows), -(-max(1, balls.count()) // shard_rows)
-    left = cut(points, p, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    own = balls.select(*[F.col(c).alias(c) for c in balls.columns])  # columns of its own where both sides are one table
-    right = cut(own, b, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-    keys = [F.col("block").cast("long"), F.col("shard").cast("long")]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, result)
-
-
-def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distances, a few rows of x at a time."""
-    return np.concatenate([np.sqrt(((x[lo : lo + 16, None] - y[None]) ** 2).sum(2)) for lo in range(0, len(x), 16)])
-
-
-def precision_recall(real: DataFrame, made: DataFrame, ks: tuple = (1, 3, 5, 11, 21), shard_rows: int = 2048) -> DataFrame:
-    """k, precision, recall: the share of each side inside the k-nearest-neighbour balls of the other, over all
-    rows, by blocks of points and shards of the other side. The least
-    distances of a point in each shard are merged to its radii."""
-    most = max(ks)
-    vectors = lambda f: np.stack(f.x.to_numpy()).astype(float)
-
-    def nearest(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(b):
-            return pd.DataFrame({"item": [], "gap": []})
-        g = gaps(vectors(p), vectors(b))
-        g[p["item"].to_numpy()[:, None] == b["item"].to_numpy()[None]] = np.inf
-        g = np.sort(g, 1)[:, :most]
-        at, k = np.nonzero(np.isfinite(g))
-        return pd.DataFrame({"item": p["item"].to_numpy()[at], "gap": g[at, k]})
-
-    def inside(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(b):
-            return pd.DataFrame({"item": [], "k": []})
-        g, radii = gaps(vectors(p), vectors(b)), np.stack(b.radii.to_numpy()).astype(float)
-        hit = [(i, k) for at, k in enumerate(ks) for i in p["item"].to_numpy()[(g <= radii[None, :, at]).any(1)]]
-        return pd.DataFrame(hit, columns=["item", "k"])
-
-    def covered(points: DataFrame, balls: DataFrame, name: str) -> DataFrame:
-        near = in_shards(balls, balls, "item long, gap double", nearest, shard_rows)
-        ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("item").orderBy("gap"))).filter(F.col("k") <= most)
-        radii = ranked.groupBy("item").agg(F.array(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("gap"))), F.lit(-1.0)) for k in ks]).alias("radii"))
-        found = in_shards(points, balls.join(radii, "item"), "item long, k int", inside, shard_rows).distinct().groupBy("k").agg(F.count("*").alias("n"))
-        return found.select("k", F.round(F.col("n") / F.lit(max(1, points.count())), 6).alias(name))
-
-    wanted = real.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    return wanted.join(covered(made, real, "precision"), "k", "left").join(covered(real, made, "recall"), "k", "left").na.fill(0.0)
-
-
 def mahalanobis(rows: DataFrame, reference: DataFrame, column: str, keep: int = 10, ridge: float = 1e-3, least: int = 30) -> DataFrame:
     """d2 and score exp(-d2 / 2) in the reference's first principal components; null and .5 if the reference
     has fewer than `least` rows."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..operators import metricjoin
 from ..operators import populations as op
 from ..sources.adapters import load
 from .registry import query
@@ -116,7 +117,7 @@ select cast(ks.k as int) as k, round(coalesce(pr.n, 0) / (select count(*) from b
 
 @query("manifold_precision_recall", PRECISION, D)
 def manifold_precision_recall(spark, sf_dir):
-    return op.precision_recall(*populations(spark, sf_dir))
+    return metricjoin.precision_recall(*populations(spark, sf_dir)).drop("pairs")
 
 
 @query("manifold_precision_recall_all", PRECISION, D)

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from quartzite.operators import metricjoin
 from quartzite.operators import populations as op
 from quartzite.plans import populations as plans
 from quartzite.sources.adapters import load
@@ -32,5 +33,5 @@ def test_precision_recall_of_all_rows(spark):
     frames, (a, b) = sides(spark)
     gap = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
     inside = lambda x, y, k: round(float((gap(x, y) <= np.sort(gap(y, y), 1)[None, :, k]).any(1).mean()), 6)
-    got = {r["k"]: (r["precision"], r["recall"]) for r in op.precision_recall(*frames, shard_rows=60).collect()}
+    got = {r["k"]: (r["precision"], r["recall"]) for r in metricjoin.precision_recall(*frames, block_rows=60).collect()}
     assert got == {k: (inside(b, a, k), inside(a, b, k)) for k in (1, 3, 5, 11, 21)}
