@@ -10,6 +10,13 @@ def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places, halves away from zero, in double arithmetic: round() of a double goes through a decimal, which in
+    a chain of many costs more than all else. From 10^6 on, where doubles have few such places left, by round()."""
+    unit = F.lit(float(10**places))
+    return F.when(F.abs(x) < 1e6, F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit).otherwise(F.round(x, places))
+
+
 def double_band(x: Column, p1: Column, p5: Column, p95: Column, p99: Column) -> Column:
     """1 in [p5, p95], falling to .3 at p1 and p99, and to 0 at the same slope beyond."""
     low, high = F.greatest(F.lit(1e-6), p5 - p1), F.greatest(F.lit(1e-6), p99 - p95)

@@ -5,10 +5,10 @@ Thresholds are a table of one row, so calibration is a select and grading a join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.bands import clip01, density_type, double_band
+from ..functions.bands import clip01, density_type, double_band, rounded
 from ..functions.percentiles import exact_percentiles
 
 #: Metrics with a baseline.
@@ -71,36 +71,56 @@ def baseline_row(stats: DataFrame, prior: DataFrame) -> DataFrame:
     return s.crossJoin(p)
 
 
+# The metric and percentile from which a limit is calibrated. These need all four of p1, p5, p95 and p99.
+CALIBRATED = {
+    "min_mask": ("mask_ratio", "p1"), "soft_mask_lo": ("mask_ratio", "p5"), "soft_mask_hi": ("mask_ratio", "p95"), "max_mask": ("mask_ratio", "p99"),
+    "min_circ": ("circularity", "p1"), "soft_circ_lo": ("circularity", "p5"), "soft_circ_hi": ("circularity", "p95"), "max_circ": ("circularity", "p99"),
+    "max_mean": ("mean_intensity", "p99"),
+    **{f"{short}_{p}": (m, p) for short, m in (("mean", "mean_intensity"), ("std", "std_intensity"), ("dr", "dynamic_range"), ("ent", "local_entropy")) for p in ("p1", "p5", "p95", "p99")},
+}
+# These need a p99 over a floor.
+CALIBRATED_OVER = {"max_concavity": ("contour_concavity", 0), "max_perim": ("contour_perim_ratio", 1), "max_round_density": ("round_density", 0)}
+CLAMPS = {"min_circ": lambda v: F.greatest(F.lit(0.1), v), "max_mean": lambda v: F.least(F.lit(0.99), v)}
+#: The default of a limit that has none of its own.
+STANDS_FOR = {"soft_mask_lo": "min_mask", "soft_mask_hi": "max_mask", "soft_circ_lo": "min_circ", "soft_circ_hi": "max_circ"}
+STATS = "map<string,struct<p1:double,p5:double,p50:double,p95:double,p99:double,mean:double,std:double>>"
+
+
+def limits_and_sources() -> dict[str, tuple[Column, Column]]:
+    """Limit -> (value, where it comes from), over the map `stats` of a baseline, which may be null."""
+    at = lambda m, p: F.try_element_at("stats", F.lit(m))[p]
+    out = {k: (F.lit(v), F.lit("default")) for k, v in DEFAULTS.items()}
+    for name, (m, p) in CALIBRATED.items():
+        full = at(m, "p1").isNotNull() & at(m, "p5").isNotNull() & at(m, "p95").isNotNull() & at(m, "p99").isNotNull()
+        value = CLAMPS.get(name, lambda v: v)(at(m, p))
+        out[name] = F.when(full, value).otherwise(F.lit(DEFAULTS[STANDS_FOR.get(name, name)])), F.when(full, f"{m} {p}").otherwise("default")
+    for name, (m, over) in CALIBRATED_OVER.items():
+        out[name] = F.when(at(m, "p99") > over, at(m, "p99")).otherwise(F.lit(DEFAULTS[name])), F.when(at(m, "p99") > over, f"{m} p99").otherwise("default")
+    return out
+
+
 def calibrated(baseline: DataFrame | None, spark=None, **given: float) -> DataFrame:
     """One row of thresholds, and the baseline's maps. Without a baseline (None) the defaults and nulls. given: limits
     that neither defaults nor baseline decide; require_pectoral is 1 where an item without one fails."""
-    fixed = {k: F.lit(v) for k, v in DEFAULTS.items()}
     if baseline is None:
-        kind = "map<string,struct<p1:double,p5:double,p50:double,p95:double,p99:double,mean:double,std:double>>"
-        row = spark.range(1).select(F.lit(None).cast(kind).alias("stats"), F.lit(None).cast("map<string,double>").alias("prior"))
+        row = spark.range(1).select(F.lit(None).cast(STATS).alias("stats"), F.lit(None).cast("map<string,double>").alias("prior"))
     else:
         row = baseline
-    at = lambda m, p: F.try_element_at("stats", F.lit(m))[p]
-    full = lambda m: at(m, "p1").isNotNull() & at(m, "p5").isNotNull() & at(m, "p95").isNotNull() & at(m, "p99").isNotNull()
-
-    def if_full(m: str, value: Column, name: str) -> Column:
-        return F.when(full(m), value).otherwise(F.lit(DEFAULTS[name]))
-
-    new = dict(fixed)
-    new["min_mask"], new["max_mask"] = if_full("mask_ratio", at("mask_ratio", "p1"), "min_mask"), if_full("mask_ratio", at("mask_ratio", "p99"), "max_mask")
-    new["soft_mask_lo"], new["soft_mask_hi"] = if_full("mask_ratio", at("mask_ratio", "p5"), "min_mask"), if_full("mask_ratio", at("mask_ratio", "p95"), "max_mask")
-    new["min_circ"], new["max_circ"] = if_full("circularity", F.greatest(F.lit(0.1), at("circularity", "p1")), "min_circ"), if_full("circularity", at("circularity", "p99"), "max_circ")
-    new["soft_circ_lo"], new["soft_circ_hi"] = if_full("circularity", at("circularity", "p5"), "min_circ"), if_full("circularity", at("circularity", "p95"), "max_circ")
-    for short, m in (("mean", "mean_intensity"), ("std", "std_intensity"), ("dr", "dynamic_range"), ("ent", "local_entropy")):
-        for p in ("p1", "p5", "p95", "p99"):
-            new[f"{short}_{p}"] = if_full(m, at(m, p), f"{short}_{p}")
-    new["max_mean"] = if_full("mean_intensity", F.least(F.lit(0.99), at("mean_intensity", "p99")), "max_mean")
-    for name, m, over in (("max_concavity", "contour_concavity", 0), ("max_perim", "contour_perim_ratio", 1), ("max_round_density", "round_density", 0)):
-        new[name] = F.when(at(m, "p99") > over, at(m, "p99")).otherwise(F.lit(DEFAULTS[name]))
-    new |= {k: F.lit(v) for k, v in given.items()}
+    new = {k: v for k, (v, _) in limits_and_sources().items()} | {k: F.lit(v) for k, v in given.items()}
     return row.select(F.struct(*[v.cast("double").alias(k) for k, v in new.items()]).alias("t"), "stats", "prior")
 
 
+def limit_rows(stats: DataFrame | None, spark=None) -> DataFrame:
+    """limit, value, source ('default', or the metric and percentile): what `calibrated` decides, a row per limit. stats:
+    rows of `scalar_stats`; None: the defaults."""
+    if stats is None:
+        row = spark.range(1).select(F.lit(None).cast(STATS).alias("stats"))
+    else:
+        row = stats.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*[F.col(c) for c in (*POINTS, "mean", "std")])))).alias("stats"))
+    every = F.array(*[F.struct(F.lit(k).alias("limit"), v.cast("double").alias("value"), w.alias("source")) for k, (v, w) in limits_and_sources().items()])
+    return row.select(F.inline(every))
+
+
 def _when(*cases, default) -> Column:
     """Ordered cases of (condition, value)."""
     out = F.when(*cases[0])
@@ -158,19 +178,33 @@ def grade_columns() -> dict[str, tuple[Column, Column]]:
     }
 
 
+def literal(value, kind) -> Column:
+    """A double, a struct of doubles, or a map from strings to either, as a foldable column."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(value, dict):
+        if not value:
+            return F.create_map().cast(kind)
+        return F.create_map(*[c for k, v in value.items() for c in (F.lit(k), literal(v, kind.valueType))])
+    if isinstance(value, Row):
+        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)
+
+
 GRADES = ["A1", "A2", "A3", "A4", "A5", "A6", "A7", "B1", "B2", "B3", "C1", "C2", "C3", "D1", "D2", "D3", "D4", "D5", "E1", "E2", "F1", "F2"]
 
 
 def graded(items: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds a score per grade and tags. ps_emd, grad_wass, hist_wass and clip_margin_seen may be absent.
-    The one row of thresholds is broadcast. Scores and tags come in two selects, which keeps the generated
-    methods small."""
+    The one row of thresholds is read here and becomes literals, which Catalyst folds into the grades, so rows carry no
+    limits and no maps. Scores and tags come in two selects, which keeps the generated methods small."""
     for name in ("ps_emd", "grad_wass", "hist_wass", "clip_margin_seen"):
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast("double"))
-    joined = items.crossJoin(F.broadcast(thresholds))
+    given = thresholds.first()
+    joined = items.withColumns({name: literal(given[name], thresholds.schema[name].dataType) for name in thresholds.columns})
     grades = grade_columns()
-    scored = joined.select("*", *[F.round(grades[g][0], PLACES).alias(g) for g in GRADES])
+    scored = joined.select("*", *[rounded(grades[g][0], PLACES).alias(g) for g in GRADES])
     return scored.withColumn("tags", F.array_compact(F.array(*[grades[g][1] for g in GRADES])))
 
 
@@ -181,8 +215,8 @@ def totalled(rows: DataFrame, weights: dict = GROUP_WEIGHTS) -> DataFrame:
     members = {g: [x for x in GRADES if x[0] == g] for g in "ABCDEF"}
     means = {f"group_{g}": sum((c(x) for x in xs[1:]), c(xs[0])) / len(xs) for g, xs in members.items()}
     means["group_C"] = F.when(c("edge_density") < t("edge_floor"), F.least(means["group_C"], F.lit(0.5))).otherwise(means["group_C"])
-    rows = rows.withColumns({k: F.round(v, PLACES) for k, v in means.items()})
-    total = F.round(100 * sum((c(f"group_{g}") * w for g, w in list(weights.items())[1:]), c("group_A") * weights["A"]), PLACES)
+    rows = rows.withColumns({k: rounded(v, PLACES) for k, v in means.items()})
+    total = rounded(100 * sum((c(f"group_{g}") * w for g, w in list(weights.items())[1:]), c("group_A") * weights["A"]), PLACES)
     z = ref_z()
     legacy = F.array_compact(F.array(
         F.when((c("mask_ratio") < t("min_mask")) | (c("mask_ratio") > t("max_mask")), "mask_ratio"),
@@ -201,7 +235,7 @@ def totalled(rows: DataFrame, weights: dict = GROUP_WEIGHTS) -> DataFrame:
 def ref_z() -> Column:
     """Mean distance to the baseline's means, in standard deviations; null without a baseline."""
     one = lambda m: F.abs(F.col(m) - F.col("stats")[m]["mean"]) / (F.col("stats")[m]["std"] + 1e-6)
-    return F.when(F.col("stats").isNotNull(), F.round(sum((one(m) for m in Z_METRICS[1:]), one(Z_METRICS[0])) / len(Z_METRICS), 6))
+    return F.when(F.col("stats").isNotNull(), rounded(sum((one(m) for m in Z_METRICS[1:]), one(Z_METRICS[0])) / len(Z_METRICS), 6))
 
 
 def funnel(rows: DataFrame, modality_veto: float = 0.85) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..operators import grading as op
-from ..operators import runs
+from ..operators import growing, runs
 from ..sources.adapters import load
 from ..sources.scratch import scratch_path, stored
 from .registry import query
@@ -59,7 +62,7 @@ KIND = "coalesce(case when mean_intensity < 0.33 and std_intensity < 0.1 then 'a
 PRIOR = f"prior as (select density_type, n, round(n / sum(n) over (), 9) as prior from (select {KIND} as density_type, count(*) as n from item_metrics where is_real group by 1))"
 
 
-def _threshold_sql() -> str:
+def _threshold_sql(by: str = "") -> str:
     s = lambda m, p: f"max(case when metric = '{m}' then {p} end)"
     new = {k: f"{v}::double" for k, v in op.DEFAULTS.items()}
     new |= {"min_mask": s("mask_ratio", "p1"), "max_mask": s("mask_ratio", "p99"), "soft_mask_lo": s("mask_ratio", "p5"), "soft_mask_hi": s("mask_ratio", "p95")}
@@ -69,7 +72,7 @@ def _threshold_sql() -> str:
     new["max_mean"] = f"least(0.99::double, {s('mean_intensity', 'p99')})"
     for name, m, over in (("max_concavity", "contour_concavity", 0), ("max_perim", "contour_perim_ratio", 1), ("max_round_density", "round_density", 0)):
         new[name] = f"case when {s(m, 'p99')} > {over} then {s(m, 'p99')} else {op.DEFAULTS[name]}::double end"
-    return "t as (select " + ", ".join(f"{v} as {k}" for k, v in new.items()) + " from stats)"
+    return f"t as (select {by}{', ' if by else ''}" + ", ".join(f"{v} as {k}" for k, v in new.items()) + f" from stats{f' group by {by}' if by else ''})"
 
 
 def _clip(x: str) -> str:
@@ -165,6 +168,57 @@ def calibrate_thresholds(spark, sf_dir):
     return op.calibrated(op.baseline_row(op.scalar_stats(real), op.density_prior(real))).select(*[F.col("t")[k].alias(k) for k in CAL])
 
 
+ARRIVALS = 4  # of two runs each
+ARRIVED = f"""arrived as (select cast(substr(run_name, -1) as int) // 2 as arrival, {', '.join(f'cast({m} as double) as {m}' for m in op.METRICS)} from item_metrics where is_real),
+grown as (select cast(a as int) as version, * from arrived, unnest({list(range(ARRIVALS))}) as t(a) where arrival <= a),
+stats as (select version, metric, count(value) as n, {', '.join(f'round(quantile_cont(value, {q}), 9) as {p}' for p, q in op.POINTS.items())}, round(avg(value), 9) as mean, round(stddev_pop(value), 9) as std
+ from (unpivot grown on {', '.join(op.METRICS)} into name metric value value) group by version, metric)"""
+
+
+def arrivals(spark, sf_dir):
+    """A baseline of the real items and its four arrivals, one after the other."""
+    real = load(spark, sf_dir, B).filter("is_real").withColumn("arrival", F.expr("cast(substr(run_name, -1) as int) div 2"))
+    base = growing.GrowingBaseline(spark, scratch_path(spark, "growing"), op.METRICS)
+    for a in range(ARRIVALS):
+        base.add(real.filter(F.col("arrival") == a), f"runs-{a}")
+        yield a, base
+
+
+@query("baseline_growing", f"with {ARRIVED} select * from stats", B)
+def baseline_growing(spark, sf_dir):
+    """The exact baseline after each of four arrivals, without a second pass over what came before."""
+    after = [stored(base.stats(), "growing-stats").withColumn("version", F.lit(a)) for a, base in arrivals(spark, sf_dir)]
+    return functools.reduce(DataFrame.unionByName, after).select("version", "metric", "n", *op.POINTS, "mean", "std")
+
+
+def _sources_sql() -> str:
+    rows = [(k, f"'{m} {p}'") for k, (m, p) in op.CALIBRATED.items()]
+    rows += [(k, f"case when value > {over} then '{m} p99' else 'default' end") for k, (m, over) in op.CALIBRATED_OVER.items()]
+    return "case " + " ".join(f"when name = '{k}' then {v}" for k, v in rows) + " else 'default' end"
+
+
+CHANGES = f"""with {ARRIVED}, {_threshold_sql("version")},
+first as (select {', '.join(f'{op.DEFAULTS[op.STANDS_FOR.get(k, k)]}::double as {k}' for k in [*op.DEFAULTS, *op.STANDS_FOR])}),
+every as (select cast(0 as bigint) as seq, name, value from (unpivot first on columns(*) into name name value value)
+ union all select cast(version + 1 as bigint) as seq, name, value from (unpivot (select * from t) on columns(* exclude (version)) into name name value value)),
+steps as (select *, lag(value) over (partition by name order by seq) as old from every)
+select name as "limit", seq as valid_from, old, value as new, {_sources_sql()} as source from steps where seq > 0 and old is distinct from value"""
+
+
+def threshold_history(spark, sf_dir):
+    """Validity intervals of every limit: the defaults, then what each arrival of real items makes of them."""
+    history = stored(growing.new_version(spark.createDataFrame([], growing.HISTORY), op.limit_rows(None, spark), 0), "threshold-history")
+    for a, base in arrivals(spark, sf_dir):
+        history = stored(growing.new_version(history, op.limit_rows(base.stats()), a + 1), "threshold-history")
+    return history
+
+
+@query("calibration_changes", CHANGES, B)
+def calibration_changes(spark, sf_dir):
+    """The record of changes: a row per limit and arrival that changed it."""
+    return growing.change_record(threshold_history(spark, sf_dir)).filter("valid_from > 0")
+
+
 @query("baseline_cross", f"with {REVIEWED} select item, max_mask, max_circ, ref_z from reviewed", B)
 def baseline_cross(spark, sf_dir):
     return reviewed(spark, sf_dir).select("item", F.col("t.max_mask").alias("max_mask"), F.col("t.max_circ").alias("max_circ"), "ref_z")
