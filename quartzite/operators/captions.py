@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +107,13 @@ def oversampled(rows: DataFrame, strata: list, key: str, seed: str = "2026") ->
 
 
 def to_target(rows: DataFrame, strata: list, key: str, target: int) -> DataFrame:
-    """Exactly target rows a stratum: the first ones, or all of them over and over. Adds slot (from 0)."""
-    places = numbered(rows, strata, key, F.col(key)).filter(F.col("k") <= target)
+    """Exactly target rows a stratum: the first ones by key, or all of them over and over. Adds slot (from 0). Only the first
+    `target` rows of each stratum are moved (the filter on the rank is a limit per group before the shuffle), and strata
+    meet their sizes as `target` rows each."""
+    sizes = rows.groupBy(*[F.col(s).alias(f"__{s}") for s in strata]).agg(F.count("*").alias("n"))
+    places = rows.withColumn("k", F.row_number().over(Window.partitionBy(*strata).orderBy(key))).filter(F.col("k") <= target)
+    same = functools.reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"__{s}")) for s in strata])
+    places = places.join(sizes, same)
     times = F.ceil((F.lit(target) - (F.col("k") - 1)) / F.least(F.col("n"), F.lit(target))).cast("int")
     copies = places.withColumn("round", F.explode(F.sequence(F.lit(0), times - 1)))
     return copies.withColumn("slot", F.col("k") - 1 + F.col("round") * F.col("n")).select(*rows.columns, "slot")

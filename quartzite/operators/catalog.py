@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 DENSITY_NAMES = {"1": "fatty", "2": "scattered", "3": "heterogeneous", "4": "dense"}
 SERIES_ID = r"(?i)(P_\d+)_(LEFT|RIGHT)_(CC|MLO)"
 JPEG_MARK = "CBIS-DDSM/jpeg/"
+# What a row can be rejected for.
+MISSING = ("missing_density", "missing_file")
+REJECTS = ("read_failed", "too_small_or_cropped", "mask_ratio_out_of_range", "empty_breast_mask", "overexposed", "underexposed", "skin_line_missing", "marker_or_ruler_heavy")
+#: Counter -> the reason that it counts.
+REASON_COUNTERS = {r: r for r in MISSING} | {f"reject_{r}": r for r in REJECTS}
 
 
 def literal_map(values: dict) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import clip01
+from ..sources.scratch import stored
 
 
 def centers(rows: DataFrame) -> DataFrame:
@@ -19,40 +20,63 @@ def in_cells(rows: DataFrame, radius: Column) -> DataFrame:
     return rows.withColumns({"u": F.floor(F.col("cx") / size), "v": F.floor(F.col("cy") / size)})
 
 
-def beside(rows: DataFrame, others: DataFrame, keys: tuple = ("image_id", "u", "v")) -> DataFrame:
-    """Each row with the others in its cell and the 24 around it, named other, ox, oy, and gap2, their squared
-    distance."""
-    steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a in range(-2, 3) for b in range(-2, 3)])
-    wide = rows.withColumn("step", F.explode(steps)).withColumns({"u": F.col("u") + F.col("step.du"), "v": F.col("v") + F.col("step.dv")})
-    them = others.select(*[F.col(k).alias(k) for k in keys], F.col("comp_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    gap = F.pow(F.col("cx") - F.col("ox"), F.lit(2.0)) + F.pow(F.col("cy") - F.col("oy"), F.lit(2.0))
-    return wide.join(them, list(keys)).withColumn("gap2", gap)
+#: Half of the 24 cells around a cell: of two cells each is beside the other, so one of both names the pair.
+AHEAD = [(du, dv) for du in range(3) for dv in range(-2, 3) if du > 0 or dv > 0]
+CELL = ("image_id", "u", "v")
+
+
+def cell_pairs(cells: DataFrame) -> DataFrame:
+    """The cells, each with `others`, the points of a cell beside it: each pair of occupied cells once. cells: a row per
+    occupied cell with pts, its points. A cell is copied to the twelve places ahead of it, and occupied ones are kept."""
+    steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in AHEAD])
+    ahead = cells.select("*", F.explode(steps).alias("step")).select("image_id", (F.col("u") + F.col("step.du")).alias("u"), (F.col("v") + F.col("step.dv")).alias("v"), F.col("pts").alias("others"))
+    return ahead.join(cells, list(CELL))
+
+
+def near_points(pairs: DataFrame, most2: Column) -> DataFrame:
+    """(image_id, a, b): points of paired cells within the distance."""
+    gap2 = F.pow(F.col("a.cx") - F.col("b.cx"), F.lit(2.0)) + F.pow(F.col("a.cy") - F.col("b.cy"), F.lit(2.0))
+    both = pairs.withColumn("a", F.explode("pts")).withColumn("b", F.explode("others"))
+    return both.filter(gap2 <= most2).select("image_id", F.col("a.comp_id").alias("a"), F.col("b.comp_id").alias("b"))
 
 
 def isolated(rows: DataFrame, far: float = 60.0) -> DataFrame:
     """image_id, isolated: components with no other within `far`; the only one of an image counts. Components that
-    share a cell are not isolated; only those alone in theirs are compared, so no crowd meets itself."""
-    points = in_cells(centers(rows), F.lit(far))
-    cells = points.groupBy("image_id", "u", "v").agg(F.count("*").alias("n"), F.first("comp_id").alias("comp_id"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
-    alone = cells.filter("n = 1")
-    near = beside(alone, points).filter((F.col("other") != F.col("comp_id")) & (F.col("gap2") <= far * far)).select("image_id", "comp_id").distinct()
-    left = alone.join(near, ["image_id", "comp_id"], "left_anti").select("image_id", F.lit(1).alias("one"))
+    share a cell are not isolated; those alone in theirs are compared with each other, each pair of cells once, and
+    with the crowds around them, so no crowd meets itself."""
+    points = in_cells(centers(rows), F.lit(far)).withColumn("pt", F.struct("comp_id", "cx", "cy"))
+    counted = points.groupBy(*CELL).agg(F.count("*").alias("n"), F.first("pt").alias("only"))
+    alone = stored(counted.filter("n = 1").select(*CELL, F.array("only").alias("pts")), "alone")
+    steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)])
+    around = alone.select("image_id", F.explode(steps).alias("step"), "u", "v", "pts").select("image_id", (F.col("u") + F.col("step.du")).alias("u"), (F.col("v") + F.col("step.dv")).alias("v"), F.col("pts")[0].alias("a"))
+    crowds = counted.filter("n > 1").select(*CELL)
+    pairs = near_points(cell_pairs(alone), F.lit(far * far))
+    near = pairs.select("image_id", F.explode(F.array("a", "b")).alias("comp_id"))
+    gap2 = F.pow(F.col("a.cx") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("a.cy") - F.col("cy"), F.lit(2.0))
+    beside = around.join(points.join(crowds, list(CELL), "left_semi").select(*CELL, "cx", "cy"), list(CELL)).filter(gap2 <= far * far)
+    near = near.union(beside.select("image_id", F.col("a.comp_id"))).distinct()
+    left = alone.select("image_id", F.col("pts")[0]["comp_id"].alias("comp_id")).join(near, ["image_id", "comp_id"], "left_anti").select("image_id", F.lit(1).alias("one"))
     every = rows.select("image_id", F.lit(0).alias("one"))
     return every.union(left).groupBy("image_id").agg(F.sum("one").alias("isolated"))
 
 
 def clusters(rows: DataFrame, side: Column, least: int = 4) -> DataFrame:
     """image_id, clustered: 1 if some component has `least` components, itself included, within the radius. A cell with
-    that many decides at once; elsewhere a component meets the few of the cells around it."""
+    that many decides at once; an image without one has cells of fewer than `least`, and a component meets those of the
+    cells around its own. Images with fewer components than `least` are done."""
     radius = F.greatest(F.lit(28.0), side * 0.055)
     points = in_cells(centers(rows), radius).withColumn("radius2", radius * radius)
-    crowd = Window.partitionBy("image_id", "u", "v")
-    points = points.withColumn("n", F.count("*").over(crowd))
-    full = points.groupBy("image_id").agg(F.max(F.when(F.col("n") >= least, 1).otherwise(0)).alias("clustered"))
-    open_ = points.join(full.filter("clustered = 0").select("image_id"), "image_id")
-    near = beside(open_, open_).filter("gap2 <= radius2").groupBy("image_id", "comp_id").agg(F.count("*").alias("near"))
-    more = near.filter(F.col("near") >= least).select("image_id", F.lit(1).alias("clustered"))
-    return full.union(more).groupBy("image_id").agg(F.max("clustered").alias("clustered"))
+    pts = F.collect_list(F.when(F.col("place") < least, F.struct("comp_id", "cx", "cy"))).alias("pts")
+    ranked = points.withColumn("place", F.row_number().over(Window.partitionBy(*CELL).orderBy("comp_id"))).filter(F.col("place") <= least)
+    cells = stored(ranked.groupBy(*CELL).agg(pts, F.count("*").alias("n"), F.first("radius2").alias("radius2")), "cells")
+    images = cells.groupBy("image_id").agg(F.max(F.when(F.col("n") >= least, 1).otherwise(0)).alias("clustered"), F.sum("n").alias("all"))
+    images = stored(images, "clustered")
+    open_ = cells.join(images.filter((F.col("clustered") == 0) & (F.col("all") >= least)).select("image_id"), "image_id", "left_semi")
+    own = open_.select("image_id", F.explode("pts").alias("p"), (F.col("n") - 1).alias("near")).select("image_id", F.col("p.comp_id").alias("comp_id"), "near")
+    both = near_points(cell_pairs(open_), F.col("radius2")).select("image_id", F.explode(F.array("a", "b")).alias("comp_id"), F.lit(1).alias("near"))
+    near = own.union(both).groupBy("image_id", "comp_id").agg(F.sum("near").alias("near"))
+    more = near.filter(F.col("near") + 1 >= least).select("image_id", F.lit(1).alias("clustered"))
+    return images.select("image_id", "clustered").union(more).groupBy("image_id").agg(F.max("clustered").alias("clustered"))
 
 
 def strips(boxes: DataFrame, width: int, height: int, margin: float = 0.22, pad: int = 4, most_area: float = 0.052, most_side: float = 0.36) -> DataFrame:

@@ -128,14 +128,20 @@ def strata_table(spark, sf_dir):
 
 @query("sink_clean_split", f"{FULL} select case when len(reasons) = 0 then 'kept' else 'rejected' end as side, case when len(reasons) = 0 then view end as view, case when len(reasons) = 0 then density end as density, count(*) as n from checked group by 1, 2, 3", "catalog case_desc")
 def sink_clean_split(spark, sf_dir):
-    """Both outputs from one settled status table; kept rows laid out by view and density."""
-    path = scratch_path(spark, "clean")
-    kept, rejected = readers.write_split(checked(spark, sf_dir), path)
+    """Both outputs from one write, laid out by view and density."""
+    kept, rejected, _ = readers.write_split(checked(spark, sf_dir), scratch_path(spark, "clean"))
     kept = spark.read.parquet(kept).groupBy(F.lit("kept").alias("side"), "view", "density")
     rejected = spark.read.parquet(rejected).groupBy(F.lit("rejected").alias("side"), F.lit(None).cast("string").alias("view"), F.lit(None).cast("string").alias("density"))
     return kept.agg(F.count("*").alias("n")).union(rejected.agg(F.count("*").alias("n")))
 
 
+@query("split_counters", f"{FULL}, named as (select unnest(case when len(reasons) = 0 then ['kept'] else [case when r like 'missing!_%' escape '!' then r else 'reject_' || r end for r in reasons] end) as counter from checked) select counter, count(*) as n from named group by counter", "catalog case_desc")
+def split_counters(spark, sf_dir):
+    """The counters that the write of both outputs filled on its way."""
+    _, _, counters = readers.write_split(checked(spark, sf_dir), scratch_path(spark, "clean"))
+    return spark.createDataFrame(sorted(counters.items()), "counter string, n long")
+
+
 FILES = "files as (select distinct o_orderkey as row_ord from orders where o_orderkey % 3 <> 0), masks as (select distinct l_orderkey as row_ord from lineitem where l_quantity > 40)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import params, runs, validation
 from ..sources.adapters import load
 from ..sources.scratch import scratch_path, stored
+from ..streaming import verdicts
 from .grading import B, REVIEWED, SUMMARY, review_table
 from .registry import query
 
@@ -190,6 +191,20 @@ def verdict_cache_split(spark, sf_dir):
     return known.select("doc_id", F.col("passed").cast("string").alias("verdict")).union(todo.select("doc_id", F.lit("to_score")))
 
 
+@query("verdict_cache_stream", f"with {CACHE} select doc_id, coalesce(cast(passed as varchar), 'to_score') as verdict from pool left join cache using (signature)")
+def verdict_cache_stream(spark, sf_dir):
+    """The same answers from a stream: the cache is its first state, the pool arrives in two parts and the first comes again."""
+    pool, cache = pool_and_cache(spark, sf_dir)
+    seen = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    known = cache.select("signature", F.lit(None).cast("string").alias("item"), (seen - F.expr("interval 1 day")).alias("seen_at"), "passed")
+    files = pool.select("signature", F.col("doc_id").cast("string").alias("item"), seen.alias("seen_at"), F.lit(None).cast("boolean").alias("passed"))
+    base = scratch_path(spark, "verdicts")
+    for part in ("pmod(hash(item), 2) = 0", "true"):
+        files.filter(part).write.mode("append").parquet(f"{base}/in")
+        verdicts.answered_files(spark, f"{base}/in", known, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(verdicts.ANSWERS).parquet(f"{base}/out").select(F.col("item").cast("long").alias("doc_id"), "verdict")
+
+
 @query("unchecked_topup", f"with {CACHE}, k as (select doc_id, case when passed then 0 when passed is null then 1 end as priority from pool left join cache using (signature)) select doc_id, priority from k where priority is not null order by priority, doc_id limit 500")
 def unchecked_topup(spark, sf_dir):
     known, todo = validation.split_by_cache(*pool_and_cache(spark, sf_dir), "signature")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stored
+from ..operators.catalog import REASON_COUNTERS
 
 #: The case tables name their density column in one of these ways.
 DENSITY_COLUMNS = ("breast density", "breast_density", "density")
@@ -66,12 +66,22 @@ def source_map(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(F.from_json(column, "map<string,string>")).alias("generated", "source"))
 
 
-def write_split(status: DataFrame, path: str) -> tuple[str, str]:
-    """Kept rows by view and density, rejected rows with their reasons as one text."""
-    status = stored(status, "status")
-    status.filter(F.size("reasons") == 0).drop("reasons").repartition("view", "density", F.col("row_ord") % 8).write.partitionBy("view", "density").parquet(f"{path}/kept")
-    status.filter(F.size("reasons") > 0).withColumn("reason", F.array_join("reasons", "|")).drop("reasons").write.parquet(f"{path}/rejected")
-    return f"{path}/kept", f"{path}/rejected"
+def observed_split(status: DataFrame) -> tuple[DataFrame, Observation]:
+    """Status rows as they are written, side 'kept' or 'rejected' with reasons as one text, and the counters that their write
+    fills: kept, missing_* and reject_*. They are counted behind the shuffle, in the tasks that write, so a
+    lost executor's rows are not counted twice; nothing is scanned again or kept for counting."""
+    kept = F.size("reasons") == 0
+    counters = {"kept": F.count_if(kept)} | {c: F.count_if(F.array_contains("reasons", r)) for c, r in REASON_COUNTERS.items()}
+    rows = status.withColumn("side", F.when(kept, "kept").otherwise("rejected")).repartition("side", "view", "density", F.col("row_ord") % 8)
+    seen = Observation()
+    return rows.observe(seen, *[n.alias(c) for c, n in counters.items()]).withColumn("reason", F.when(~kept, F.array_join("reasons", "|"))).drop("reasons"), seen
+
+
+def write_split(status: DataFrame, path: str) -> tuple[str, str, dict[str, int]]:
+    """Kept and rejected rows by view and density, in one write, and its counters."""
+    rows, seen = observed_split(status)
+    rows.write.partitionBy("side", "view", "density").parquet(path)
+    return f"{path}/side=kept", f"{path}/side=rejected", {c: n for c, n in seen.get.items() if n}
 
 
 def filter_view_density(rows: DataFrame, view_col: str, density_col: str, view: str | None, density: str | None, known: dict) -> DataFrame:
