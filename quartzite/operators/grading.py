@@ -197,7 +197,10 @@ GRADES = ["A1", "A2", "A3", "A4", "A5", "A6", "A7", "B1", "B2", "B3", "C1", "C2"
 def graded(items: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds a score per grade and tags. ps_emd, grad_wass, hist_wass and clip_margin_seen may be absent.
     The one row of thresholds is read here and becomes literals, which Catalyst folds into the grades, so rows carry no
-    limits and no maps. Scores and tags come in two selects, which keeps the generated methods small."""
+    limits and no maps. The session's limit for generated methods is lowered to what the JVM compiles (8,000 bytes,
+    which Spark's documentation recommends): the grades in one method over it would be interpreted, seven times slower; under it
+    Spark splits them. It changes no result and stays set, since rows are made when the result is read."""
+    items.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     for name in ("ps_emd", "grad_wass", "hist_wass", "clip_margin_seen"):
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast("double"))
