@@ -6,10 +6,13 @@ left, links and buttons not counted, are summed over sliding windows of lines. T
 window whose sum surges over the threshold starts the text, the last one before the sums dive for good ends
 it, and everything between them stays; a list that begins or ends there stays whole.
 
+A form goes with what it holds, unless it holds half of the page's text: then it is a wrapper around the page.
+
 Marks (article and main elements, and what is classed as one) are weights in those sums. Of the marked elements
 the innermost that holds most of the marked text counts; its lines weigh a threshold more than their length and
 lines elsewhere nothing, so the sums surge and dive around it, however short its paragraphs are. A heading
-before it, in the same outer mark, counts as its own. Where marked text is less than a fifth of a page, marks
+before it, in the same outer mark, counts as its own, and what has no weight next to the surge or the dive (a heading that is a link, a closing
+paragraph of links) stays if it is in that element and in no list. Where marked text is less than a fifth of a page, marks
 weigh nothing and the lengths alone decide.
 
 Classes, ids and roles are compared by whole names, or where every part of a compound is known.
@@ -33,7 +36,7 @@ from .common import pieces
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video select".split())
-DROPPED = frozenset("nav footer aside form menu dialog".split())
+DROPPED = frozenset("nav footer aside menu dialog".split())
 GAP = frozenset("br td th".split())
 #: Elements that hold other blocks, and lists, which stay whole.
 HOLDS = frozenset("div section aside ul ol dl table details fieldset figure".split())
@@ -103,18 +106,26 @@ def marks_article(name: str, names: list) -> bool:
 
 class Line:
     """text; plain: characters in it that are not in links or buttons; marks: numbers of the marked elements around it,
-    outermost first; heading: whether it is one; group: the outermost list around it, 0 for none."""
+    outermost first; heading: whether it is one; group: the outermost list around it, 0 for none; form: likewise."""
+
+    __slots__ = ("text", "plain", "marks", "heading", "group", "form")
+
+    def __init__(self, text, plain, marks, heading, group, form):
+        self.text, self.plain, self.marks, self.heading, self.group, self.form = text, plain, marks, heading, group, form
 
-    __slots__ = ("text", "plain", "marks", "heading", "group")
 
-    def __init__(self, text, plain, marks, heading, group):
-        self.text, self.plain, self.marks, self.heading, self.group = text, plain, marks, heading, group
+def without_forms(lines: list) -> list:
+    """Lines of forms go, but for a form that holds half of a page's text or more: it is a wrapper around the page."""
+    mass: dict = {}
+    for x in lines:
+        mass[x.form] = mass.get(x.form, 0) + x.plain
+    return [x for x in lines if not x.form or 2 * mass[x.form] >= sum(mass.values())]
 
 
 def lines_of(page: str) -> list:
     """The page's lines that have text."""
     lines, parts, linked, pressed = [], [], 0, 0
-    open_, marks, group, number = [], (), 0, 0  # block elements around this place, and what they say
+    open_, marks, group, form, number = [], (), 0, 0, 0  # block elements around this place, and what they say
     anchor = button = 0
     heading = False
     skip, depth = "", 0
@@ -124,15 +135,15 @@ def lines_of(page: str) -> list:
         nonlocal parts, linked, pressed
         text = " ".join("".join(parts).split())
         if text and pressed < len(text):  # a line of buttons only is none
-            lines.append(Line(text, max(0, len(text) - linked - pressed), marks, heading, group))
+            lines.append(Line(text, max(0, len(text) - linked - pressed), marks, heading, group, form))
         parts, linked, pressed = [], 0, 0
 
     def leave(name: str):
         """Close the innermost element of that name and all in it; without one nothing is closed."""
-        nonlocal marks, group
+        nonlocal marks, group, form
         for i in range(len(open_) - 1, -1, -1):
             if open_[i][0] == name:
-                marks, group = open_[i][1:]
+                marks, group, form = open_[i][1:]
                 del open_[i:]
                 return
 
@@ -201,21 +212,21 @@ def lines_of(page: str) -> list:
         if dropped(name, m[3], names, bool(marks)):
             skip, depth = name, 1
         elif name in BLOCK:
-            open_.append((name, marks, group))
+            open_.append((name, marks, group, form))
             number += 1
             if marks_article(name, names):
                 marks += (number,)
             if name in GROUPS and not group:
                 group = number
+            if name == "form" and not form:
+                form = number
     if not skip:
         flush()
-    return lines
+    return without_forms(lines)
 
 
-def weights_of(lines: list) -> list:
-    """What each line adds to the sums: its plain characters, if they are more than half of it; where marks
-    weigh, a threshold more inside the marked element that counts, and nothing elsewhere."""
-    size = [x.plain if 2 * x.plain > len(x.text) else 0 for x in lines]
+def counted_mark(lines: list, size: list) -> int:
+    """The innermost marked element that holds most of the marked text, 0 where marks hold too little to weigh."""
     mass: dict = {}
     depth: dict = {}
     for x, s in zip(lines, size):
@@ -223,20 +234,29 @@ def weights_of(lines: list) -> list:
             mass[m], depth[m] = mass.get(m, 0) + s, i
     most = max(mass.values(), default=0)
     if not most or most < TRUST * sum(size):
-        return size
-    own = max((m for m, s in mass.items() if s >= (1 - SHARE) * most), key=lambda m: (depth[m], mass[m]))
+        return 0
+    return max((m for m, s in mass.items() if s >= (1 - SHARE) * most), key=lambda m: (depth[m], mass[m]))
+
+
+def weights_of(lines: list) -> tuple[list, int]:
+    """What each line adds to the sums: its plain characters, if they are more than half of it; where marks
+    weigh, a threshold more inside the marked element that counts, and nothing elsewhere. And that element."""
+    size = [x.plain if 2 * x.plain > len(x.text) else 0 for x in lines]
+    own = counted_mark(lines, size)
+    if not own:
+        return size, 0
     first = next(i for i, x in enumerate(lines) if own in x.marks)
     root = lines[first].marks[0]
     out = []
     for i, (x, s) in enumerate(zip(lines, size)):
         title = i < first and x.heading and root in x.marks
         out.append(s + SURGE if s and (own in x.marks or title) else 0)
-    return out
+    return out, own
 
 
 def main_lines(lines: list) -> list:
     """The lines between surge and dive."""
-    size = weights_of(lines)
+    size, own = weights_of(lines)
     if not any(size):
         return []
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]  # of the window that starts at a line
@@ -247,6 +267,12 @@ def main_lines(lines: list) -> list:
         dive += 1
     while surge and lines[surge - 1].group and lines[surge - 1].group == lines[surge].group and 2 * lines[surge - 1].plain > len(lines[surge - 1].text):
         surge -= 1
+    # A heading that is a link, or a last paragraph that is mostly one, has no weight of its own, but in the element that counts it stays.
+    inside = lambda i: own and own in lines[i].marks and not lines[i].group
+    while dive + 1 < len(lines) and inside(dive + 1):
+        dive += 1
+    while surge and inside(surge - 1):
+        surge -= 1
     return [x.text for x in lines[surge : dive + 1]]
 
 

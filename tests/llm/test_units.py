@@ -259,3 +259,14 @@ def test_page_without_article():
 )
 def test_pages_that_marks_or_lengths_decide(page, want):
     assert pagetext.main_text(page) == want.replace("|", "\n\n")
+
+
+def test_page_text_keeps_wrapped_pages_and_linked_lines():
+    p = "<p>" + "Some article text that is long enough to count as a paragraph of prose. " * 3 + "</p>"
+    text = p[3:-4].strip()
+    assert pagetext.main_text(f"<body><form action=x><div>{p}{p}</div></form></body>") == f"{text}\n\n{text}"
+    linked = f"<article><h2><a href=x>A linked headline</a></h2>{p}{p}<p><a href=y>A closing paragraph that is a link</a></p></article>"
+    assert pagetext.main_text(linked) == f"A linked headline\n\n{text}\n\n{text}\n\nA closing paragraph that is a link"
+    small = "<form><p>Your name and address</p><input></form>"
+    assert pagetext.main_text(f"<article>{p}{small}{p}</article>{small}") == f"{text}\n\n{text}"
+    assert pagetext.main_text(f"<article>{p}{p}<ul><li><a href=z>Next page</a></li></ul></article>") == f"{text}\n\n{text}"
