@@ -4,9 +4,12 @@ Vectors are whole numbers, so scores are exact. Candidates are dealt into shards
 series of shards per number of components. All queries first meet the shard of the longest vectors, which
 gives each of them a threshold. A block of queries is then sent, with a copy of the shard, only to shards
 whose longest vector could still beat the threshold of one of its queries (|q||x| >= threshold), and of the
-block only the queries that need the shard. Inside a shard, blocks come by descending length; the first h
-coordinates, rotated by the shard's own singular vectors, are multiplied out, the rest is bounded by the
-product of the residual lengths, and only what could reach the threshold is scored.
+block only the queries that need the shard. Inside a shard, blocks come by descending length, the first one small,
+so that there is a threshold early. Coordinates are rotated by the shard's own singular vectors and multiplied in
+steps, the strongest first; after each step the rest is bounded by the product of the residual lengths, and queries
+and candidates of which no pair can reach the threshold any more take no further step. Of the pairs that are left
+each query's k most promising are scored, which raises its threshold, and then only those that still
+reach it. No block is multiplied out.
 
 Bounds carry a slack relative to |q||x|, far above their rounding error, so nothing that could win is pruned.
 Scores from 2^53 on are summed in integers of any size; beyond the range of a long they count as its end.
@@ -37,14 +40,14 @@ def lengths_of(x: np.ndarray) -> np.ndarray:
     return top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
 
 
-def rotation_of(c: np.ndarray, share: float = 0.7) -> tuple[np.ndarray, int]:
-    """The right singular vectors of c, strongest first, and how many of them hold a share of the energy, in
-    steps of eight."""
+def rotation_of(c: np.ndarray, shares: tuple = (0.35, 0.6, 0.8, 0.92)) -> tuple[np.ndarray, list[int]]:
+    """The right singular vectors of c, strongest first, and how many of them hold each share of the energy, in
+    steps of four."""
     scale = max(1.0, np.abs(c).max(initial=0))
     energy, basis = np.linalg.eigh((c / scale).T @ (c / scale))
     energy = energy[::-1].clip(0)
-    h = int(np.searchsorted(np.cumsum(energy), share * energy.sum())) + 1
-    return basis[:, ::-1].copy(), min(c.shape[1], -(-h // 8) * 8)
+    at = np.searchsorted(np.cumsum(energy), np.array(shares) * energy.sum()) + 1
+    return basis[:, ::-1].copy(), sorted({int(min(c.shape[1], -(-h // 4) * 4)) for h in at})
 
 
 def whole_products(q: np.ndarray, c: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -68,50 +71,79 @@ def k_best(row, score, ids, k: int):
     return row[keep], score[keep], ids[keep]
 
 
-def scan_shard(q_id, q, floor, c_id, c, k, block=1024, rows=1024, turn=None):
+def scan_shard(q_id, q, floor, c_id, c, k, block=1024, rows=1024, turn=None, tally=None):
     """Top-k of each query in one shard: (query position, candidate id, score) arrays. q and c hold whole
     numbers; floor: the score that a candidate has to reach, as whole numbers, LEAST if none is known. turn: (rotation,
-    h), by default the shard's own."""
+    cuts), by default the shard's own. tally: a list that gets the number of pairs scored in each block."""
     length = lengths_of(c)
     order = np.lexsort((c_id, -length))
     c, c_id, length = c[order], c_id[order], length[order]
-    rotation, h = turn or rotation_of(c)
+    rotation, cuts = turn or rotation_of(c)
     slack = 1e-12 * (c.shape[1] + 8)
     with np.errstate(over="ignore", invalid="ignore"):
         c_rot = c @ rotation
-    c_rest = lengths_of(c_rot[:, h:]) if h < c.shape[1] else np.zeros(len(c))
+    rest_of = lambda x: [lengths_of(x[:, h:]) if h < x.shape[1] else np.zeros(len(x)) for h in cuts]
+    c_rest = rest_of(c_rot)
+    starts = [0, *range(min(len(c), max(4 * k, block // 16)), len(c), block)]
     out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
     for a in range(0, len(q), rows):
         qs, ids, least = q[a : a + rows], q_id[a : a + rows], floor[a : a + rows].copy()
         with np.errstate(over="ignore", invalid="ignore"):
             q_rot, q_len = qs @ rotation, lengths_of(qs)
-        q_rest = lengths_of(q_rot[:, h:]) if h < c.shape[1] else np.zeros(len(qs))
+        q_rest = rest_of(q_rot)
         held = (np.empty(0, np.int64),) * 3
         bar = np.where(least == LEAST, -np.inf, least.astype(np.float64))
-        for lo in range(0, len(c), block):
-            hi = min(lo + block, len(c))
+
+        def take(row, col):
+            """Score pairs, and raise the thresholds of their queries."""
+            nonlocal held, bar
+            for lo in range(0, len(row), 1 << 18):
+                r, j = row[lo : lo + (1 << 18)], col[lo : lo + (1 << 18)]
+                with np.errstate(over="ignore"):
+                    most = q_len[r] * length[j]
+                score = whole_products(qs[r], c[j], most)
+                good = score >= least[r]
+                if not good.any():
+                    continue
+                held = k_best(*(np.concatenate([x, y]) for x, y in zip(held, (r[good], score[good], c_id[j][good]))), k)
+                full = np.bincount(held[0], minlength=len(qs)) >= k
+                last = np.searchsorted(held[0], np.flatnonzero(full), side="right") - 1
+                least[full] = np.maximum(least[full], held[1][last])
+                bar = np.where(least == LEAST, -np.inf, least.astype(np.float64))
+
+        for lo, hi in zip(starts, [*starts[1:], len(c)]):
+            if lo == hi:
+                continue
             with np.errstate(over="ignore", invalid="ignore"):
                 live = np.flatnonzero(~(q_len * length[lo] * (1 + slack) < bar))  # longest first: no later block helps the others
                 if not len(live):
                     break
-                most = np.outer(q_len[live], length[lo:hi])
-                bound = q_rot[live, :h] @ c_rot[lo:hi, :h].T + np.outer(q_rest[live], c_rest[lo:hi]) + slack * most
-            may = ~(bound < bar[live, None]) & (ids[live, None] != c_id[None, lo:hi])
-            r, j = np.nonzero(may)
-            if len(r) > 8 * k * len(live):  # dense: only what is among the k largest products, ties and rounding included
-                with np.errstate(over="ignore", invalid="ignore"):
-                    near = np.where(may, np.nan_to_num(qs[live] @ c[lo:hi].T, nan=np.inf), -np.inf)
-                kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(live), -np.inf)
-                r, j = np.nonzero(may & ~(near + slack * most < kth[:, None]))
-            score = whole_products(qs[live[r]], c[lo + j], most[r, j])
-            good = score >= least[live[r]]
-            if not good.any():
+                cols, done = np.arange(lo, hi), 0
+                part = np.zeros((len(live), len(cols)))
+                for i, cut in enumerate(cuts):
+                    part = part + q_rot[live, done:cut] @ c_rot[cols, done:cut].T
+                    bound = part + np.outer(q_rest[i][live], c_rest[i][cols]) + slack * np.outer(q_len[live], length[cols])
+                    may = ~(bound < bar[live, None]) & (ids[live, None] != c_id[None, cols])
+                    on, off = may.any(1), may.any(0)
+                    if not (on.all() and off.all()):
+                        live, cols = live[on], cols[off]
+                        part, bound, may = part[on][:, off], bound[on][:, off], may[on][:, off]
+                    done = cut
+                    if not len(live):
+                        break
+            if not len(live):
                 continue
-            held = k_best(*(np.concatenate([x, y]) for x, y in zip(held, (live[r][good], score[good], c_id[lo + j][good]))), k)
-            full = np.bincount(held[0], minlength=len(qs)) >= k
-            last = np.searchsorted(held[0], np.flatnonzero(full), side="right") - 1
-            least[full] = np.maximum(least[full], held[1][last])
-            bar = np.where(least == LEAST, -np.inf, least.astype(np.float64))
+            hope = np.where(may, bound, -np.inf)
+            first = np.zeros(may.shape, bool)
+            if len(cols) > k:
+                np.put_along_axis(first, np.argpartition(hope, len(cols) - k, axis=1)[:, len(cols) - k :], True, 1)
+            r, j = np.nonzero(may & first)
+            take(live[r], cols[j])
+            again = may & ~first & ~(bound < bar[live, None])
+            r2, j2 = np.nonzero(again)
+            take(live[r2], cols[j2])
+            if tally is not None:
+                tally.append(len(r) + len(r2))
         out.append((held[0] + a, held[2], held[1]))
     return tuple(np.concatenate(x) for x in zip(*out))
 

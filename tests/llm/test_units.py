@@ -171,7 +171,7 @@ def test_topk_kernel_equals_brute_force(h):
     c = np.floor(r.normal(size=(700, 16)) * r.lognormal(size=(700, 1)) * 20)
     c[100:200] = c[0]
     q, ids = c[::50], np.arange(700) * 3
-    qi, who, score = topk_search.scan_shard(ids[::50], q, np.full(len(q), topk_search.LEAST), ids, c, 10, 64, 5, (topk_search.rotation_of(c)[0], h))
+    qi, who, score = topk_search.scan_shard(ids[::50], q, np.full(len(q), topk_search.LEAST), ids, c, 10, 64, 5, (topk_search.rotation_of(c)[0], [h]))
     for i in range(len(q)):
         s = (c @ q[i]).astype(int)
         want = sorted((-x, j) for x, j in zip(s, ids) if j != ids[::50][i])[:10]
@@ -270,3 +270,18 @@ def test_page_text_keeps_wrapped_pages_and_linked_lines():
     small = "<form><p>Your name and address</p><input></form>"
     assert pagetext.main_text(f"<article>{p}{small}{p}</article>{small}") == f"{text}\n\n{text}"
     assert pagetext.main_text(f"<article>{p}{p}<ul><li><a href=z>Next page</a></li></ul></article>") == f"{text}\n\n{text}"
+
+
+def test_bounds_decide_what_topk_scores():
+    """On the test table under a third of all pairs is scored, and results are those of plain products."""
+    import pyarrow.parquet as pq
+
+    c = np.floor(1024 * np.stack(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas().sort_values("vec_id").embedding.to_numpy()).astype(np.float64))
+    ids = np.arange(len(c))
+    q, q_id, tally = c[::100], ids[::100], []
+    at, who, score = topk_search.scan_shard(q_id, q, np.full(len(q), topk_search.LEAST), ids, c, 10, tally=tally)
+    full = (q @ c.T).astype(np.int64)
+    for i in range(len(q)):
+        want = sorted(((-s, j) for j, s in enumerate(full[i]) if j != q_id[i]))[:10]
+        assert [(-s, w) for s, w in zip(score[at == i], who[at == i])] == want
+    assert sum(tally) < len(q) * len(c) / 3
