@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import emd_profile, wasserstein_bins
+from ..sources.scratch import stored
 
 
 def profile_mean(rows: DataFrame, column: str) -> DataFrame:
@@ -59,42 +60,44 @@ def frechet(a: tuple, b: tuple) -> float | None:
     return float(((a[1] - b[1]) ** 2).sum() + np.trace(a[2]) + np.trace(b[2]) - 2 * root)
 
 
-def kernel_moments(rows: DataFrame) -> tuple[int, int, list, float]:
-    """(n, d, tensors, own): sums of x, of x xT and of the third powers of x over all rows, and of the kernel of
-    each row with itself. Tasks add up; what comes back grows with d cubed and not with the rows."""
+def kernel_moments(rows: DataFrame) -> DataFrame:
+    """(i, j, k, value): sums over all rows of x_i x_j x_k with i <= j <= k, where -1 stands for a factor of one; i of -2
+    is the sum of each row's kernel with itself. Tasks add up their rows; there are about d cubed / 6 sums, which stay in
+    the cluster."""
 
     def part(frames):
-        n, own, d, sums = 0, 0.0, 0, None
+        own, d, sums = 0.0, 0, None
         for f in frames:
             for lo in range(0, len(f), 1024):
                 x = np.stack(f["x"].to_numpy()[lo : lo + 1024]).astype(float)
                 d = x.shape[1]
-                two = (x[:, :, None] * x[:, None, :]).reshape(len(x), d * d)
-                add = np.concatenate([x.sum(0), two.sum(0), (two.T @ x).ravel()])
-                n, own, sums = n + len(x), own + ((((x * x).sum(1) / d) + 1) ** 3).sum(), add if sums is None else sums + add
-        if n:
-            flat = np.concatenate([[n, d * n, own], sums])
-            yield pd.DataFrame({"at": np.arange(len(flat)), "value": flat})
+                one = np.concatenate([np.ones((len(x), 1)), x], 1)
+                i, j = np.triu_indices(d + 1)
+                add = (one[:, i] * one[:, j]).T @ one
+                own, sums = own + ((((x * x).sum(1) / d) + 1) ** 3).sum(), add if sums is None else sums + add
+        if sums is not None:
+            i, j = np.triu_indices(d + 1)
+            at, k = np.nonzero(np.arange(d + 1)[None] >= j[:, None])
+            yield pd.DataFrame({"i": np.append(i[at], -1) - 1, "j": np.append(j[at], 0) - 1, "k": np.append(k, 0) - 1, "value": np.append(sums[at, k], own)})
 
-    cells = rows.select(F.col("x").cast("array<double>").alias("x")).mapInPandas(part, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")
-    if not len(cells):
-        return 0, 0, [], 0.0
-    v = cells["value"].to_numpy()
-    d = int(round(v[1] / v[0]))
-    return int(round(v[0])), d, [v[3 : 3 + d], v[3 + d : 3 + d + d * d], v[3 + d + d * d :]], float(v[2])
+    return rows.select(F.col("x").cast("array<double>").alias("x")).mapInPandas(part, "i int, j int, k int, value double").groupBy("i", "j", "k").agg(F.sum("value").alias("value"))
 
 
 def kernel_distance(a: DataFrame, b: DataFrame) -> float | None:
     """Unbiased squared MMD with (x.y / d + 1) cubed, over all rows: the kernel's sum over pairs is one of products of moments of order
-    0 to 3. None if a side has fewer than two rows. Rows are told apart as rows, not by item."""
-    (n, d, ta, own_a), (m, _, tb, own_b) = kernel_moments(a), kernel_moments(b)
+    0 to 3, each as often as its factors can be ordered, added up where the moments meet. None if a side has fewer than two
+    rows. Rows are told apart as rows, not by item."""
+    both = kernel_moments(a).withColumnRenamed("value", "u").join(kernel_moments(b).withColumnRenamed("value", "v"), ["i", "j", "k"], "full").na.fill(0.0, ["u", "v"])
+    both = stored(both, "kernel-moments")
+    sizes = both.agg(F.max("k").alias("last"), *[F.sum(F.when(where, F.col(c))).alias(f"{name}_{c}") for c in "uv" for name, where in (("n", F.col("i").eqNullSafe(-1) & (F.col("k") == -1)), ("own", F.col("i") == -2))]).first()
+    n, m, d = round(sizes["n_u"] or 0), round(sizes["n_v"] or 0), (sizes["last"] if sizes["last"] is not None else -1) + 1
     if n < 2 or m < 2:
         return None
-
-    def total(s, t, count):
-        return count + sum(c * float(u @ v) / d**k for k, c, u, v in zip((1, 2, 3), (3, 3, 1), s, t))
-
-    return (total(ta, ta, n * n) - own_a) / (n * (n - 1)) + (total(tb, tb, m * m) - own_b) / (m * (m - 1)) - 2 * total(ta, tb, n * m) / (n * m)
+    factors = sum(((F.col(c) >= 0).cast("int") for c in "jk"), (F.col("i") >= 0).cast("int"))
+    orders = F.when((F.col("i") == F.col("j")) & (F.col("j") == F.col("k")), 1).when((F.col("i") == F.col("j")) | (F.col("j") == F.col("k")), 3).otherwise(6)
+    weight = orders / F.pow(F.lit(float(d)), factors)
+    sums = both.filter("i > -2").agg(F.sum(weight * F.col("u") * F.col("u")).alias("uu"), F.sum(weight * F.col("v") * F.col("v")).alias("vv"), F.sum(weight * F.col("u") * F.col("v")).alias("uv")).first()
+    return (sums.uu - sizes["own_u"]) / (n * (n - 1)) + (sums.vv - sizes["own_v"]) / (m * (m - 1)) - 2 * sums.uv / (n * m)
 
 
 def mahalanobis(rows: DataFrame, reference: DataFrame, column: str, keep: int = 10, ridge: float = 1e-3, least: int = 30) -> DataFrame:
