@@ -42,13 +42,16 @@ def word_codes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     letter = ~WHITE[data]
-    first = letter.copy()
+    first, last = letter.copy(), letter.copy()
     first[1:] &= ~letter[:-1]
-    begins = at[:-1][at[:-1] < at[1:]]
-    first[begins] = letter[begins]
+    last[:-1] &= ~letter[1:]
+    full = at[:-1] < at[1:]
+    first[at[:-1][full]] = letter[at[:-1][full]]
+    last[at[1:][full] - 1] = letter[at[1:][full] - 1]
     starts = np.flatnonzero(first)
-    letters = np.ascontiguousarray(data[letter])
-    offsets = np.append(np.cumsum(letter, dtype=np.int64)[starts] - 1, len(letters))
+    offsets = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
+    letters = data[letter]
+    del first, last, letter
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     coded = words.dictionary_encode()
     return np.asarray(coded.indices), np.searchsorted(starts, at), coded.dictionary
