@@ -38,7 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines spread over many sources, and passages of several texts on two or more, stay in the first document
-    that has them; n_chars follows the text."""
+    that has them; n_chars follows the text. A null text stays null and has no line; a null source counts as one source; of
+    repeated rows the first keeps a spread line. An empty table stays empty."""
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("d.n_chars"))}
     return linededup.cleaned(docs, MIN_SITES, LONG_SITES).select(*[(changed[c] if c in changed else F.col("d")[c]).alias(c) for c in docs.columns])
 
@@ -60,13 +61,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, by whole documents, repeated where a target asks for it."""
+    """Sources at their target weights, by whole documents, repeated where a target asks for it. A null source is one of its
+    own, the last; a null or empty text has no words and adds nothing to a mixture, so it goes. Repeated rows share a place
+    and go the same way. An empty table stays empty."""
     _, plan = mixing.mixed(docs)
     return mixing.whole_documents(docs, plan)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256. A null text is empty; repeated rows each come out; very long texts
+    are encoded whole. An empty table stays empty."""
     wide_rows(spark)
     return bpe.encoded(docs, vocabulary(BYTE_BPE))
 

@@ -3,8 +3,8 @@
 Kept in a folder, all append-only: for each arrival its values in long form with the bin of each, rows per bin, moments, and a
 KLL sketch per metric. Bins are cut at quantiles of the sketch of what came before, so each holds a small share.
 Exact counts of the bins say in which bin a wanted rank lies and how many rows come before it; only rows of those bins are
-read (the values are written sorted by metric and bin, and the bins are literals of the filter, so Parquet
-skips the rest). An arrival costs one pass over its own rows. When values drift and a wanted bin holds many times its
+read (each task writes its values sorted by metric and bin, and the bins are literals of the filter, so Parquet
+skips the other pages). An arrival costs two passes over its own rows, one for the sketch, and no shuffle of them. When values drift and a wanted bin holds many times its
 share, bins are cut anew at the quantiles of the merged sketches, and the values are written once more: a new epoch.
 
 An arrival counts from the moment its line is in the manifest, which is written last; one that failed half-way is
@@ -82,7 +82,7 @@ class GrowingBaseline:
             return pd.Series(out)
 
         binned = long.select("metric", bin_of("metric", "value").alias("bin"), "value")
-        self.write(binned.repartitionByRange("metric", "bin").sortWithinPartitions("metric", "bin"), "values", epoch, arrival)
+        self.write(binned.sortWithinPartitions("metric", "bin"), "values", epoch, arrival)
         values = self.read("values", VALUES, epoch, [arrival])
         self.write(values.groupBy("metric", "bin").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).coalesce(1), "counts", epoch, arrival)
 
