@@ -119,12 +119,29 @@ def to_target(rows: DataFrame, strata: list, key: str, target: int) -> DataFrame
     return copies.withColumn("slot", F.col("k") - 1 + F.col("round") * F.col("n")).select(*rows.columns, "slot")
 
 
+#: Characters of the pieces by which names are looked up.
+GRAM = 3
+
+
+def grams(text: Column, n: int) -> Column:
+    """The distinct pieces of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
 def last_containing(names: DataFrame, name: str, runs: DataFrame, run: str) -> DataFrame:
-    """Each name with the last run, by name, that contains it. A run is cut into its parts of each length that names
-    have, so that the join has a key; there are few lengths, and a run has at most its own length of parts of each."""
-    lengths = names.filter(F.col(name).isNotNull()).agg(F.array_sort(F.collect_set(F.length(name))).alias("lengths"))
-    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, n))
-    fitting = F.filter("lengths", lambda n: n <= F.length(run))
-    cut = runs.filter(F.col(run).isNotNull()).crossJoin(F.broadcast(lengths)).select(run, F.explode(F.array_distinct(F.flatten(F.transform(fitting, parts)))).alias("part"))
-    last = cut.groupBy("part").agg(F.max(run).alias(run))
-    return names.join(last, F.col(name) == F.col("part"), "left").select(name, run)
+    """Each name with the last run, by name, that contains it. A name is looked up by one piece of GRAM characters, the one
+    that the fewest runs have (a shorter name by itself), and what shares it is checked. A run has as many pieces as
+    characters, times GRAM at most, whatever lengths names have. An empty name is in every run; a null one in none, and
+    a null run holds nothing. Repeated names each come out."""
+    known = runs.select(F.col(run).alias("__run")).filter("__run is not null").distinct()
+    pieces = F.flatten(F.array(*[grams(F.col("__run"), n) for n in range(1, GRAM + 1)]))
+    cut = stored(known.select("__run", F.explode(pieces).alias("__piece")), "run-pieces")
+    rare = cut.groupBy("__piece").agg(F.count("*").alias("__runs"))
+    asked = names.select(F.col(name).alias("__name")).filter("__name <> ''").distinct()
+    of_name = F.when(F.length("__name") < GRAM, F.array("__name")).otherwise(grams(F.col("__name"), GRAM))
+    keyed = asked.select("__name", F.explode(of_name).alias("__piece")).join(rare, "__piece", "left")
+    # A piece that no run has rules all runs out.
+    keyed = keyed.groupBy("__name").agg(F.min_by("__piece", F.coalesce("__runs", F.lit(0))).alias("__piece"))
+    found = keyed.join(cut, "__piece").filter(F.contains("__run", "__name")).groupBy("__name").agg(F.max("__run").alias(run))
+    every = known.agg(F.max("__run").alias(run)).select(F.lit("").alias("__name"), run)
+    return names.join(found.union(every), F.col(name) == F.col("__name"), "left").select(name, run)
