@@ -27,10 +27,14 @@ CELL = ("image_id", "u", "v")
 
 def cell_pairs(cells: DataFrame) -> DataFrame:
     """The cells, each with `others`, the points of a cell beside it: each pair of occupied cells once. cells: a row per
-    occupied cell with pts, its points. A cell is copied to the twelve places ahead of it, and occupied ones are kept."""
+    occupied cell with pts, its points. Only names of cells are copied to the twelve places ahead; points join the
+    pairs that are found."""
     steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in AHEAD])
-    ahead = cells.select("*", F.explode(steps).alias("step")).select("image_id", (F.col("u") + F.col("step.du")).alias("u"), (F.col("v") + F.col("step.dv")).alias("v"), F.col("pts").alias("others"))
-    return ahead.join(cells, list(CELL))
+    keys = cells.select(*CELL)
+    ahead = keys.select("image_id", F.struct("u", "v").alias("from"), F.explode(steps).alias("step"), "u", "v")
+    ahead = ahead.select("image_id", "from", (F.col("u") + F.col("step.du")).alias("u"), (F.col("v") + F.col("step.dv")).alias("v"))
+    met = ahead.join(keys, list(CELL)).join(cells.select(*CELL, F.col("pts").alias("others")), list(CELL))
+    return met.select("image_id", F.col("from.u").alias("u"), F.col("from.v").alias("v"), "others").join(cells, list(CELL))
 
 
 def near_points(pairs: DataFrame, most2: Column) -> DataFrame:
@@ -48,12 +52,13 @@ def isolated(rows: DataFrame, far: float = 60.0) -> DataFrame:
     counted = points.groupBy(*CELL).agg(F.count("*").alias("n"), F.first("pt").alias("only"))
     alone = stored(counted.filter("n = 1").select(*CELL, F.array("only").alias("pts")), "alone")
     steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)])
-    around = alone.select("image_id", F.explode(steps).alias("step"), "u", "v", "pts").select("image_id", (F.col("u") + F.col("step.du")).alias("u"), (F.col("v") + F.col("step.dv")).alias("v"), F.col("pts")[0].alias("a"))
     crowds = counted.filter("n > 1").select(*CELL)
+    around = crowds.select(*CELL, F.explode(steps).alias("step")).select("image_id", (F.col("u") + F.col("step.du")).alias("u"), (F.col("v") + F.col("step.dv")).alias("v"), F.struct("u", "v").alias("crowd"))
     pairs = near_points(cell_pairs(alone), F.lit(far * far))
     near = pairs.select("image_id", F.explode(F.array("a", "b")).alias("comp_id"))
+    asked = around.join(alone, list(CELL)).select("image_id", F.col("crowd.u").alias("u"), F.col("crowd.v").alias("v"), F.col("pts")[0].alias("a"))
     gap2 = F.pow(F.col("a.cx") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("a.cy") - F.col("cy"), F.lit(2.0))
-    beside = around.join(points.join(crowds, list(CELL), "left_semi").select(*CELL, "cx", "cy"), list(CELL)).filter(gap2 <= far * far)
+    beside = asked.join(points.select(*CELL, "cx", "cy"), list(CELL)).filter(gap2 <= far * far)
     near = near.union(beside.select("image_id", F.col("a.comp_id"))).distinct()
     left = alone.select("image_id", F.col("pts")[0]["comp_id"].alias("comp_id")).join(near, ["image_id", "comp_id"], "left_anti").select("image_id", F.lit(1).alias("one"))
     every = rows.select("image_id", F.lit(0).alias("one"))
