@@ -13,12 +13,15 @@ the innermost that holds most of the marked text counts; its lines weigh a thres
 lines elsewhere nothing, so the sums surge and dive around it, however short its paragraphs are. A heading
 before it, in the same outer mark, counts as its own, and what has no weight next to the surge or the dive (a heading that is a link, a closing
 paragraph of links) stays if it is in that element and in no list. Where marked text is less than a fifth of a page, marks
-weigh nothing and the lengths alone decide.
+weigh nothing and the lengths alone decide: of all elements the innermost that holds most of the page's text is the
+densest, its own lines weigh a threshold more, and windows end at its border, so what stands around it stays only if
+it reaches the threshold by itself or is marked. A copyright line has no weight; a heading right before it counts as its own.
 
 Classes, ids and roles are compared by whole names, or where every part of a compound is known.
 
 Nulls: a null page has no text. Unclosed elements, cut-off tags and stray brackets are taken as browsers
-do. Repeated rows each come out, an empty table gives no rows, other columns do not matter.
+do. Repeated rows each come out, an empty table gives no rows, other columns do not matter. Very long and deeply nested pages are
+taken whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video select".split())
 DROPPED = frozenset("nav footer aside menu dialog".split())
 GAP = frozenset("br td th".split())
+#: Elements that can be the densest.
+BOXES = frozenset("article body center div fieldset form main section table".split())
 #: Elements that hold other blocks, and lists, which stay whole.
 HOLDS = frozenset("div section aside ul ol dl table details fieldset figure".split())
 GROUPS = frozenset("ul ol dl".split())
@@ -66,6 +71,8 @@ END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 WINDOW, SHARE, SURGE = 3, 0.25, 86
 #: Share of the page's text from which marks weigh.
 TRUST = 0.2
+#: How a line of rights begins.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 
 def names_of(attrs: str) -> list:
@@ -104,14 +111,24 @@ def marks_article(name: str, names: list) -> bool:
     return name in ("article", "main") or (name in BLOCK and name not in ("html", "body", "head") and among(names, ARTICLE_MARKS, TITLE_PARTS))
 
 
+class Box:
+    """An element that holds blocks: the one around it, and its place among all."""
+
+    __slots__ = ("up", "number")
+
+    def __init__(self, up, number):
+        self.up, self.number = up, number
+
+
 class Line:
     """text; plain: characters in it that are not in links or buttons; marks: numbers of the marked elements around it,
-    outermost first; heading: whether it is one; group: the outermost list around it, 0 for none; form: likewise."""
+    outermost first; heading: whether it is one; group: the outermost list around it, 0 for none; form: likewise;
+    box: the innermost box around it, or None."""
 
-    __slots__ = ("text", "plain", "marks", "heading", "group", "form")
+    __slots__ = ("text", "plain", "marks", "heading", "group", "form", "box")
 
-    def __init__(self, text, plain, marks, heading, group, form):
-        self.text, self.plain, self.marks, self.heading, self.group, self.form = text, plain, marks, heading, group, form
+    def __init__(self, text, plain, marks=(), heading=False, group=0, form=0, box=None):
+        self.text, self.plain, self.marks, self.heading, self.group, self.form, self.box = text, plain, marks, heading, group, form, box
 
 
 def without_forms(lines: list) -> list:
@@ -125,7 +142,7 @@ def without_forms(lines: list) -> list:
 def lines_of(page: str) -> list:
     """The page's lines that have text."""
     lines, parts, linked, pressed = [], [], 0, 0
-    open_, marks, group, form, number = [], (), 0, 0, 0  # block elements around this place, and what they say
+    open_, marks, group, form, box, number = [], (), 0, 0, None, 0  # block elements around this place, and what they say
     anchor = button = 0
     heading = False
     skip, depth = "", 0
@@ -135,15 +152,15 @@ def lines_of(page: str) -> list:
         nonlocal parts, linked, pressed
         text = " ".join("".join(parts).split())
         if text and pressed < len(text):  # a line of buttons only is none
-            lines.append(Line(text, max(0, len(text) - linked - pressed), marks, heading, group, form))
+            lines.append(Line(text, max(0, len(text) - linked - pressed), marks, heading, group, form, box))
         parts, linked, pressed = [], 0, 0
 
     def leave(name: str):
         """Close the innermost element of that name and all in it; without one nothing is closed."""
-        nonlocal marks, group, form
+        nonlocal marks, group, form, box
         for i in range(len(open_) - 1, -1, -1):
             if open_[i][0] == name:
-                marks, group, form = open_[i][1:]
+                marks, group, form, box = open_[i][1:]
                 del open_[i:]
                 return
 
@@ -212,8 +229,10 @@ def lines_of(page: str) -> list:
         if dropped(name, m[3], names, bool(marks)):
             skip, depth = name, 1
         elif name in BLOCK:
-            open_.append((name, marks, group, form))
+            open_.append((name, marks, group, form, box))
             number += 1
+            if name in BOXES:
+                box = Box(box, number)
             if marks_article(name, names):
                 marks += (number,)
             if name in GROUPS and not group:
@@ -238,40 +257,103 @@ def counted_mark(lines: list, size: list) -> int:
     return max((m for m, s in mass.items() if s >= (1 - SHARE) * most), key=lambda m: (depth[m], mass[m]))
 
 
-def weights_of(lines: list) -> tuple[list, int]:
+def densest(lines: list, size: list) -> Box | None:
+    """The innermost box that holds most of the page's text. Boxes that do lie in each other, so it is the last opened."""
+    mass: dict = {}
+    for x, s in zip(lines, size):
+        b = x.box
+        while b and b not in mass:
+            mass[b] = 0
+            b = b.up
+        if x.box:
+            mass[x.box] += s
+    for b in sorted(mass, key=lambda b: -b.number):
+        if b.up:
+            mass[b.up] += mass[b]
+    return max((b for b, m in mass.items() if m >= (1 - SHARE) * sum(size)), key=lambda b: b.number, default=None)
+
+
+def within(lines: list, box: Box) -> list:
+    """Whether each line is in the box."""
+    known = {box: True, None: False}
+    for x in lines:
+        path, b = [], x.box
+        while b not in known:
+            path.append(b)
+            b = b.up
+        known.update(dict.fromkeys(path, known[b]))
+    return [known[x.box] for x in lines]
+
+
+def weights_of(lines: list) -> tuple[list, list, list]:
     """What each line adds to the sums: its plain characters, if they are more than half of it; where marks
-    weigh, a threshold more inside the marked element that counts, and nothing elsewhere. And that element."""
+    weigh, a threshold more inside the marked element that counts, and nothing elsewhere; where they do not, a threshold
+    more for the densest box's own lines. Then the side of a border on which each line is, and whether it stays without weight."""
     size = [x.plain if 2 * x.plain > len(x.text) else 0 for x in lines]
     own = counted_mark(lines, size)
-    if not own:
-        return size, 0
-    first = next(i for i, x in enumerate(lines) if own in x.marks)
-    root = lines[first].marks[0]
+    if own:
+        inside = [own in x.marks for x in lines]
+        first = inside.index(True)
+        root = lines[first].marks[0]
+        out = []
+        for i, (x, s) in enumerate(zip(lines, size)):
+            title = i < first and x.heading and root in x.marks
+            out.append(s + SURGE if s and (inside[i] or title) else 0)
+        return out, [True] * len(lines), [y and not x.group for x, y in zip(lines, inside)]
+    box = densest(lines, size)
+    if not box:
+        return size, [True] * len(lines), [False] * len(lines)
+    inside = [y or bool(x.marks) for x, y in zip(lines, within(lines, box))]  # no border before what is marked
+    first = start = inside.index(True)
+    while start and size[start - 1] and not lines[start].heading:  # back to a heading, past lines of text only
+        start -= 1
+    if lines[start].heading and not inside[start]:
+        inside[start:first] = [True] * (first - start)
     out = []
     for i, (x, s) in enumerate(zip(lines, size)):
-        title = i < first and x.heading and root in x.marks
-        out.append(s + SURGE if s and (own in x.marks or title) else 0)
-    return out, own
+        own = inside[i] and (x.box is box or (i < first and x.heading))
+        out.append(0 if RIGHTS.match(x.text) else s + SURGE if s and own else s)
+    return out, inside, [False] * len(lines)
+
+
+def window_sums(size: list, side: list) -> list:
+    """The sum of the window that starts at each line; windows end at borders."""
+    sums = []
+    for i in range(len(size)):
+        j = i
+        while j < min(i + WINDOW, len(size)) and side[j] == side[i]:
+            j += 1
+        sums.append(sum(size[i:j]))
+    return sums
+
+
+def surge_and_dive(size: list, side: list) -> tuple[int, int]:
+    """The first and the last line that lie in a window over the threshold, have weight, and are on its side of a border."""
+    sums = window_sums(size, side)
+    bar = min(SURGE, max(sums) * SHARE)
+
+    def high(i: int) -> bool:
+        starts = range(max(0, i - WINDOW + 1), i + 1)
+        return any(sums[j] >= bar and all(side[k] == side[i] for k in range(j, i)) for j in starts)
+
+    found = [i for i, s in enumerate(size) if s and high(i)]
+    return found[0], found[-1]
 
 
 def main_lines(lines: list) -> list:
     """The lines between surge and dive."""
-    size, own = weights_of(lines)
+    size, side, stays = weights_of(lines)
     if not any(size):
         return []
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]  # of the window that starts at a line
-    bar = min(SURGE, max(sums) * SHARE)
-    high = [i for i, s in enumerate(size) if s and max(sums[max(0, i - WINDOW + 1) : i + 1]) >= bar]
-    surge, dive = high[0], high[-1]
+    surge, dive = surge_and_dive(size, side)
     while dive + 1 < len(lines) and lines[dive + 1].group and lines[dive + 1].group == lines[dive].group and 2 * lines[dive + 1].plain > len(lines[dive + 1].text):
         dive += 1
     while surge and lines[surge - 1].group and lines[surge - 1].group == lines[surge].group and 2 * lines[surge - 1].plain > len(lines[surge - 1].text):
         surge -= 1
     # A heading that is a link, or a last paragraph that is mostly one, has no weight of its own, but in the element that counts it stays.
-    inside = lambda i: own and own in lines[i].marks and not lines[i].group
-    while dive + 1 < len(lines) and inside(dive + 1):
+    while dive + 1 < len(lines) and stays[dive + 1]:
         dive += 1
-    while surge and inside(surge - 1):
+    while surge and stays[surge - 1]:
         surge -= 1
     return [x.text for x in lines[surge : dive + 1]]
 

@@ -193,6 +193,23 @@ def test_windows_decide_where_pages_lose_their_marks():
     assert same >= 0.95 * len(pages)
 
 
+def test_windows_decide_on_pages_without_names_and_elements():
+    """All attributes and all elements that mean something are gone: menus, adverts, link lists and footers go on nine
+    pages of ten, and no line of any article does."""
+    import re
+    from collections import Counter
+
+    pages = pd.read_parquet("/root/testdata/sf0.1/pages.parquet")
+    same = 0
+    for h in pages.html:
+        bare = re.sub(r"<(/?)(?:article|nav|header|footer|aside|main|section|form|menu|dialog)\b[^>]*>", r"<\1div>", h)
+        bare = re.sub(r"<(div|ul|ol|li|p|h\d|span)\s[^>]*>", r"<\1>", bare)
+        want, got = plain_article(h), pagetext.main_text(bare)
+        same += want == got
+        assert not Counter(want.split("\n\n")) - Counter(got.split("\n\n"))
+    assert same >= 0.9 * len(pages)
+
+
 def test_pii_base_of_all_documents(spark):
     """Counts, digest and spans against the contract's patterns, run one by one as they are written."""
     import hashlib

@@ -285,3 +285,33 @@ def test_bounds_decide_what_topk_scores():
         want = sorted(((-s, j) for j, s in enumerate(full[i]) if j != q_id[i]))[:10]
         assert [(-s, w) for s, w in zip(score[at == i], who[at == i])] == want
     assert sum(tally) < len(q) * len(c) / 3
+
+
+def test_surge_and_dive_against_brute_force():
+    """Every stretch of up to three lines of one side, tried one by one."""
+    rng = random.Random(5)
+    for _ in range(2000):
+        n = rng.randint(1, 12)
+        size = [rng.choice((0, 0, 5, 20, 60, 300)) for _ in range(n)]
+        side, now = [], True
+        for _ in range(n):
+            now = now if rng.random() < 0.7 else not now
+            side.append(now)
+        if not any(size):
+            continue
+        stretches = [range(i, j) for i in range(n) for j in range(i + 1, min(n, i + pagetext.WINDOW) + 1) if len(set(side[i:j])) == 1]
+        total = lambda r: sum(size[i] for i in r)
+        bar = min(pagetext.SURGE, max(map(total, stretches)) * pagetext.SHARE)
+        high = {i for r in stretches if total(r) >= bar for i in r if size[i]}
+        assert pagetext.surge_and_dive(size, side) == (min(high), max(high))
+
+
+def test_densest_box_takes_its_heading_and_leaves_what_stands_around():
+    text = "A paragraph of the article that is long enough to be more than a threshold of some eighty-six characters."
+    p = f"<p>{text}</p>"
+    around = "<div><a href=a>Home</a><a href=b>Shop</a></div>"
+    page = f"<body><div>{around}<div><h1>Title</h1><p>By one</p></div><div>{p}{p}{p}<p>End.</p></div><div>Some offer</div><div>(c) Us</div></div></body>"
+    assert pagetext.main_text(page) == f"Title\n\nBy one\n\n{text}\n\n{text}\n\n{text}\n\nEnd."
+    split = f"<body><div>{p}{p}{p}{p}{p}</div><div>{around}</div><div>{p}</div></body>"
+    assert pagetext.main_text(split).count(text) == 6
+    assert pagetext.main_text("<div>" * 20000 + p) == text
