@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..operators import catalog as op
 from ..sources import readers
 from ..sources.adapters import load
+from ..sources.bucketed import bucketed, buckets_for, joined
 from ..sources.scratch import scratch_path
 from .registry import query
 
@@ -172,6 +173,33 @@ def source_mask_join(spark, sf_dir):
     return counts.selectExpr("stack(2, 'matched', matched, 'skipped', skipped) as (outcome, n)")
 
 
+def catalogue_buckets(catalog):
+    return buckets_for(catalog.count())
+
+
+@query(
+    "bucketed_files_masks",
+    f"with {FILES} select row_ord, row_ord in (select row_ord from files) as has_file, row_ord in (select row_ord from masks) as has_mask from catalog",
+    "catalog",
+)
+def bucketed_files_masks(spark, sf_dir):
+    """The catalogue against both listings, all three in buckets of the row's number: no exchange under either join."""
+    catalog = load(spark, sf_dir, "catalog").select("row_ord")
+    n = catalogue_buckets(catalog)
+    files, masks = (bucketed(rows.withColumn(hit, F.lit(True)), hit, ["row_ord"], n, unique=True) for rows, hit in zip(listing(spark, sf_dir), ("has_file", "has_mask")))
+    rows = joined(bucketed(catalog, "catalog", ["row_ord"], n), [files, masks])
+    return rows.select("row_ord", F.coalesce("has_file", F.lit(False)).alias("has_file"), F.coalesce("has_mask", F.lit(False)).alias("has_mask"))
+
+
+@query("bucketed_density", f"{CHAIN} select density, view, count(*) as n, min(row_ord) as first_row from series left join lookup using (patient_id, laterality, view) group by 1, 2", "catalog case_desc")
+def bucketed_density(spark, sf_dir):
+    """Rows per density and view by a join of buckets of patient, side and view."""
+    series = op.full_series(load(spark, sf_dir, "catalog")).select("row_ord", "patient_id", "laterality", "view")
+    keys, n = ["patient_id", "laterality", "view"], catalogue_buckets(series)
+    rows = joined(bucketed(series, "series", keys, n), [bucketed(op.density_lookup(load(spark, sf_dir, "case_desc")), "lookup", keys, n, unique=True)])
+    return rows.groupBy("density", "view").agg(F.count("*").alias("n"), F.min("row_ord").alias("first_row"))
+
+
 NAMES = r"""names as (select url as key, page_id, regexp_extract(url, '[^/]*$') as name, regexp_replace(regexp_extract(url, '[^/]*$'), '^(.+)\.[^.]*$', '\1') as stem from urls),
 metas as (select concat(cast(page_id as varchar), '.html') as file_name, page_id % 7 as info from urls where page_id % 3 = 0 union all select regexp_extract(url, '[^/]*$'), page_id % 5 from urls where page_id % 4 = 0),
 by_name as (select file_name as key, max(info) as info from metas group by 1),

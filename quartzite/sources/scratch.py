@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths given out in this process and not cleared yet.
 _given: list[str] = []
+#: Tables of the session's catalogue whose files lie under such paths.
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return _given[-1]
 
 
+def scratch_table(name: str) -> None:
+    """A table that `clear` is to drop with its files."""
+    _tables.append(name)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet and read back: lineage ends here (a lost executor costs only its running tasks)
     and Catalyst knows the size, by which it picks broadcast or shuffled joins itself."""
@@ -43,6 +50,8 @@ def clear(spark: SparkSession) -> int:
     """Delete what was written under paths given out so far, and say how many there were. Results that still read
     them must have been saved or collected before."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     n = len(_given)
     while _given:
         path = jvm.org.apache.hadoop.fs.Path(_given.pop())
