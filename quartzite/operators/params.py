@@ -10,22 +10,28 @@ BOUNDS = {"strength": (0.1, 0.9, False), "guidance_scale": (1.0, 15.0, False), "
 VISUAL = ("overlap_ratio", "gabor_alpha", "sharpen_strength", "blend_sigma_divisor")
 
 
-def json_blocks(text: Column) -> Column:
+def json_blocks(text: Column, values: str = "string") -> Column:
     """Maps of the JSON objects fenced in a text, in order; without one, of the object that ends it."""
     fenced = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)```(?:json)?\s*([\s\S]*?)```"), 1), lambda x: F.trim(x)), lambda x: x.startswith("{"))
-    parsed = lambda a: F.filter(F.transform(a, lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
+    parsed = lambda a: F.filter(F.transform(a, lambda x: F.from_json(x, f"map<string,{values}>")), lambda m: m.isNotNull())
     tail = F.regexp_extract(F.trim(text), r"(\{[\s\S]*\})\s*$", 1)
     blocks = parsed(fenced)
     return F.when(F.size(blocks) > 0, blocks).otherwise(parsed(F.array(tail)))
 
 
-def parsed_reply(text: Column) -> Column:
+def parsed_reply(text: Column, values: str = "string") -> Column:
     """One map of a reply's parameters; later blocks win; null if there are none."""
-    empty = F.create_map().cast("map<string,string>")
-    merged = F.aggregate(json_blocks(text), empty, lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
+    empty = F.from_json(F.lit("{}"), f"map<string,{values}>")
+    merged = F.aggregate(json_blocks(text, values), empty, lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
     return F.when(F.size(merged) > 0, merged)
 
 
+def typed_reply(text: Column) -> Column:
+    """`parsed_reply` as map<string,variant>: numbers, truth values, lists and groups keep their types. A null text gives
+    null; a key whose value is null stays, as a null variant."""
+    return parsed_reply(text, "variant")
+
+
 def clamped(rows: DataFrame, key: str = "key", value: str = "value", bounds: dict = BOUNDS) -> DataFrame:
     """Numbers inside their bounds: whole ones rounded, others to four places; keys that are unknown and
     values that are no numbers go. The bounds are a literal, so no join is needed."""
@@ -79,3 +85,20 @@ def tuning_note(calibrated: Column, strict: Column, technical: Column, passed: C
         .when(technical.isNotNull() & (technical != F.coalesce(passed, F.lit(-1.0))), "use_technical_rate")
         .otherwise("synced")
     )
+
+
+def typed(reply: Column, key: str, path: str, kind: str) -> Column:
+    """The value at a path below a key, null where there is none or it cannot be of that kind."""
+    return F.try_variant_get(F.try_element_at(reply, F.lit(key)), path, kind)
+
+
+def kind_of(value: Column) -> Column:
+    """object, array, text, truth, number or null."""
+    name = F.schema_of_variant(value)
+    named = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "text").when(name == "BOOLEAN", "truth").when(name == "VOID", "null")
+    return F.when(value.isNotNull(), named.otherwise("number"))
+
+
+def reply_fields(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """(key, kind, n): what the replies' keys hold, one partial count a task before the shuffle."""
+    return replies.select(F.explode(reply).alias("key", "value")).groupBy("key", kind_of(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))

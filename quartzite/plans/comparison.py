@@ -252,6 +252,42 @@ def parse_llm_json(spark, sf_dir):
     return rows.select("event_id", value("k"), value("strength"))
 
 
+NESTED = """case event_id % 4 when 0 then concat('Try ```json {"given": ', parameters_json, ', "eval": {"mode": "strict", "levels": [1, ', event_id, ']}, "on": true}``` then ```{"on": ', case when event_id % 8 = 0 then 'false' else '"no"' end, '}```')
+ when 1 then concat('so: {"given": {"k": "', regexp_extract(parameters_json, '[0-9]+', 0), '"}, "note": "n"}') when 2 then concat('```{"given": [', event_id, '], "on": null}``` end') else 'nothing here' end"""
+
+
+def nested_replies(spark, sf_dir):
+    return load(spark, sf_dir, E).selectExpr("event_id", f"{NESTED} as reply").select("event_id", params.typed_reply(F.col("reply")).alias("reply"))
+
+
+@query(
+    "typed_replies",
+    """with r as (select event_id, event_id % 4 as c, try_cast(regexp_extract(parameters_json, '[0-9]+', 0) as bigint) as k from history)
+select event_id, case when c < 2 then k end as given_k, case c when 0 then 'strict' end as mode, case c when 0 then event_id end as level, case c when 2 then event_id end as listed,
+ case when c = 0 then case when event_id % 8 = 0 then 'truth' else 'text' end when c = 2 then 'null' end as on_kind from r""",
+    E,
+)
+def typed_replies(spark, sf_dir):
+    """Values inside groups and lists of replies, by their types; of two blocks the later wins."""
+    m = F.col("reply")
+    return nested_replies(spark, sf_dir).select(
+        "event_id", params.typed(m, "given", "$.k", "bigint").alias("given_k"), params.typed(m, "eval", "$.mode", "string").alias("mode"), params.typed(m, "eval", "$.levels[1]", "bigint").alias("level"),
+        params.typed(m, "given", "$[0]", "bigint").alias("listed"), params.kind_of(F.try_element_at(m, F.lit("on"))).alias("on_kind"),
+    )
+
+
+@query(
+    "reply_fields",
+    """with r as (select event_id, event_id % 4 as c from history), f as (select 'given' as key, case c when 2 then 'array' else 'object' end as kind from r where c < 3
+ union all select 'eval', 'object' from r where c = 0 union all select 'note', 'text' from r where c = 1 union all select 'on', case when c = 2 then 'null' when event_id % 8 = 0 then 'truth' else 'text' end from r where c in (0, 2))
+select key, kind, count(*) as n from f group by 1, 2""",
+    E,
+)
+def reply_fields(spark, sf_dir):
+    """Which keys replies have, known or not, and what they hold."""
+    return params.reply_fields(nested_replies(spark, sf_dir))
+
+
 @query("clamp_parameters", f"with {PARSED}, u as (select event_id, 'k' as key, k as value from p where k is not null union all select event_id, 'num_steps', event_id % 100 + 0.25 from p) select event_id, key, case key when 'k' then round(greatest(5.0, least(90.0, value)), 4) else greatest(15, least(60, floor(value))) end as value from u", E)
 def clamp_parameters(spark, sf_dir):
     n = F.col("event_id")
