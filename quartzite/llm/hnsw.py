@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node with its smallest ids, as many as a result can hold, so copies cannot crowd a
-neighbourhood and ties among them are exact. Nodes are dealt into shards of a bounded number of them, apart by
+neighbourhood and ties among them are exact. Nodes are dealt into shards that grow with the root of all rows up to a bound, apart by
 number of components. Each shard becomes one row of an index table: its ids and vectors, and for each level
 one flat array of neighbour positions, a fixed number per node. Largest inner product is turned into nearest
 distance by one added coordinate, sqrt(longest² - |x|²).
@@ -23,6 +23,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -216,9 +218,25 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def build_index(nodes: DataFrame, shard_rows: int = 8192, m: int = 16, wide: int = 48, ratio: int = 16) -> DataFrame:
+#: Nodes of the smallest shards, and of the largest; bytes of vectors in a shard.
+BASE, LARGEST, SHARD_BYTES = 8192, 131072, 1 << 27
+
+
+def shard_rows_for(rows: int, d: int) -> int:
+    """Nodes of a shard. Each query goes to each shard, so shards grow with the root of the number of rows: copies of queries
+    grow by rows ** 1.5 and not by its square, up to what a task can hold of d components a row."""
+    return max(1, min(max(BASE, 16 * math.isqrt(rows)), LARGEST, SHARD_BYTES // (8 * max(1, d))))
+
+
+def beam_for(nodes: int, ef: int) -> int:
+    """The width of a search: ef up to BASE nodes, beyond them wider by the root of the shard's size, which keeps recall."""
+    return max(ef, math.ceil(ef * math.sqrt(nodes / BASE)))
+
+
+def build_index(nodes: DataFrame, shard_rows: int | None = None, m: int = 16, wide: int = 48, ratio: int = 16) -> DataFrame:
     """One row per shard (see INDEX). nodes: (vec array<double>, ids array<long>), every one is indexed."""
-    shards = max(1, -(-nodes.count() // shard_rows))
+    rows, d = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    shards = max(1, -(-rows // (shard_rows or shard_rows_for(rows, d))))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(first=[i[0] for i in rows.ids]).sort_values("first", kind="stable")
@@ -292,7 +310,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = 19
                 q = np.asarray(b.column("q").slice(lo, hi - lo).flatten(), np.float64).reshape(hi - lo, d[lo])
                 own = np.array(ids[lo:hi], np.int64)
                 for a in range(0, len(q), 256):
-                    row, who, score = shard.best(q[a : a + 256], own[a : a + 256], k, ef)
+                    row, who, score = shard.best(q[a : a + 256], own[a : a + 256], k, beam_for(len(shard.x), ef))
                     yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 256][row]), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
 
     rows = copies.union(visits).repartition(*keys).sortWithinPartitions(*keys, F.col("query_id").isNotNull())

@@ -315,3 +315,19 @@ def test_densest_box_takes_its_heading_and_leaves_what_stands_around():
     split = f"<body><div>{p}{p}{p}{p}{p}</div><div>{around}</div><div>{p}</div></body>"
     assert pagetext.main_text(split).count(text) == 6
     assert pagetext.main_text("<div>" * 20000 + p) == text
+
+
+def test_shards_grow_with_the_root_of_rows_and_beams_with_theirs():
+    assert hnsw.shard_rows_for(0, 64) == hnsw.shard_rows_for(50_000, 64) == 8192
+    assert hnsw.shard_rows_for(10**8, 64) == hnsw.shard_rows_for(10**10, 64) == 131072
+    assert hnsw.shard_rows_for(10**6, 64) == 16_000 and hnsw.shard_rows_for(10**8, 4096) == 4096
+    assert hnsw.beam_for(100, 192) == hnsw.beam_for(8192, 192) == 192 and hnsw.beam_for(32768, 192) == 384
+
+
+def test_a_wider_beam_keeps_recall_in_a_larger_shard():
+    x = np.random.default_rng(3).normal(size=(16384, 24))
+    nodes, links = hnsw.build(x)
+    q = x[:128]
+    found = hnsw.search(q, hnsw.lifted(x), nodes, links, hnsw.beam_for(len(x), 192))
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), best.tolist())]) >= 0.9
