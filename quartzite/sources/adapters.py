@@ -58,9 +58,10 @@ select l_orderkey as image_id, cast(row_number() over (partition by l_orderkey o
  cast(4 + l_partkey % 23 as int) as w, cast(4 + l_suppkey % 19 as int) as h
 from lineitem""",
 }
+# Spark takes a float and an int as doubles, DuckDB as floats: Spark's text names the type, so that both round alike.
 TILES = {
     "spark": """
-select vec_id as image_id, cast(pos div 8 as int) as y, cast(pos % 8 as int) as x, cast(floor((v + 1) * 127.5) as int) as v
+select vec_id as image_id, cast(pos div 8 as int) as y, cast(pos % 8 as int) as x, cast(floor((v + float(1)) * float(127.5)) as int) as v
 from embeddings lateral view posexplode(embedding) t as pos, v""",
     "duckdb": """
 select vec_id as image_id, cast((i - 1) // 8 as int) as y, cast((i - 1) % 8 as int) as x, cast(floor((v + 1) * 127.5) as int) as v
