@@ -46,3 +46,8 @@ def test_tiles_view(spark, edges):
 @pytest.mark.parametrize("name", ["mask_iou", "otsu_threshold", "winsorize"])
 def test_pixel_tables_equal_sql(spark, edges, name):
     equal(spark, edges, name)
+
+
+@pytest.mark.parametrize("name", ["image_pixels_hist", "scan_images"])
+def test_images_equal_sql(spark, edges, name):
+    equal(spark, edges, name)
