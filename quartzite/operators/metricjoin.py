@@ -6,7 +6,9 @@ From a block's cell and ring the triangle inequality gives the least distance th
 a row of another block, and to a single row also half-way planes between pivots. A block meets only those blocks
 that may hold something nearer than what is known already: for neighbours, the largest k-th distance inside the block
 itself; for balls, the largest radius of the block of balls. Which they are is found from the blocks' borders,
-cell by cell, so no list of all pairs of blocks is made. The others come to a block's task nearest first, its rows' bounds
+cell by cell, so no list of all pairs of rows is made. Blocks that lie near each other form groups, a task each, and what any of a
+group's blocks is to meet comes to the group once, so what moves is the table times the number of groups. That number stays
+the same until a group would hold too much for a task. The others come to a group nearest first, its rows' bounds
 shrink as they come, and rows that a block cannot serve any more sit it out.
 
 Distances that decide are sums of squared differences, the same whichever side asks; products only choose which to compute.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
@@ -31,6 +33,8 @@ BLOCK = "block long, cell int, lo double, hi double, n int, items binary, x bina
 BALLS = f"{BLOCK}, radii binary, reach array<double>, seen long"
 #: Rounding that bounds allow for, as a part of the distances that they are made of.
 SLACK = 1e-9
+#: Groups of blocks: so many where there are as many blocks, and more where the vectors of one would exceed so many bytes.
+GROUPS, GROUP_BYTES = 24, 32 << 20
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -73,11 +77,12 @@ class Cells:
     lo: np.ndarray
     hi: np.ndarray
     n: np.ndarray
+    blocks: np.ndarray
     repeats: int  # the most rows of one id
 
 
 def blocks_of(rows: DataFrame, pivots: np.ndarray, block_rows: int, rings: int = 16) -> tuple[DataFrame, Cells]:
-    """A packed row per block (see BLOCK), stored."""
+    """A packed row per block (see BLOCK), stored. Vectors that are singles go as singles."""
 
     def assign(frames):
         for f in frames:
@@ -100,13 +105,16 @@ def blocks_of(rows: DataFrame, pivots: np.ndarray, block_rows: int, rings: int =
     def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         block = (int(key[0]) << 44) + (int(key[1]) << 36) + int(key[2])
         x = np.stack(f["x"].to_numpy()).astype(np.float64)
+        with np.errstate(over="ignore"):
+            short = x.astype(np.float32)
+        x = short if (short == x).all() else x
         return pd.DataFrame([{"block": block, "cell": key[0], "lo": f["gap"].min(), "hi": f["gap"].max(), "n": len(f), "items": f["item"].to_numpy(np.int64).tobytes(), "x": x.tobytes()}])
 
     blocks = stored(dealt.groupBy("cell", "ring", "part").applyInPandas(pack, BLOCK), "metric-blocks")
     between = np.stack([gaps(pivots, p) for p in pivots])
-    cells = Cells(pivots, between, np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.zeros(len(pivots)), placed.groupBy("item").count().agg(F.max("count")).first()[0] or 0)
-    for r in blocks.groupBy("cell").agg(F.min("lo"), F.max("hi"), F.sum("n")).collect():  # a row per pivot
-        cells.lo[r[0]], cells.hi[r[0]], cells.n[r[0]] = r[1], r[2], r[3]
+    cells = Cells(pivots, between, np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64), placed.groupBy("item").count().agg(F.max("count")).first()[0] or 0)
+    for r in blocks.groupBy("cell").agg(F.min("lo"), F.max("hi"), F.sum("n"), F.count("*")).collect():  # a row per pivot
+        cells.lo[r[0]], cells.hi[r[0]], cells.n[r[0]], cells.blocks[r[0]] = r[1], r[2], r[3], r[4]
     return blocks, cells
 
 
@@ -120,7 +128,8 @@ class Rows:
 
     def __init__(self, row: dict, dims: int):
         self.items = np.frombuffer(row["items"], np.int64)
-        self.x = np.frombuffer(row["x"], np.float64).reshape(-1, dims)
+        single = len(row["x"]) == 4 * dims * len(self.items)
+        self.x = np.frombuffer(row["x"], np.float32 if single else np.float64).reshape(-1, dims).astype(np.float64, copy=False)
         self.cell, self.lo, self.hi = row["cell"], row["lo"], row["hi"]
 
 
@@ -192,11 +201,24 @@ def block_pairs(asking: DataFrame, asked: DataFrame, cells: Cells, asked_cells:
     return wanted.join(others, "to_cell").withColumn("least", least).filter(c("least") - SLACK * (c("between") + c("other_hi")) <= far).select("block", "other", "least")
 
 
-def visits(asking: DataFrame, asked: DataFrame, pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """Each asking block's own row (least -1), then those of the blocks that it meets, the nearest first."""
-    own = asking.select(F.col("block").alias("at"), F.lit(-1.0).alias("least"), *[F.col(f) if f in asking.columns else F.lit(None).cast(asked.schema[f].dataType).alias(f) for f in fields])
-    come = asked.join(pairs.select(F.col("other").alias("block"), F.col("block").alias("at"), "least"), "block").select("at", "least", *fields)
-    return own.unionByName(come).repartition("at").sortWithinPartitions("at", "least", "block")
+def groups_of(blocks: DataFrame, cells: Cells) -> tuple[DataFrame, int]:
+    """(block, at): the group of each block, cells in order and each cell's blocks in order; and how many groups there are."""
+    total, size = int(cells.blocks.sum()), int(cells.n.sum()) * cells.pivots.shape[1] * 8
+    n = max(1, min(total, max(GROUPS, -(-size // GROUP_BYTES))))
+    before = F.array(*[F.lit(int(k)) for k in np.cumsum(cells.blocks) - cells.blocks])
+    nth = F.element_at(before, F.col("cell") + 1) + F.row_number().over(Window.partitionBy("cell").orderBy("block")) - 1
+    return blocks.select("block", F.floor(nth * n / max(1, total)).cast("int").alias("at")), n
+
+
+def visits(asking: DataFrame, asked: DataFrame, pairs: DataFrame, fields: list[str], cells: Cells) -> DataFrame:
+    """A partition per group of asking blocks: the rows of its blocks (least -1), then, once each, those that any of them meets
+    (whom), the nearest first. cells: of the asking side."""
+    groups, n = groups_of(asking, cells)
+    groups = stored(groups, "metric-groups")
+    own = asking.join(groups, "block").select("at", F.lit(-1.0).alias("least"), F.array("block").alias("whom"), *[F.col(f) if f in asking.columns else F.lit(None).cast(asked.schema[f].dataType).alias(f) for f in fields])
+    wanted = pairs.join(groups, "block").groupBy("at", F.col("other").alias("block")).agg(F.min("least").alias("least"), F.sort_array(F.collect_list("block")).alias("whom"))
+    come = asked.join(stored(wanted, "metric-visits"), "block").select("at", "least", "whom", *fields)
+    return own.unionByName(come).repartitionById(n, F.col("at")).sortWithinPartitions("least", "block")
 
 
 def led(batches, fields: list[str]):
@@ -238,19 +260,18 @@ def with_radii(blocks: DataFrame, cells: Cells, ks: tuple) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.int64()]
 
     def run(batches):
-        row, found = None, None
-        for r in led(batches, ["least", *fields]):
+        held = {}
+        for r in led(batches, ["least", "whom", *fields]):
+            other = Rows(r, dims)
             if r["least"] < 0:
-                if row:
-                    yield done(row, found)
-                row = {f: r[f] for f in fields}
-                found = Nearest(Rows(r, dims), cells, most)
-            else:
-                found.meet(Rows(r, dims))
-        if row:
+                held[r["block"]] = {f: r[f] for f in fields}, Nearest(other, cells, most)
+                continue
+            for block in r["whom"]:
+                held[block][1].meet(other)
+        for row, found in held.values():
             yield done(row, found)
 
-    return stored(visits(blocks, blocks, pairs, fields).mapInArrow(run, BALLS), "metric-balls")
+    return stored(visits(blocks, blocks, pairs, fields, cells).mapInArrow(run, BALLS), "metric-balls")
 
 
 def covered(points: DataFrame, cells: Cells, balls: DataFrame, ball_cells: Cells, ks: tuple) -> DataFrame:
@@ -265,27 +286,27 @@ def covered(points: DataFrame, cells: Cells, balls: DataFrame, ball_cells: Cells
     fields = ["block", "cell", "lo", "hi", "items", "x", "radii", "reaches"]
 
     def run(batches):
-        total, seen = np.zeros(top, np.int64), 0
-        own, got, home = None, np.zeros((0, top), bool), None
-        for r in led(batches, ["least", *fields]):
+        held, seen = {}, 0
+        for r in led(batches, ["least", "whom", *fields]):
             other = Rows(r, dims)
             if r["least"] < 0:
-                total += got.sum(0)
-                own, got, home = other, np.zeros((len(other.x), top), bool), gaps(other.x, cells.pivots[other.cell])
+                held[r["block"]] = other, np.zeros((len(other.x), top), bool), gaps(other.x, cells.pivots[other.cell])
                 continue
-            wanted = np.where(got, -1.0, np.array(r["reaches"])[None]).max(1)  # largest radius that may still tell a point something
-            live = np.flatnonzero((row_bounds(own, home, other, cells) <= wanted) & (wanted >= 0))
-            seen += len(live) * len(other.x)
-            radii = np.frombuffer(r["radii"], np.float64).reshape(-1, top)
-            for lo in range(0, len(live), 256):
-                at = live[lo : lo + 256]
-                g = products(own.x[at], other.x)
-                p, b = np.nonzero(g <= radii.max(1)[None] + 1e-6 * (scale(own.x[at])[:, None] + scale(other.x)[None]))
-                np.logical_or.at(got, at[p], gaps(own.x[at[p]], other.x[b])[:, None] <= radii[b])
-        total += got.sum(0)
+            radii, reaches = np.frombuffer(r["radii"], np.float64).reshape(-1, top), np.array(r["reaches"])
+            for block in r["whom"]:
+                own, got, home = held[block]
+                wanted = np.where(got, -1.0, reaches[None]).max(1)  # largest radius that may still tell a point something
+                live = np.flatnonzero((row_bounds(own, home, other, cells) <= wanted) & (wanted >= 0))
+                seen += len(live) * len(other.x)
+                for lo in range(0, len(live), 256):
+                    at = live[lo : lo + 256]
+                    g = products(own.x[at], other.x)
+                    p, b = np.nonzero(g <= radii.max(1)[None] + 1e-6 * (scale(own.x[at])[:, None] + scale(other.x)[None]))
+                    np.logical_or.at(got, at[p], gaps(own.x[at[p]], other.x[b])[:, None] <= radii[b])
+        total = sum((got.sum(0) for _, got, _ in held.values()), np.zeros(top, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(total), pa.array([seen] + [0] * (top - 1))], ["k", "n", "seen"])
 
-    return visits(points, asked, pairs, fields).mapInArrow(run, "k int, n long, seen long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return visits(points, asked, pairs, fields, cells).mapInArrow(run, "k int, n long, seen long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def precision_recall(real: DataFrame, made: DataFrame, ks: tuple = (1, 3, 5, 11, 21), pivots: int = 128, block_rows: int = 1024) -> DataFrame:

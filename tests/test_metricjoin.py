@@ -65,3 +65,19 @@ def test_edges(spark):
     assert got == {1: (0.5, 1.0), 3: (0.0, 0.0), 5: (0.0, 0.0), 11: (0.0, 0.0), 21: (0.0, 0.0)}
     for a, b in ((odd.filter("false"), other), (other, odd.filter("false")), (odd.filter("false"), odd.filter("false"))):
         assert [tuple(r)[1:3] for r in op.precision_recall(a, b).collect()] == [(0.0, 0.0)] * 5
+
+
+def test_blocks_travel_once_per_group(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    real, made = r.normal(size=(1500, 12)), r.normal(size=(1300, 12)).astype(np.float32).astype(float)
+    came, visits = [], op.visits
+
+    def counted(asking, asked, *rest):
+        out = visits(asking, asked, *rest)
+        came.append((out.count(), asking.count(), asked.count()))
+        return out
+
+    monkeypatch.setattr(op, "visits", counted)
+    got = op.precision_recall(frame(spark, real), frame(spark, made, 50_000), pivots=4, block_rows=10).collect()
+    assert [tuple(x)[:3] for x in got] == plain(real, made)
+    assert len(came) == 4 and all(asked > 100 and n <= asking + 24 * asked for n, asking, asked in came)
