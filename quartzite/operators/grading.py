@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.bands import clip01, density_type, double_band, rounded
-from ..functions.percentiles import exact_percentiles
+from ..functions.percentiles import wide_percentiles
 
 #: Metrics with a baseline.
 METRICS = ["mask_ratio", "mean_intensity", "std_intensity", "edge_density", "cavity_ratio", "bright_spots", "hu_dist", "dynamic_range", "local_entropy", "circularity", "bright_ratio", "dark_ratio", "banding_score", "edge_voids_px", "round_isolated", "round_density", "contour_concavity", "contour_perim_ratio"]
@@ -41,18 +41,22 @@ LARGE_ROWS = 4_000_000
 def scalar_stats(items: DataFrame, metrics: list = METRICS, large: bool | None = None) -> DataFrame:
     """metric, n, p1 ... p99 (exact, linear between neighbours), mean, std (of the population). Percentiles come
     from one built-in aggregate, whose task holds all distinct values of a metric, or, for LARGE_ROWS rows and more, from
-    brackets, which no task holds whole; both are exact. large: which of them, by default by the count."""
+    brackets, which no task holds whole and which take two passes over the items as they are; both are exact. large: which of
+    them, by default by the count."""
     if large is None:
         large = items.count() >= LARGE_ROWS
-    pairs = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
-    rows = items.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
-    moments = [F.round(F.avg("value"), PLACES).alias("mean"), F.round(F.stddev_pop("value"), PLACES).alias("std")]
+    mean, std = lambda v: F.round(F.avg(v), PLACES), lambda v: F.round(F.stddev_pop(v), PLACES)
     if not large:
-        found = rows.groupBy("metric").agg(F.count("value").alias("n"), F.percentile("value", F.array(*map(F.lit, POINTS.values()))).alias("points"), *moments)
+        pairs = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
+        rows = items.select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
+        found = rows.groupBy("metric").agg(F.count("value").alias("n"), F.percentile("value", F.array(*map(F.lit, POINTS.values()))).alias("points"), mean("value").alias("mean"), std("value").alias("std"))
         points = [F.round(F.get("points", F.lit(i)), PLACES).alias(k) for i, k in enumerate(POINTS)]
         return found.select("metric", "n", *points, "mean", "std")
-    points = exact_percentiles(rows, "metric", "value", POINTS).select("metric", *[F.round(p, PLACES).alias(p) for p in POINTS])
-    return rows.groupBy("metric").agg(F.count("value").alias("n"), *moments).join(points, "metric", "left").select("metric", "n", *POINTS, "mean", "std")
+    moments = [c.alias(f"{k}_{m}") for m in metrics for k, c in (("n", F.count(F.col(m))), ("mean", mean(F.col(m))), ("std", std(F.col(m))))]
+    points, row = wide_percentiles(items.select(*[F.col(m).cast("double").alias(m) for m in metrics]), POINTS, 8192, 1e-3, F.count("*").alias("rows"), *moments)
+    rows = [(m, row[f"n_{m}"], *(p[k] for k in POINTS), row[f"mean_{m}"], row[f"std_{m}"]) for m, p in zip(metrics, points) if row["rows"]]
+    found = items.sparkSession.createDataFrame(rows, f"metric string, n long, {', '.join(f'{k} double' for k in POINTS)}, mean double, std double")
+    return found.select("metric", "n", *[F.round(p, PLACES).alias(p) for p in POINTS], "mean", "std")
 
 
 def density_prior(items: DataFrame) -> DataFrame:
