@@ -16,10 +16,9 @@ Nulls: rows with a null signature or seen_at have no key or time and are left ou
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,6 +29,11 @@ ANSWERS = "signature string, item string, seen_at timestamp, verdict string"
 TO_SCORE = "to_score"
 
 
+def instant(t: datetime) -> datetime:
+    """Rows bring times with a zone, the state gives them back in local time without one."""
+    return t.astimezone(timezone.utc)
+
+
 class VerdictCache(StatefulProcessor):
     """Answers each (signature, item) once: 'true', 'false' or TO_SCORE."""
 
@@ -41,40 +45,42 @@ class VerdictCache(StatefulProcessor):
         self.verdict = handle.getValueState("verdict", "passed boolean, given timestamp")
         self.answered = handle.getMapState("answered", "item string", "verdict string")
 
-    def remember(self, passed: bool, given: datetime) -> None:
-        """The latest verdict counts; a repeated or older one changes nothing."""
-        if self.verdict.exists() and self.verdict.get()[1] >= given:
-            return
+    def known(self) -> tuple | None:
+        held = self.verdict.get()
+        return None if held is None else (held[0], instant(held[1]))
+
+    def remember(self, held: tuple | None, passed: bool, given: datetime) -> tuple:
+        """What is held after a verdict: the latest counts; a repeated or older one changes nothing."""
+        if held is not None and held[1] >= given:
+            return held
         self.verdict.update((bool(passed), given))
         self.handle.registerTimer(int((given + self.keep).timestamp() * 1000))
+        return bool(passed), given
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for passed, given in zip(initialState["passed"], initialState["seen_at"]):
-            self.remember(passed, given.to_pydatetime())
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.remember(self.known(), initialState["passed"], instant(initialState["seen_at"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # A batch's rows come in any order: those of one key are taken by time, verdicts before files of the same time.
-        here = pd.concat(list(rows))
-        here = here.assign(file=here["passed"].isna()).sort_values(["seen_at", "file"], kind="stable")
-        out = []
-        for item, at, passed in zip(here["item"], here["seen_at"].dt.to_pydatetime(), here["passed"]):
-            if not pd.isna(passed):
-                self.remember(passed, at)
+        # The state is asked once for the key's verdict and once per file: each question is a message to the JVM.
+        here = sorted(rows, key=lambda r: (r["seen_at"], r["passed"] is None))
+        held = self.known()
+        for r in here:
+            item, at, passed = r["item"], instant(r["seen_at"]), r["passed"]
+            if passed is not None:
+                held = self.remember(held, passed, at)
                 continue
-            known, given = self.verdict.get() if self.verdict.exists() else (None, None)
-            verdict = str(known).lower() if given is not None and at < given + self.keep else TO_SCORE
-            name = (f"={item}" if not pd.isna(item) else "",)
-            before = self.answered.getValue(name)[0] if self.answered.containsKey(name) else None
-            if before is None or (before == TO_SCORE and verdict != TO_SCORE):  # first, or scored since
+            verdict = str(held[0]).lower() if held is not None and at < held[1] + self.keep else TO_SCORE
+            name = (f"={item}" if item is not None else "",)
+            before = self.answered.getValue(name)
+            if before is None or (before[0] == TO_SCORE and verdict != TO_SCORE):  # first, or scored since
                 self.answered.updateValue(name, (verdict,))
-                out.append((key[0], None if pd.isna(item) else item, at, verdict))
-        if out:
-            yield pd.DataFrame(out, columns=["signature", "item", "seen_at", "verdict"])
+                yield Row(signature=key[0], item=item, seen_at=at, verdict=verdict)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The end of a verdict, unless a later one has come since; its file may then be sent to be scored again."""
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        if self.verdict.exists() and int((self.verdict.get()[1] + self.keep).timestamp() * 1000) <= end:
+        end, held = expiredTimerInfo.getExpiryTimeInMs(), self.known()
+        if held is not None and int((held[1] + self.keep).timestamp() * 1000) <= end:
             self.verdict.clear()
             self.answered.clear()
         return iter(())
@@ -90,7 +96,7 @@ def answers(events: DataFrame, known: DataFrame | None = None, keep_days: float
     first = None
     if known is not None:
         first = known.filter("signature is not null and seen_at is not null and passed is not null").select("signature", F.col("seen_at").cast("timestamp").alias("seen_at"), "passed").groupBy("signature")
-    return keyed.groupBy("signature").transformWithStateInPandas(VerdictCache(keep_days), ANSWERS, "Append", "EventTime", first)
+    return keyed.groupBy("signature").transformWithState(VerdictCache(keep_days), ANSWERS, "Append", "EventTime", first)
 
 
 def answered_files(spark, source: str, known: DataFrame | None, out: str, checkpoint: str, **how) -> None:

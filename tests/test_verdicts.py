@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+
 from quartzite.sources.scratch import scratch_path
 from quartzite.streaming import verdicts
 
@@ -36,3 +38,30 @@ def test_late_files_and_expiry(spark):
     arrivals = [[row("new", "new", 6), row("old", "old", 0)], [row("new", "late", 1)], [row("new", "new-2", 8)], [row("tick", "tick", 60)], [row("tick", "tick", 61)], [row("new", "new", 62)]]
     got = run(spark, arrivals, known, keep_days=7, late="10 days")
     assert got == [("new", "late", "true"), ("new", "new", "to_score"), ("new", "new", "true"), ("new", "new-2", "to_score"), ("old", "old", "to_score"), ("tick", "tick", "to_score")]
+
+
+class Counted:
+    """A state that counts how often it is asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def get(self, name=""):
+        self.calls += 1
+        return self.held.get(name)
+
+    def update(self, *value):
+        self.calls += 1
+        self.held[value[0] if len(value) > 1 else ""] = value[-1]
+
+    getValue, updateValue = get, update  # noqa: N815
+
+
+def test_a_new_file_takes_three_messages(spark):
+    """One for the verdict, one for the answer given before, one for the new answer; rows come and go without a data frame."""
+    cache = verdicts.VerdictCache(7)
+    cache.verdict, cache.answered = Counted(), Counted()
+    rows = [Row(signature="s", item="a", seen_at=T, passed=None)]
+    assert [tuple(r) for r in cache.handleInputRows(("s",), iter(rows), None)] == [("s", "a", verdicts.instant(T), "to_score")]
+    assert cache.verdict.calls + cache.answered.calls == 3
+    assert list(cache.handleInputRows(("s",), iter(rows), None)) == []
