@@ -15,9 +15,13 @@ RATES = "sizes as (select run_name, count(*) as total from reviewed group by 1),
 ALL = f"with {REVIEWED}, {SUMMARY}, {RATES}"
 
 
+#: What summaries and rates read of a verdict: no names of items, no tiers.
+SUMMARIZED = ("run_name", "ok", "total_score", "ps_slope", "brisque", "group_veto", "tags", *(f"group_{g}" for g in "ABCDEF"))
+
+
 def summaries(spark, sf_dir):
     """(summary per run, rates per run and tag), settled: a few rows."""
-    table = review_table(spark, sf_dir)
+    table = review_table(spark, sf_dir, *SUMMARIZED)
     return stored(runs.batch_summary(table), "summary"), stored(runs.violation_rates(table), "rates")
 
 
