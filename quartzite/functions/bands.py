@@ -12,9 +12,9 @@ def clip01(x: Column) -> Column:
 
 def rounded(x: Column, places: int) -> Column:
     """x to so many places, halves away from zero, in double arithmetic: round() of a double goes through a decimal, which in
-    a chain of many costs more than all else. From 10^6 on, where doubles have few such places left, by round()."""
+    a chain of many costs more than all else. From 10^6 on, or from where doubles have no such places left, by round()."""
     unit = F.lit(float(10**places))
-    return F.when(F.abs(x) < 1e6, F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit).otherwise(F.round(x, places))
+    return F.when(F.abs(x) < min(1e6, 2.0**53 / 10**places), F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit).otherwise(F.round(x, places))
 
 
 def double_band(x: Column, p1: Column, p5: Column, p95: Column, p99: Column) -> Column:

@@ -82,6 +82,67 @@ def binned(rows: DataFrame, cuts: list[np.ndarray], listed: list[list[int]]) ->
     return rows.mapInArrow(run, BINS).groupBy("metric", "bin", "value").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def tallied(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the sums of their n; NaN is one value, the greatest."""
+    distinct, at = np.unique(values, return_inverse=True)
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, at, n)
+    return distinct, sums
+
+
+def few_values(rows: DataFrame, most: int = 2048) -> tuple[list[tuple[np.ndarray, np.ndarray] | None], int]:
+    """Of each column of doubles, in order, its sorted distinct values and how often each occurs, or None for a column of more than
+    `most`; and the number of rows. One pass, in which a task counts a column until it has met more than `most` values there, so what
+    leaves a task and what comes to the driver is at most `most` + 1 values a column. Nulls are left out."""
+
+    def run(batches):
+        held: list = [[] for _ in rows_of]
+        size, total = [0] * len(held), 0
+        for b in batches:
+            total += b.num_rows
+            for m in range(len(held)):
+                if held[m] is None:
+                    continue
+                seen = b.column(m).drop_null().value_counts()
+                held[m].append((seen.field(0).to_numpy(zero_copy_only=False), seen.field(1).to_numpy(zero_copy_only=False)))
+                size[m] += len(seen)
+                if size[m] > 8 * most or len(seen) > most:
+                    held[m] = [tallied(*map(np.concatenate, zip(*held[m])))]
+                    size[m] = len(held[m][0][0])
+                    held[m] = None if size[m] > most else held[m]
+        out = [(np.array([-1]), [0.0], np.array([total]))]
+        for m, parts in enumerate(held):
+            if parts:
+                values, n = tallied(*map(np.concatenate, zip(*parts)))
+                parts = None if len(values) > most else [(np.full(len(values), m), values, n)]
+            out += [(np.array([m]), [None], np.array([0]))] if parts is None else parts
+        for metric, value, n in out:
+            yield pa.RecordBatch.from_arrays([pa.array(metric, pa.int32()), pa.array(value, pa.float64()), pa.array(n, pa.int64())], ["metric", "value", "n"])
+
+    rows_of = rows.columns
+    counts = rows.mapInArrow(run, "metric int, value double, n long").groupBy("metric", "value").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.asc_nulls_first("value")))
+    found: dict[int, list] = {m: [] for m in range(-1, len(rows_of))}
+    for r in counts.withColumn("place", place).filter(F.col("place") <= most + 1).collect():  # a null value: a task met too many
+        found[r.metric].append((r.value, r.n))
+    total = sum(n for _, n in found.pop(-1))
+    few = lambda f: len(f) <= most and all(v is not None for v, _ in f)
+    return [tallied(np.array([v for v, _ in f], float), np.array([n for _, n in f], np.int64)) if few(f) else None for f in found.values()], total
+
+
+def counted_percentiles(values: np.ndarray, n: np.ndarray, points: dict) -> dict:
+    """point -> exact percentile, linear between neighbours (None without values), of sorted values that occur n times."""
+    if not len(values):
+        return dict.fromkeys(points)
+    ends = np.cumsum(n)
+    out = {}
+    for name, q in points.items():
+        at = q * (int(ends[-1]) - 1)
+        a, b = (float(values[np.searchsorted(ends, rank, "right")]) for rank in (math.floor(at), math.ceil(at)))
+        out[name] = a if a == b else a + (b - a) * (at - math.floor(at))
+    return out
+
+
 def wide_percentiles(rows: DataFrame, points: dict, size: int = 8192, eps: float = 1e-3, *more: Column) -> tuple[list[dict], dict]:
     """Of each column of doubles, in order, a dict of points (name -> exact percentile, linear between neighbours, None without
     values), and the row of the aggregates `more`. Two passes over the rows as they are, however many columns: the first gives a

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quartzite.functions.bands import rounded
 from quartzite.operators import grading as op
 from quartzite.plans import comparison
 from quartzite.plans import grading as plans
@@ -45,3 +46,18 @@ def test_summaries_write_no_items(spark, monkeypatch):
         monkeypatch.setattr(module, "stored", keep)
     comparison.summaries(spark, SF)
     assert not {"item", "tier", "semantic_score", "final_rank_score"} & set(written["review"])
+
+
+def test_ok_makes_no_array_of_tags(spark):
+    """Whether a hard tag is there comes from the rules; what needs no tags neither builds nor searches their array."""
+    rows = plans.reviewed(spark, SF)
+    plan = rows.select("item", "ok")._jdf.queryExecution().executedPlan().toString()
+    assert "PSD_OFF" not in plan and "arrays_overlap" not in plan
+    plain = F.arrays_overlap("tags", F.array(*map(F.lit, op.HARD_TAGS)))
+    assert {(r.hard, r.n > 0) for r in rows.groupBy((plain == F.col("hard_tag")).alias("hard")).agg(F.count("*").alias("n")).collect()} == {(True, True)}
+    assert rows.filter("hard_tag").count() and rows.filter("not hard_tag").count()
+
+
+@pytest.mark.parametrize(("x", "want"), [(0.72700000000000009, 0.727), (-0.12345678901235, -0.1234567890124), (12345.678, 12345.678), (2e6, 2e6)])
+def test_rounding_to_thirteen_places(spark, x, want):
+    assert spark.range(1).select(rounded(F.lit(x) + F.col("id"), 13).alias("y")).first().y == want

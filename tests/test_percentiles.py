@@ -33,3 +33,26 @@ def test_large_way_makes_no_row_per_metric(spark, monkeypatch):
     want = {r.metric: r for r in grading.scalar_stats(items, large=False).collect()}
     assert all(got[m][k] == pytest.approx(want[m][k], rel=1e-12) for m in want for k in ("n", *grading.POINTS, "mean", "std"))
     assert grading.scalar_stats(items.filter("false"), large=True).count() == 0
+
+
+def test_metrics_of_few_values_are_counted_in_one_pass(spark, monkeypatch):
+    """Only a metric of many values is sketched and bracketed; the others need no second look at the items."""
+    few = grading.METRICS[1:]
+    items = spark.range(60_000).selectExpr(f"cast(hash(id) as double) as {grading.METRICS[0]}", *[f"case when id % 7 > 0 then cast(id % {i + 2} as double) / 3 end as {m}" for i, m in enumerate(few)]).repartition(5)
+    sketched = []
+    wide = grading.wide_percentiles
+    monkeypatch.setattr(grading, "wide_percentiles", lambda rows, *more: sketched.append(rows.columns) or wide(rows, *more))
+    got = {r.metric: r for r in grading.scalar_stats(items, large=True).collect()}
+    assert sketched == [[grading.METRICS[0]]]
+    want = {r.metric: r for r in grading.scalar_stats(items, large=False).collect()}
+    assert all(got[m][k] == pytest.approx(want[m][k], rel=1e-12, abs=1e-9) for m in want for k in ("n", *grading.POINTS, "mean", "std"))
+
+
+def test_few_values(spark):
+    rows = [(1.5, float("nan"), None, float(i)) for i in range(300)] + [(2.5, 1.0, None, 0.0)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    (a, b, c, d), total = op.few_values(frame, 299)  # the tasks meet at most 299 values of d, all together 300
+    assert total == 301 and [x.tolist() for x in a] == [[1.5, 2.5], [300, 1]] and [x.tolist() for x in c] == [[], []] and d is None
+    assert b[0][0] == 1.0 and np.isnan(b[0][1]) and b[1].tolist() == [1, 300]
+    assert op.few_values(frame, 300)[0][3][1].tolist() == [2] + [1] * 299
+    assert op.few_values(frame.filter("false"))[1] == 0
