@@ -3,7 +3,8 @@
 Equal vectors are one node. Nodes are dealt into shards by a hash, apart by number of components; each shard is one
 row of an index table, with the graph of `hnsw`. Every node is a query to every shard: of two shards one searches
 the other, in a circle, so that each is searched by half of them, and a shard's queries travel as one packed
-row. A search is by range: where half of a beam's finds are links, the beam was too narrow for that query and is
+row. A walk costs about the same in a shard of twice the size, so shards are as large as a task's bit table of a shard's own
+links (n² bits, 134 MB for 32,768 nodes) allows: the searches are fewer by their size. A search is by range: where half of a beam's finds are links, the beam was too narrow for that query and is
 widened eightfold, at last to the whole shard (one product with all of it costs less than a walk that keeps a
 sixteenth of it), so a crowd of near copies loses no link to the width.
 
@@ -211,7 +212,7 @@ def audited_width(index: DataFrame, nodes: DataFrame, least: float, ef: int, wan
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 16384, m: int = 16, wide: int = 48, ef: int = 32, wanted: float = 0.99, audited: int = 1024
+    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 32768, m: int = 16, wide: int = 48, ef: int = 32, wanted: float = 0.99, audited: int = 1024
 ) -> DataFrame:
     """vec_id, n_links (other rows at a cosine of `least` or more), component_id (smallest id reachable by links), kept
     (vec_id is component_id). wanted: part of the links that audits of `audited` nodes must find."""
