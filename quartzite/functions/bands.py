@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +31,13 @@ def double_band(x: Column, p1: Column, p5: Column, p95: Column, p99: Column) ->
     )
 
 
-def density_type(mean: Column, std: Column) -> Column:
-    """Coarse class of a mask's mean and spread; null between the classes."""
+def density_type(mean: Column, std: Column, of: Callable[[str], Column] = F.lit) -> Column:
+    """Coarse class of a mask's mean and spread, or what `of` gives for it; null between the classes."""
     return (
-        F.when((mean < 0.33) & (std < 0.1), "a_fatty")
-        .when((mean < 0.45) & (std < 0.12), "b_scattered")
-        .when((std >= 0.16) & (mean >= 0.55), "d_extreme")
-        .when((std >= 0.14) | (mean >= 0.55), "c_hetero")
+        F.when((mean < 0.33) & (std < 0.1), of("a_fatty"))
+        .when((mean < 0.45) & (std < 0.12), of("b_scattered"))
+        .when((std >= 0.16) & (mean >= 0.55), of("d_extreme"))
+        .when((std >= 0.14) | (mean >= 0.55), of("c_hetero"))
     )
 
 
