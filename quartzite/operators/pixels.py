@@ -33,15 +33,29 @@ def histogram_stats(pixels: DataFrame, bright: float = 0.9, dark: float = 0.1) -
     )
 
 
+def running_variance(value: Column, order: str) -> Column:
+    """Population variance of a group's values, updated value by value in the given order (Welford). Unlike var_pop, whose last bits
+    depend on how partial sums meet, it is the same double however rows are dealt, so that comparisons at a tie come out as in SQL."""
+    values = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("at"), value.cast("double").alias("v")))))
+
+    def update(s: Column, p: Column) -> Column:
+        n, gap = s["n"] + 1, p["v"] - s["mean"]
+        mean = s["mean"] + gap / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + gap * (p["v"] - mean)).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(values, start, update, lambda s: F.try_divide(s["m2"], s["n"]))
+
+
 def banding(pixels: DataFrame, least: int = 5, least_lines: int = 10, floor: float = 20.0) -> DataFrame:
     """Share of rows and columns whose spread is far from the median one, as a score; 1 if too few."""
-    def lines(axis: str) -> DataFrame:
-        one = pixels.groupBy("image_id", axis).agg(F.count("*").alias("n"), F.var_pop("v").alias("var")).filter(F.col("n") >= least)
+    def lines(axis: str, along: str) -> DataFrame:
+        one = pixels.groupBy("image_id", axis).agg(F.count("*").alias("n"), running_variance(F.col("v"), along).alias("var")).filter(F.col("n") >= least)
         # an image has few rows, so its variances fit one array
         all_ = one.groupBy("image_id").agg(F.collect_list("var").alias("vars"), F.median("var").alias("med"))
         odd = F.size(F.filter("vars", lambda x: (x < 0.15 * F.col("med")) | (x > 6 * F.col("med"))))
         return all_.select("image_id", F.size("vars").alias(f"n_{axis}"), odd.alias(f"odd_{axis}"))
-    both = lines("y").join(lines("x"), "image_id")
+    both = lines("y", "x").join(lines("x", "y"), "image_id")
     odd, n = F.col("odd_y") + F.col("odd_x"), F.col("n_y") + F.col("n_x")
     score = F.greatest(F.lit(0.0), 1 - odd / F.greatest(F.lit(floor), 0.05 * n))
     few = (F.col("n_y") < least_lines) | (F.col("n_x") < least_lines)

@@ -51,3 +51,17 @@ def test_pixel_tables_equal_sql(spark, edges, name):
 @pytest.mark.parametrize("name", ["image_pixels_hist", "scan_images"])
 def test_images_equal_sql(spark, edges, name):
     equal(spark, edges, name)
+
+
+TIED = [
+    "6478777a776464646464646464767676646478647964797878787776787a767a6464767764647776647676647676767664647879647a647a6476766476647664",
+    "76647678647678787878777777776478647878766464767876767676767676647664766464766476646464646464767776767676767664767764777777647864",
+    "76646477646476777676646464767676647664647864787864647664766476767664647676767676786477767664777676767676647676766476777878767778",
+]
+
+
+def test_banding_equals_sql_at_ties(spark, tmp_path):
+    """Lines whose variance is 0.15 or 6 times the median one, or off by a last bit."""
+    rows = [((np.frombuffer(bytes.fromhex(t), np.uint8) + 0.5) / 127.5 - 1).astype(np.float32).tolist() for t in TIED]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0] * len(rows), pa.int32())}), tmp_path / "embeddings.parquet")
+    equal(spark, str(tmp_path), "banding_score")
