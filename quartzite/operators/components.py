@@ -39,16 +39,50 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
 
 def near_points(pairs: DataFrame, most2: Column) -> DataFrame:
     """(image_id, a, b): points of paired cells within the distance."""
-    gap2 = F.pow(F.col("a.cx") - F.col("b.cx"), F.lit(2.0)) + F.pow(F.col("a.cy") - F.col("b.cy"), F.lit(2.0))
     both = pairs.withColumn("a", F.explode("pts")).withColumn("b", F.explode("others"))
-    return both.filter(gap2 <= most2).select("image_id", F.col("a.comp_id").alias("a"), F.col("b.comp_id").alias("b"))
+    return both.filter(gap2(F.col("a"), F.col("b")) <= most2).select("image_id", F.col("a.comp_id").alias("a"), F.col("b.comp_id").alias("b"))
+
+
+#: Images of at most this many components are compared in one array; those of larger ones meet by cells.
+FEW = 128
+
+
+def gap2(a: Column, b: Column) -> Column:
+    dx, dy = a["cx"] - b["cx"], a["cy"] - b["cy"]
+    return dx * dx + dy * dy
+
+
+def within(pts: Column, a: Column, most2: Column) -> Column:
+    """How many of the points are within the distance of a, itself included."""
+    return F.size(F.filter(pts, lambda b: gap2(a, b) <= most2))
+
+
+def by_size(points: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The points of images of at most FEW, dealt by image, and the image_id of all larger ones (None if there are none).
+    Images are counted first, so that none that is large is gathered; each point then moves once."""
+    sizes = points.groupBy("image_id").agg(F.count("*").alias("n"))
+    many = stored(sizes.filter(F.col("n") > FEW).select("image_id"), "many")
+    if many.isEmpty():
+        return points.repartition("image_id"), None
+    return points.join(many, "image_id", "left_anti").repartition("image_id"), many
 
 
 def isolated(rows: DataFrame, far: float = 60.0) -> DataFrame:
-    """image_id, isolated: components with no other within `far`; the only one of an image counts. Components that
-    share a cell are not isolated; those alone in theirs are compared with each other, each pair of cells once, and
-    with the crowds around them, so no crowd meets itself."""
-    points = in_cells(centers(rows), F.lit(far)).withColumn("pt", F.struct("comp_id", "cx", "cy"))
+    """image_id, isolated: components with no other within `far`; the only one of an image counts, and so does one
+    without a place."""
+    rows = rows.filter("image_id is not null")
+    few, many = by_size(centers(rows).select("image_id", "cx", "cy"))
+    pts, far2 = F.col("pts"), F.lit(far * far)
+    arrays = few.groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy")).alias("pts"))
+    out = arrays.select("image_id", F.size(F.filter(pts, lambda a: within(pts, a, far2) <= 1)).cast("long").alias("isolated"))
+    return out if many is None else out.union(isolated_by_cells(rows.join(many, "image_id", "left_semi"), far))
+
+
+def isolated_by_cells(rows: DataFrame, far: float) -> DataFrame:
+    """`isolated` for images of any size. Components that share a cell are not isolated; those alone in theirs are compared
+    with each other, each pair of cells once, and with the crowds around them, so no crowd meets itself."""
+    placed = F.col("cx").isNotNull() & F.col("cy").isNotNull()
+    points = in_cells(centers(rows).filter(placed), F.lit(far)).withColumn("pt", F.struct("comp_id", "cx", "cy"))
     counted = points.groupBy(*CELL).agg(F.count("*").alias("n"), F.first("pt").alias("only"))
     alone = stored(counted.filter("n = 1").select(*CELL, F.array("only").alias("pts")), "alone")
     steps = F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)])
@@ -57,11 +91,10 @@ def isolated(rows: DataFrame, far: float = 60.0) -> DataFrame:
     pairs = near_points(cell_pairs(alone), F.lit(far * far))
     near = pairs.select("image_id", F.explode(F.array("a", "b")).alias("comp_id"))
     asked = around.join(alone, list(CELL)).select("image_id", F.col("crowd.u").alias("u"), F.col("crowd.v").alias("v"), F.col("pts")[0].alias("a"))
-    gap2 = F.pow(F.col("a.cx") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("a.cy") - F.col("cy"), F.lit(2.0))
-    beside = asked.join(points.select(*CELL, "cx", "cy"), list(CELL)).filter(gap2 <= far * far)
+    beside = asked.join(points.select(*CELL, F.struct("cx", "cy").alias("b")), list(CELL)).filter(gap2(F.col("a"), F.col("b")) <= far * far)
     near = near.union(beside.select("image_id", F.col("a.comp_id"))).distinct()
     left = alone.select("image_id", F.col("pts")[0]["comp_id"].alias("comp_id")).join(near, ["image_id", "comp_id"], "left_anti").select("image_id", F.lit(1).alias("one"))
-    every = rows.select("image_id", F.lit(0).alias("one"))
+    every = centers(rows).select("image_id", F.when(placed, 0).otherwise(1).alias("one"))
     return every.union(left).groupBy("image_id").agg(F.sum("one").alias("isolated"))
 
 
