@@ -99,11 +99,22 @@ def isolated_by_cells(rows: DataFrame, far: float) -> DataFrame:
 
 
 def clusters(rows: DataFrame, side: Column, least: int = 4) -> DataFrame:
-    """image_id, clustered: 1 if some component has `least` components, itself included, within the radius. A cell with
-    that many decides at once; an image without one has cells of fewer than `least`, and a component meets those of the
-    cells around its own. Images with fewer components than `least` are done."""
+    """image_id, clustered: 1 if some component has `least` components, itself included, within the radius. side: the
+    same for all components of an image. Components without a place are in no image."""
     radius = F.greatest(F.lit(28.0), side * 0.055)
-    points = in_cells(centers(rows), radius).withColumn("radius2", radius * radius)
+    points = centers(rows).withColumn("radius", radius).filter("image_id is not null and cx is not null and cy is not null")
+    few, many = by_size(points.select("image_id", "cx", "cy", "radius"))
+    pts, most2 = F.col("pts"), F.col("radius") * F.col("radius")
+    arrays = few.groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy")).alias("pts"), F.max("radius").alias("radius"))
+    crowded = (F.size(pts) >= least) & F.exists(pts, lambda a: within(pts, a, most2) >= least)
+    out = arrays.select("image_id", F.when(crowded, 1).otherwise(0).alias("clustered"))
+    return out if many is None else out.union(clusters_by_cells(points.join(many, "image_id", "left_semi"), least))
+
+
+def clusters_by_cells(rows: DataFrame, least: int) -> DataFrame:
+    """`clusters` for images of any size. A cell with `least` components decides at once; an image without one has cells of
+    fewer, and a component meets those of the cells around its own. Images with fewer components than `least` are done."""
+    points = in_cells(rows, F.col("radius")).withColumn("radius2", F.col("radius") * F.col("radius"))
     pts = F.collect_list(F.when(F.col("place") < least, F.struct("comp_id", "cx", "cy"))).alias("pts")
     ranked = points.withColumn("place", F.row_number().over(Window.partitionBy(*CELL).orderBy("comp_id"))).filter(F.col("place") <= least)
     cells = stored(ranked.groupBy(*CELL).agg(pts, F.count("*").alias("n"), F.first("radius2").alias("radius2")), "cells")

@@ -20,7 +20,7 @@ def moved(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["isolated"])
+@pytest.mark.parametrize("name", ["isolated", "clusters"])
 def test_points_of_small_images_move_at_most_twice(spark, name):
     """Once to count their images, once to meet; not once for each cell around them."""
     n = 8000
@@ -50,7 +50,7 @@ def test_arrays_and_cells_agree(spark, monkeypatch, few):
 
 
 @pytest.mark.parametrize("few", [2, 128])
-@pytest.mark.parametrize("name", ["components_isolated"])
+@pytest.mark.parametrize("name", ["components_isolated", "components_clusters"])
 def test_components_without_a_place_equal_sql(spark, monkeypatch, tmp_path, name, few):
     """Null keys, images without any place, and several components without one in the same image."""
     monkeypatch.setattr(components, "FEW", few)
